@@ -113,7 +113,7 @@ def _spread(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
         window, sums = differencing(sizes, k)
         if sums.max(initial=0) <= capacity:
             return window, sums
-        k += 1
+        k += 1 + k // 64
 
 
 def plan(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -181,7 +181,7 @@ def _packer(path: str, end_id: int, capacity: int) -> Callable[[tuple, pd.DataFr
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, docs_per_group: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, docs_per_group: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of the documents' ids, dealt to windows of ``capacity``."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     groups = max(1, math.ceil(rows.count() / docs_per_group))
