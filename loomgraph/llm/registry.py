@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import language, line_dedup, packing, quality
 
 _QUERIES = {
+    "op3_packing": (packing.query, None),
+    "op4_language_id": (language.query, None),
+    "op7_quality": (quality.query, None),
     "op10_line_dedup": (line_dedup.query, line_dedup.SQL),
 }
 
