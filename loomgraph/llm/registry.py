@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, language, line_dedup, lm_score, multiset_hash, near_dedup, packing, quality, substring_dedup
 
 _QUERIES = {
@@ -15,6 +17,7 @@ _QUERIES = {
     "op8_near_dedup": (near_dedup.query, None),
     "op9_substring_dedup": (substring_dedup.query, None),
     "op10_line_dedup": (line_dedup.query, line_dedup.SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
