@@ -36,13 +36,16 @@ def edges(c: Any, p: Any) -> tuple[DataFrame, Lane]:
     if p.op == "neg":
         forward = [x.value for x in p.args if isinstance(x, A.Iri)]
         backward = [x.args[0].value for x in p.args if isinstance(x, A.Path)]
-        every = c.graph.triples(None, c.active)
         out = None
-        if forward or not backward:
-            out = every.where(~F.col("p").isin(*forward)).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-        if backward:
-            back = every.where(~F.col("p").isin(*backward)).select(F.col("o").alias("src"), F.col("s").alias("dst"))
-            out = back if out is None else out.unionByName(back)
+        for named, start, end in ((forward, "s", "o"), (backward, "o", "s")):
+            if named or start == "s" and not backward:
+                # Only tables that hold another predicate are read.
+                wanted = None if c.graph.quads is not None else sorted(set().union(*[m.predicates() for m in c.graph.maps]) - set(named))
+                part = c.graph.triples(wanted, c.active)
+                if part is None:
+                    part = c.spark.createDataFrame([], f"s {L.TERM}, p string, o {L.TERM}")
+                part = part.where(~F.col("p").isin(*named)).select(F.col(start).alias("src"), F.col(end).alias("dst"))
+                out = part if out is None else out.unionByName(part)
         return out, DYN
     if p.op == "alt":
         df, lane = edges(c, p.args[0])

@@ -141,9 +141,20 @@ class Compiler:
                 simple.append((s, p, o))
             else:
                 others.append((s, p, o))
-        parts = self._stars(simple) + [self._special(t) for t in others]
+        parts = self._stars(simple) + [self._special(t, self._prefixes(t[0], simple)) for t in others]
         return self._connect(parts)
 
+    def _prefixes(self, s: Any, simple: list) -> set | None:
+        """The subject prefixes that patterns with known predicates leave to a subject; None if there are none."""
+        if isinstance(s, A.Iri):
+            return {m.prefix for m in self._maps() if m.prefix and s.value.startswith(m.prefix)}
+        found: set | None = None
+        for a, p, o in simple:
+            if a == s:
+                here = {m.prefix for m in self._maps() if self._offers(m, p.value, o)}
+                found = here if found is None else found & here
+        return None if found is None or None in found else found
+
     def _connect(self, parts: list[Solution]) -> Solution:
         """Join in an order in which each part shares variables with what is there already."""
         now, rest = parts[0], parts[1:]
@@ -276,15 +287,16 @@ class Compiler:
             return v.col == k.col
         return F.coalesce(B.compare("=", v, k), F.lit(False))
 
-    def _scan(self, t: tuple) -> Solution:
-        """A pattern over term structs."""
+    def _scan(self, t: tuple, prefixes: set | None = None) -> Solution:
+        """A pattern over term structs; subjects of one known prefix stay native keys."""
         s, p, o = t
         predicate = p.value if isinstance(p, A.Iri) else None
-        df = self.graph.triples([predicate] if predicate else None, self.active)
+        native = prefixes is not None and len(prefixes) == 1 and self.options.typed and self.graph.quads is None and isinstance(s, A.Var)
+        df = self.graph.triples([predicate] if predicate else None, self.active, prefixes if self.graph.quads is None else None, native)
         if df is None:
             return self._nothing([t])
         cols: dict[str, tuple[Column, Lane]] = {}
-        for term, c, lane in ((s, F.col("s"), DYN), (p, F.col("p"), Lane("iri")), (o, F.col("o"), DYN)):
+        for term, c, lane in ((s, F.col("s"), Lane("iri", prefix=next(iter(prefixes))) if native else DYN), (p, F.col("p"), Lane("iri")), (o, F.col("o"), DYN)):
             if isinstance(term, A.Var):
                 if term.name in cols:
                     df = df.where(self._same(Val(*cols[term.name]), Val(c, lane)))
@@ -297,10 +309,10 @@ class Compiler:
                 df = df.where(B.compare("=", Val(c, lane), k) if k.family == "num" else c.eqNullSafe(L.to_dyn(k.col, k.lane)))
         return Solution(df.select(*[c.alias(col_of(v)) for v, (c, _) in cols.items()]), {v: lane for v, (_, lane) in cols.items()})
 
-    def _special(self, t: tuple) -> Solution:
+    def _special(self, t: tuple, prefixes: set | None = None) -> Solution:
         s, p, o = t
         if isinstance(p, A.Var):
-            return self._scan(t)
+            return self._scan(t, prefixes)
         from ..operators.paths import path_solution
 
         return path_solution(self, s, p, o)
@@ -637,7 +649,7 @@ class Compiler:
     # ------------------------------------------------------------ groups
 
     def _group(self, n: A.Group) -> Solution:
-        if self.options.factor_counts and (done := self._factored(n)) is not None:
+        if self.options.factor_counts and (done := self._counted(n) or self._factored(n)) is not None:
             return done
         s = self.compile(n.inner)
         keys, lanes = [], {}
@@ -654,6 +666,23 @@ class Compiler:
         df = s.df.groupBy(*keys).agg(*aggs) if aggs else s.df.select(*keys).distinct()
         return Solution(df, lanes)
 
+    def _counted(self, n: A.Group) -> Solution | None:
+        """COUNT(*) of the pattern ``?s ?p ?o``, whole or by ?p: cells are counted by column, no triple is built."""
+        if not isinstance(n.inner, A.Bgp) or len(n.inner.triples) != 1 or len(n.aggs) != 1 or self.active is not None:
+            return None
+        t, (var, agg) = n.inner.triples[0], n.aggs[0]
+        if agg.name != "COUNT" or agg.arg is not None or agg.distinct or not all(isinstance(x, A.Var) for x in t) or len(set(t)) < 3:
+            return None
+        if any(m.graph for m in self.graph.maps) or self.graph.quads is not None:
+            return None
+        counts = self.graph.predicate_counts()
+        if not n.keys:
+            return Solution(counts.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias(col_of(var))), {var: INTEGER})
+        if len(n.keys) == 1 and n.keys[0][1] == t[1] and n.keys[0][0]:
+            key = n.keys[0][0]
+            return Solution(counts.select(F.col("p").alias(col_of(key)), F.col("c").cast("bigint").alias(col_of(var))), {key: Lane("iri"), var: INTEGER})
+        return None
+
     def _factored(self, n: A.Group) -> Solution | None:
         """COUNT(*) over a join of two parts on one variable: counts by key on both sides are multiplied, no pair is formed."""
         if n.keys or len(n.aggs) != 1 or not isinstance(n.inner, A.Bgp):
@@ -853,8 +882,11 @@ class Compiler:
 
     def describe(self, what: list, pattern: Any) -> DataFrame:
         """Triples whose subject is described; blank-node objects are followed to a depth of four."""
-        found = self.graph.triples(None, self.active)
         iris = [t.value for t in what if isinstance(t, A.Iri)]
+        prefixes = {m.prefix for m in self._maps() for i in iris if m.prefix and i.startswith(m.prefix)} if len(iris) == len(what) and self.graph.quads is None else None
+        found = self.graph.triples(None, self.active, prefixes)
+        if found is None:
+            return self.spark.createDataFrame([], f"s {L.TERM}, p string, o {L.TERM}")
         wanted = self.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in iris]).cast("array<string>")).alias("lex"))
         s = self.compile(pattern)
         for t in what:

@@ -117,7 +117,7 @@ def to_dyn(col: Column, lane: Lane) -> Column:
         s = F.struct(F.lit(2).cast("tinyint").alias("kind"), col["lex"].alias("lex"), F.lit(RDF + "langString").alias("dt"), col["lang"].alias("lang"))
     else:
         s = F.struct(F.lit(2).cast("tinyint").alias("kind"), lexical(col, lane).alias("lex"), F.lit(lane.dt).alias("dt"), F.lit(None).cast("string").alias("lang"))
-    return F.when(col.isNotNull(), s)
+    return F.when(col.isNotNull(), s).cast(TERM)
 
 
 def dyn_number(col: Column) -> Column:

@@ -72,14 +72,14 @@ class VirtualGraph:
     def with_quads(self, quads: DataFrame) -> VirtualGraph:
         return VirtualGraph(self.spark, self.maps, quads)
 
-    def triples(self, predicates: list[str] | None = None, graph: str | None = None) -> DataFrame | None:
-        """All triples as term structs (s, p, o); only the sources that hold a wanted predicate are read."""
+    def triples(self, predicates: list[str] | None = None, graph: str | None = None, prefixes: set | None = None, native: bool = False) -> DataFrame | None:
+        """All triples (s, p, o) as term structs; only sources of a wanted predicate and subject prefix are read; ``native`` subjects stay key columns."""
         parts = []
         for m in self.maps:
-            if m.graph != graph:
+            if m.graph != graph or prefixes is not None and m.prefix not in prefixes:
                 continue
             s, lane = m.subject()
-            subject = to_dyn(s, lane)
+            subject = s if native else to_dyn(s, lane)
             wanted = [o for o in m.objects if predicates is None or o.predicate in predicates]
             items = []
             for o in wanted:
@@ -137,7 +137,7 @@ def standard_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
     def knows() -> DataFrame:
         customers = t("customer")().agg(F.count("*").alias("n"))
         # The count is one row: a scalar, joined by a broadcast of one row.
-        return t("orders")().join(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_orderkey") * 7 + 1, F.col("n")).alias("dst")).where("src != dst")
+        return t("orders")().join(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_orderkey") * 7 + 1, F.col("n")).alias("dst")).where("src != dst").distinct()
 
     ref = lambda p, c, to: ObjectMap(EX + p, c, prefix=EX + to)
     maps = [
