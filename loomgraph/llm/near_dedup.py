@@ -15,7 +15,9 @@ looked at again: a group's largest component is joined with what lies outside it
 only.  Groups over ``HOT`` rows come from shingles that many documents share;
 their documents take an exact way instead, a prefix filter: shingles ordered by
 their document count, of which a linked pair must share one among the rarest
-fifth, so that common lines bring nobody together.
+fifth, so that common lines bring nobody together.  Pairs of the second look
+leave the join only if their sizes and 1024-bit parity maps allow the
+similarity, which is exact: a bit that differs is an element that differs.
 
 Components are found by alternating large-star and small-star rounds; every
 round is written to the shared folder.  Links, components and sketches never
@@ -46,6 +48,8 @@ MANTISSA = 10
 HOT = 48
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
+#: Longs of a set's parity map.
+LONGS = 16
 _EMPTY = np.uint16(0xFFFF)
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
 
@@ -79,6 +83,12 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 1024 classes of hashes: whether an odd number of shingles falls into it."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One key for each band that has a full register."""
     bands = regs.reshape(-1, ROWS)
@@ -117,7 +127,7 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = list(shingle_sets([utf8(t) for t in b["_text"]], k))
-            yield pd.DataFrame({"_id": b["_id"], "regs": [registers(x).tobytes() for x in found], "set": [x.tobytes() for x in found]})
+            yield pd.DataFrame({"_id": b["_id"], "n": [len(x) for x in found], "bits": [parity(x) for x in found], "regs": [registers(x).tobytes() for x in found], "set": [x.tobytes() for x in found]})
 
     return run
 
@@ -170,7 +180,7 @@ class NearDedup:
         groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("_id").alias("lead")).where("rows > 1 and lead is not null")
         held = self.tables.keep(rows.join(groups, "key"))
         needed = held.select("_id").distinct()
-        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, regs binary, set binary"))
+        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, n long, bits array<long>, regs binary, set binary"))
         links = self.confirmed(held.where("_id != lead").select(F.col("lead").alias("a"), F.col("_id").alias("b")).distinct())
         comps = self.components(links)
         held = self.tables.keep(held.join(comps, "_id", "left").select("key", "_id", "rows", F.coalesce("comp", "_id").alias("comp")))
@@ -189,17 +199,23 @@ class NearDedup:
         return whole.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of a key's rows in different components; its largest component is never paired within itself."""
+        """Pairs (a, b) of a key's rows in different components that can be links; its largest component is never paired within itself."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
         major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
-        rows = rows.join(major, "key")
-        out = rows.where("comp != major").select("key", F.col("_id").alias("x"), F.col("comp").alias("cx"))
-        pairs = out.join(rows.select("key", F.col("_id").alias("y"), F.col("comp").alias("cy"), "major"), "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))))
+        rows = rows.join(major, "key").join(self.sets.select("_id", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(LONGS)]), "_id")
+        out = rows.where("comp != major").select("key", F.col("_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(LONGS)])
+        there = rows.select("key", F.col("_id").alias("y"), F.col("comp").alias("cy"), "major", F.col("n").alias("ny"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(LONGS)])
+        differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+        # With d elements in one set only, the union has (nx + ny + d) / 2.
+        alike = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
+        sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
+        once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+        pairs = out.join(there, (out["key"] == there["key"]) & once & sized & alike)
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def prefixes(self, hot: DataFrame) -> DataFrame:
         """(key, _id, comp): the shingles of which a linked pair must share one, rarest first."""
-        rows = self.sets.join(hot, "_id").select("_id", "comp", "set").mapInPandas(_explode_sets, "h long, _id long, comp long, n long")
+        rows = self.sets.select("_id", "set").join(hot, "_id").select("_id", "comp", "set").mapInPandas(_explode_sets, "h long, _id long, comp long, n long")
         common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
         shared_rows = rows.join(common, "h").groupBy("_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
         least = F.ceil(F.col("n") * F.lit(self.percent) / F.lit(100.0) - F.lit(1e-9))
