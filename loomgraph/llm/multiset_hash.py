@@ -5,19 +5,22 @@ the sum of its paragraphs' vectors, lane by lane, modulo powers of two.  So the
 order of paragraphs does not matter, and a paragraph is inserted or deleted by
 adding or subtracting its vector (``combine``).
 
-A paragraph's vector has two parts.  Eight lanes modulo 2**32 are hashes of the
-whole paragraph: they decide equality.  Sixty-two lanes modulo 2**24 are the sum,
-over the paragraph's pairs of neighbouring words, of random signs: two
-documents' lanes then have an inner product that estimates how many pairs they
-share, which gives ``likeness`` (0 to 1; equal fingerprints have 1).
-
-Everything is DataFrame functions.  The words of a document are exploded and
-summed in the same task before one row a document is shuffled; two signs share
-one long, so 31 sums make 62 lanes and cannot overflow.
+A paragraph's vector has two parts.  Eight lanes modulo 2**30 are hashes of the
+whole paragraph: they decide equality.  Ninety-six lanes modulo 2**24 are the
+sum, over the paragraph's phrases, of random signs; a phrase ends at a space
+after one of a few letters and marks, so phrases depend on nearby letters alone
+and an edit changes few.  Two documents' lanes then have an inner product that
+estimates how many phrases they share, which gives ``likeness`` (0 to 1; equal
+fingerprints have 1).
+
+Everything is DataFrame functions.  The phrases of a document are exploded and
+counted in the same task before one row a document is shuffled; two counts share
+one long, so 48 sums make 96 lanes and cannot overflow.
 
 The query's *next* document is found without a global sort: quantiles of the ids
-(a bounded list) cut the rows into ordered buckets, a window inside each bucket
-sees the next row, and a bucket's last row takes the first of the next bucket.
+(a bounded list) cut the rows into ordered buckets, the first rows of a bucket
+are also dealt to the end of the bucket before, and a window inside each bucket
+sees the next row; texts are shuffled once.
 
 Defined results: null and empty texts have the fingerprint of one empty
 paragraph; rows that repeat an id are rows of their own, ordered by text; null
@@ -32,64 +35,54 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SUMS = 31
-EXACT = 8
+HASHES = 2
+SUMS = 48
+EXACT = 4
+#: What ends a phrase.
+PHRASE = "(?<=[e.,;:!?]) |\n"
 _LOW31 = (1 << 31) - 1
+_HALVES = ((1 << 30) - 1) << 32 | (1 << 30) - 1
 _TWO = (1 << 31) | 1
 _WIDE = 1 << 24
 _ORDER = 1 << 36
 
 
-def _paragraphs(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def _pairs(text: Column) -> Column:
-    """Hashes of neighbouring words of each paragraph; the first word pairs with nothing."""
-
-    def of(paragraph: Column) -> Column:
-        words = F.filter(F.split(paragraph, " ", -1), lambda w: w != "")
-        return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i - 1)))
-
-    return F.flatten(F.transform(_paragraphs(text), of))
-
-
 def _exact(text: Column) -> list[Column]:
-    paragraphs = _paragraphs(text)
+    paragraphs = F.split(text, "\n", -1)
 
     def lane(i: int) -> Column:
-        return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(i), p).bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF))
+        # Two lanes modulo 2**30 in one long, with room for a carry between them.
+        return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(i), p).bitwiseAND(_HALVES)).bitwiseAND(_HALVES))
 
     return [lane(i) for i in range(EXACT)]
 
 
-def fingerprints(texts: DataFrame, keys: list[str], carry: list[str], text: str = "text") -> DataFrame:
-    """One row per ``keys`` (which must be unique): the keys, ``carry`` (longs), ``exact`` and ``lanes`` arrays."""
-    words = texts.select(*keys, F.explode(_pairs(F.col(text))).alias("_h"))
-    sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(_TWO)) for j in range(SUMS)]
-    parts = words.select(*keys, "_h", *[F.lit(None).cast("long").alias(f"_m{i}") for i in range(EXACT + len(carry))])
-    meta = texts.select(*keys, F.lit(None).cast("long").alias("_h"), *[c.alias(f"_m{i}") for i, c in enumerate([*_exact(F.col(text)), *[F.col(c).cast("long") for c in carry]])])
-    out = parts.unionByName(meta).groupBy(*keys).agg(
-        F.count("_h").alias("_n"), *[s.alias(f"_s{j}") for j, s in enumerate(sums)], *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(EXACT + len(carry))]
-    )
+def fingerprints(texts: DataFrame, text: str = "text") -> DataFrame:
+    """One row for each row of ``texts`` (whose other columns must tell rows apart): these columns, ``exact`` and packed ``counts``."""
+    keys = [c for c in texts.columns if c != text]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # What is computed once a row must lie below the explode, not beside it.
+    rows = texts.select(*keys, *[c.alias(f"_e{i}") for i, c in enumerate(_exact(whole))], F.split(whole, PHRASE, -1).alias("_ps"))
+    by = [*keys, *[f"_e{i}" for i in range(EXACT)]]
+    rows = rows.select(*by, F.explode("_ps").alias("_p")).select(*by, F.xxhash64(F.lit(101), "_p").alias("_h0"), F.xxhash64(F.lit(202), "_p").alias("_h1"))
+    sums = [F.sum(F.shiftrightunsigned(f"_h{j % HASHES}", j // HASHES).bitwiseAND(_TWO)).alias(f"_s{j}") for j in range(SUMS)]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    return out.select(*keys, F.array(*[half for i in range(EXACT) for half in (F.col(f"_e{i}").bitwiseAND((1 << 30) - 1), F.shiftright(f"_e{i}", 32))]).alias("exact"), F.array("_n", *[f"_s{j}" for j in range(SUMS)]).alias("counts"))
 
-    def lane(count: Column) -> Column:
-        return F.pmod(2 * count - F.col("_n"), F.lit(_WIDE))
 
-    packed = [F.coalesce(F.col(f"_s{j}"), F.lit(0)) for j in range(SUMS)]
-    return out.select(
-        *keys,
-        *[F.col(f"_m{EXACT + i}").alias(c) for i, c in enumerate(carry)],
-        F.array(*[F.col(f"_m{i}") for i in range(EXACT)]).alias("exact"),
-        F.array(*[lane(p.bitwiseAND(_LOW31)) for p in packed], *[lane(F.shiftright(p, 31)) for p in packed]).alias("lanes"),
-    )
+def lanes(counts: Column) -> Column:
+    """Sums of signs modulo 2**24: twice the ones less all, for the low and the high half of each count."""
+    n, packed = counts[0], F.slice(counts, 2, SUMS)
+    low = F.transform(packed, lambda p: F.pmod(2 * p.bitwiseAND(_LOW31) - n, F.lit(_WIDE)))
+    high = F.transform(packed, lambda p: F.pmod(2 * F.shiftright(p, 31) - n, F.lit(_WIDE)))
+    return F.concat(low, high)
 
 
 def combine(a: Column, b: Column, minus: bool = False) -> Column:
     """The fingerprint (struct of exact and lanes) with another's paragraphs inserted, or deleted."""
     sign = -1 if minus else 1
     return F.struct(
-        F.zip_with(a["exact"], b["exact"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32))).alias("exact"),
+        F.zip_with(a["exact"], b["exact"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 30))).alias("exact"),
         F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(_WIDE))).alias("lanes"),
     )
 
@@ -115,26 +108,22 @@ def likeness(exact_a: Column, lanes_a: Column, exact_b: Column, lanes_b: Column)
     return F.when((exact_a == exact_b) & (lanes_a == lanes_b), F.lit(1.0)).otherwise(F.least(near, F.lit(0.999999)))
 
 
-def with_next(docs: DataFrame, buckets: int = 384) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text, key, next_key, next_text; keys follow the order of (doc_id, text)."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20_000).alias("c")).collect()[0]["c"] or []
-    least = docs.agg(F.min("doc_id")).collect()[0][0]
-    cuts = sorted(set(cuts) - {least})
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    order = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_b", F.coalesce(bucket, F.lit(0)).cast("long"))
-    rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order))
-    # Ordered buckets are never empty: each holds its own cut, the first the least id.
-    first = rows.where("_i = 1").select(F.pmod(F.col("_b") - 1, F.lit(len(cuts) + 1)).alias("_b"), F.lit(True).alias("_last"), F.col("text").alias("_first"))
-    rows = rows.withColumn("_last", F.col("_next").isNull())
-    joined = rows.join(first, ["_b", "_last"], "left")
-    return joined.select(
-        "doc_id",
-        "text",
-        (F.col("_b") * _ORDER + F.col("_i")).alias("key"),
-        F.when(F.col("_last"), F.pmod(F.col("_b") + 1, F.lit(len(cuts) + 1)) * _ORDER + 1).otherwise(F.col("_b") * _ORDER + F.col("_i") + 1).alias("next_key"),
-        F.coalesce("_next", "_first").alias("next_text"),
-    )
+    buckets = buckets or max(384, 4 * shared.shuffle_width(docs.sparkSession))
+    figures = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20_000).alias("c"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()[0]
+    # Cuts are ids of rows, so each bucket begins with its cut; the first with nulls or the least id.
+    cuts = sorted(set(figures["c"] or []) - {figures["least"]})
+    k = len(cuts) + 1
+    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0), F.lit(0)).cast("long")
+    opens = F.coalesce(F.col("doc_id").isin(cuts), F.lit(False)) if cuts else F.lit(False)
+    opens = opens | (F.col("doc_id").isNull() if figures["nulls"] else F.coalesce(F.col("doc_id") == figures["least"], F.lit(False)) if figures["least"] is not None else F.lit(False))
+    places = F.when(opens, F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("m")), F.struct(F.pmod(F.col("_b") - 1, F.lit(k)).alias("b"), F.lit(1).alias("m")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("m"))))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_b", bucket).withColumn("_x", F.explode(places)).select("doc_id", "text", F.col("_x.b").alias("_b"), F.col("_x.m").alias("_m"))
+    order = Window.partitionBy("_b").orderBy("_m", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("_after", F.lead("_m").over(order)).where("_m = 0")
+    here = F.col("_b") * _ORDER
+    return rows.select("doc_id", "text", (here + F.col("_i")).alias("key"), F.when(F.col("_after") == 1, F.pmod(F.col("_b") + 1, F.lit(k)) * _ORDER + 1).otherwise(here + F.col("_i") + 1).alias("next_key"), "next_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,29 +132,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    digest = F.sha2(F.col("_t"), 256)
     both = rows.select(
         "doc_id", "key", "next_key", n.cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("text").alias("t")), F.struct(F.lit(1).alias("w"), edited.alias("t")))).alias("_x")
-    ).select("doc_id", "key", "next_key", "n_chars", F.col("_x.w").alias("w"), F.col("_x.t").alias("_t"))
-    for i in range(4):
-        # A digest travels as four longs: strings would turn the hash aggregation into a sort.
-        both = both.withColumn(f"d{i}", F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long"))
-    carry = ["doc_id", "next_key", "n_chars", "d0", "d1", "d2", "d3"]
-    made = tables.keep(fingerprints(both, ["key", "w"], carry, "_t"))
-    own = made.where("w = 0").select("key", "next_key", "doc_id", "n_chars", "exact", "lanes")
-    edit = made.where("w = 1").select(
-        "key",
-        F.concat(*[F.lpad(F.lower(F.hex(f"d{i}")), 16, "0") for i in range(4)]).alias("edited_sha256"),
-        F.col("exact").alias("e_exact"),
-        F.col("lanes").alias("e_lanes"),
-    )
-    after = made.where("w = 0").select(F.col("key").alias("next_key"), F.col("exact").alias("n_exact"), F.col("lanes").alias("n_lanes"))
-    return own.join(edit, "key").join(after, "next_key").select(
+    ).select("doc_id", "key", "next_key", "n_chars", F.col("_x.w").alias("w"), F.when(F.col("_x.w") == 1, F.sha2(F.col("_x.t"), 256)).alias("sha"), F.col("_x.t").alias("_t"))
+    made = tables.keep(fingerprints(both, "_t"))
+    own = made.where("w = 0").select("key", "next_key", "doc_id", "n_chars", "exact", "counts")
+    edit = made.where("w = 1").select("key", F.col("sha").alias("edited_sha256"), F.col("exact").alias("e_exact"), F.col("counts").alias("e_counts"))
+    after = made.where("w = 0").select(F.col("key").alias("next_key"), F.col("exact").alias("n_exact"), F.col("counts").alias("n_counts"))
+    wide = own.join(edit, "key").join(after, "next_key").select("doc_id", "n_chars", "edited_sha256", "exact", "e_exact", "n_exact", lanes(F.col("counts")).alias("l"), lanes(F.col("e_counts")).alias("e"), lanes(F.col("n_counts")).alias("a"))
+    return wide.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        to_string(F.col("exact"), F.col("lanes")).alias("fingerprint"),
-        to_string(F.col("e_exact"), F.col("e_lanes")).alias("edited_fingerprint"),
-        F.round(likeness(F.col("exact"), F.col("lanes"), F.col("e_exact"), F.col("e_lanes")), 6).alias("near_edited"),
-        F.round(likeness(F.col("exact"), F.col("lanes"), F.col("n_exact"), F.col("n_lanes")), 6).alias("near_next"),
+        to_string(F.col("exact"), F.col("l")).alias("fingerprint"),
+        to_string(F.col("e_exact"), F.col("e")).alias("edited_fingerprint"),
+        F.round(likeness(F.col("exact"), F.col("l"), F.col("e_exact"), F.col("e")), 6).alias("near_edited"),
+        F.round(likeness(F.col("exact"), F.col("l"), F.col("n_exact"), F.col("a")), 6).alias("near_next"),
     )
