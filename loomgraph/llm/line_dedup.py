@@ -1,17 +1,18 @@
 """Line dedup: drop lines that many documents share.
 
-Lines are exploded as hashes of their keys (ends stripped, A-Z lower-cased).
-Hashes are 128 bits wide.  Distinct documents per hash are counted with map-side
-partial sums, so a line that a third of all documents hold reaches its reducer
-as one row per task.  The hashes over the threshold go back to the documents by
-an equi-join whose skewed side adaptive execution can split, and every document
-is reassembled from its own lines in their order.
+Every document's distinct keys (ends stripped, A-Z lower-cased) are hashed to 128
+bits and written once to a table of (id, hash).  Distinct documents per hash are
+counted with map-side partial sums, so a line that a third of all documents hold
+reaches its reducer as one row per task.  The hashes over the threshold are a
+table of their own, so adaptive execution may broadcast them if they are few or
+split the skewed side of the join if they are not.  Every document is
+reassembled from its own lines in their order.
 
 Defined results: null or empty texts are one empty line; every input row is a
 document of its own for the counts only through its ``doc_id`` (rows that repeat
 an id count once); rows with a null id take part in no count and lose nothing;
 ties (several lines of one document with a key) all stay in the largest id.
-Other columns pass through untouched, whatever their names.
+Other columns pass through untouched; one named ``_lines`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,48 +27,24 @@ def _key(line: Column) -> Column:
     return shared.lower_ascii(F.btrim(line, F.lit(shared.SPACES)))
 
 
-def _digest(key: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(11), key).alias("h1"), F.xxhash64(F.lit(29), key).alias("h2"))
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the struct column ``_lines`` (n_lines, n_dropped, kept)."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-
-    def digests(of: Column) -> Column:
-        return F.transform(of, lambda x: F.when(F.char_length(_key(x)) >= min_chars, _digest(_key(x))))
-
-    held = (
-        docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("_d"), F.explode(F.array_distinct(F.filter(digests(lines), lambda h: h.isNotNull()))).alias("_h"))
-        .select("_d", "_h.h1", "_h.h2")
-    )
-    # Three distinct ids: the smallest, the largest and one strictly between need
-    # no distinct shuffle when ids are unique; ids that repeat are made so first.
-    frequent = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_d").alias("last")).where(F.col("n") >= min_docs)
-    if not _unique(docs, key):
-        frequent = held.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_d").alias("last")).where(F.col("n") >= min_docs)
-    lost = (
-        held.join(frequent, ["h1", "h2"])
-        .where(F.col("_d") < F.col("last"))
-        .groupBy("_d")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
-    )
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(
-        F.transform(
-            F.filter(F.arrays_zip(lines.alias("l"), digests(lines).alias("h")), lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), x["h"]), F.lit(False))),
-            lambda x: x["l"],
-        )
+    tables = shared.SharedTables(docs.sparkSession, "lines")
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    lines = F.split(F.coalesce(F.col(f"_row.{text}"), F.lit("")), "\n", -1)
+    keys = F.array_distinct(F.filter(F.transform(lines, _key), lambda k: F.char_length(k) >= min_chars))
+    rows = own.where(F.col(f"_row.{key}").isNotNull() & F.col(f"_row.{text}").isNotNull())
+    held = tables.keep(rows.select(F.col(f"_row.{key}").alias("_d"), F.explode(keys).alias("_k")).select("_d", F.xxhash64(F.lit(11), "_k").alias("h1"), F.xxhash64(F.lit(29), "_k").alias("h2")))
+    once = held if _unique(docs, key) else held.distinct()
+    frequent = tables.keep(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_d").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last"))
+    lost = held.join(frequent, ["h1", "h2"]).where(F.col("_d") < F.col("last")).groupBy("_d").agg(F.collect_set("h1").alias("_lost"))
+    # Inside one document 64 bits tell lines apart.
+    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(F.lit(11), _key(x)))))
+    out = own.join(lost, F.col(f"_row.{key}") == lost["_d"], "left").withColumn("_kept", kept)
+    return out.select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c != "_lines"],
+        F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept")).alias("_lines"),
     )
-    out = docs.join(lost, docs[key] == lost["_d"], "left").withColumn("_kept", kept)
-    return out.withColumn(
-        "_lines",
-        F.struct(
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
-            F.array_join("_kept", "\n").alias("kept"),
-        ),
-    ).select(*[docs[c] for c in docs.columns], "_lines")
 
 
 def _unique(docs: DataFrame, key: str) -> bool:

@@ -130,11 +130,12 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     tables = shared.SharedTables(docs.sparkSession, "factors")
     known = docs.where("_id is not null")
     rows = tables.keep(known.where(F.octet_length("_text") >= 2 * window - 1).mapInPandas(_blocks_of(window, gram), "a long, c long, _id long, w int, n int"))
-    anchors = rows.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a")
+    # Both sides of a join are tables: adaptive execution can then split a hot anchor's rows.
+    anchors = tables.keep(rows.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a"))
     rows = tables.keep(rows.join(anchors, "a"))
     classes = tables.keep(rows.groupBy("a", "c").agg(F.min("_id").alias("first")))
     several = classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several"))
-    classes = classes.join(several, "a", "left")
+    classes = tables.keep(classes.join(several, "a", "left"))
     rows = tables.keep(rows.join(classes, ["a", "c"]))
     whole = rows.where("first < _id").select("_id", "w", "n")
     wanted = rows.where("first = _id and several").groupBy("_id").agg(F.collect_list(F.struct("a", "w", "n")).alias("wanted"))
