@@ -30,81 +30,111 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .textwords import Words, blocks, utf8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CAPACITY = 2048
+#: Windows to begin with, as a multiple of the fewest; the remainders held back fill what they leave.
+HEADROOM = 1.04
 
 
 #: Letters that every lower-casing and splitting rule treats alike, then plain punctuation: two pre-tokens at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,!?;:*$&#%|()\-]*)")
+#: Words whose ids are found together.
+_BLOCK = 1 << 20
 
 
 class WordTokens:
     """Token ids of whole texts, kept by word.
 
     The tokenizer drops white space and never joins text across it, so the ids of
-    a text are those of its space-separated words in order.  A plain word is its
-    lower-cased letters and its punctuation, one pre-token each; the last token of
-    a pre-token is marked in the vocabulary, so many of them are encoded in one
-    call.  Both kinds of memory start anew when they are full.
+    a text are those of its words in order.  A block of texts is split and hashed
+    with numpy; Python sees each distinct word of the block once, and the ids of
+    all words are gathered with numpy again.  A plain word is its lower-cased
+    letters and its punctuation, one pre-token each; the last token of a pre-token
+    is marked in the vocabulary, so many of them are encoded in one call by a
+    tokenizer that splits at spaces only.  The memory of words starts anew when it
+    is full.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lean = Tokenizer.from_file(path)
+        # Pre-tokens come lower-cased and apart, so only the bytes' letters are left to do.
+        self.lean.normalizer = None
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.most = most
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _encode_pieces(self, missing: list[str]) -> None:
-        ids = np.asarray(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(missing):
-            for x in missing:
-                self.pieces[x] = self._whole(x)
-            return
-        data, at = ids.tobytes(), 0
-        for x, e in zip(missing, (ends * 4).tolist()):
-            self.pieces[x] = data[at:e]
-            at = e
+        self.words: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _add(self, missing: set[str]) -> None:
+    def _add(self, missing: list[bytes]) -> None:
+        """Encode words that are not known yet."""
         if len(self.words) > self.most:
             self.words.clear()
-            self.words[""] = b""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-            self.pieces[""] = b""
-        parts = {}
+        plain, pieces, parts = [], [], []
         for w in missing:
-            if m := _PLAIN.fullmatch(w):
-                parts[w] = (m[1].lower(), m[2])
-            else:
-                self.words[w] = self._whole(w)
-        pieces = self.pieces
-        if new := [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x not in pieces]:
-            self._encode_pieces(new)
-        for w, (letters, rest) in parts.items():
-            self.words[w] = pieces[letters] + pieces[rest]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, words))
+            text = w.decode("utf-8", "surrogatepass")
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                self.words[w] = self._whole(text)
+                continue
+            plain.append(w)
+            letters, rest = m[1], m[2]
+            if letters:
+                pieces.append(letters.lower())
+            if rest:
+                pieces.append(rest)
+            parts.append((1 if letters else 0) + (1 if rest else 0))
+        for at in range(0, len(plain), 2048):
+            self._add_plain(plain[at : at + 2048], pieces, parts, at)
+
+    def _add_plain(self, plain: list[bytes], pieces: list[str], parts: list[int], at: int) -> None:
+        before = sum(parts[:at]) if at else 0
+        counts = parts[at : at + len(plain)]
+        mine = pieces[before : before + sum(counts)]
+        ids = np.asarray(self.lean.encode(" ".join(mine), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(mine):
+            for w in plain:
+                self.words[w] = self._whole(w.decode("utf-8", "surrogatepass"))
+            return
+        data, bounds = ids.tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        for w, s, e in zip(plain, (bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist()):
+            self.words[w] = data[s:e]
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        words = Words(texts)
+        if not len(words):
+            return [b""] * len(texts)
+        order, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        data = words.buf.tobytes()
+        distinct = [data[s:e] for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        found = list(map(self.words.get, distinct))
         if None in found:
-            self._add({w for w, x in zip(words, found) if x is None})
-            if None in (found := list(map(self.words.get, words))):  # the memory started anew
-                self._add({w for w, x in zip(words, found) if x is None})
-                found = list(map(self.words.get, words))
-        return b"".join(found)
+            self._add([w for w, x in zip(distinct, found) if x is None])
+            if None in (found := list(map(self.words.get, distinct))):  # the memory started anew
+                self._add([w for w, x in zip(distinct, found) if x is None])
+                found = list(map(self.words.get, distinct))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        joined = np.frombuffer(b"".join(found), dtype="<u4")
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = joined[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cut = (ends[words.bounds] * 4).tolist()
+        return [ids[s:e] for s, e in zip(cut[:-1], cut[1:])]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        return [ids for _, block in blocks((utf8(t) for t in texts), _BLOCK) for ids in self._block(block)]
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -153,7 +183,7 @@ def differencing(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _spread(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Differencing into as few windows as hold them."""
-    k = max(1, math.ceil(sum(sizes) / capacity))
+    k = max(1, math.ceil(sum(sizes) * HEADROOM / capacity))
     while True:
         window, sums = differencing(sizes, k)
         if sums.max(initial=0) <= capacity:
@@ -215,7 +245,7 @@ def _packer(path: str, end_id: int, capacity: int) -> Callable[[tuple, pd.DataFr
     def pack(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         encode, end = tokens(path), np.asarray([end_id], dtype="<u4").tobytes()
         docs = docs.sort_values(["_id", "_text"], kind="stable", na_position="first")
-        ids = [encode(t) + end for t in docs["_text"]]
+        ids = [x + end for x in encode.many(list(docs["_text"]))]
         doc_id = docs["_id"].to_numpy()
         rows = [
             (doc_id[i], start, n, zlib.crc32(memoryview(ids[i])[4 * start : 4 * (start + n)]), len(ids[i]) // 4, (key[0] << 24) + w, offset)

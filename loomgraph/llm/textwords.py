@@ -91,7 +91,8 @@ def grams(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     if k <= 8:
         out = np.zeros(n, dtype=np.uint64)
         for j in range(k):
-            out = mix(out + words[j : j + n] + np.uint64(salt + j + 1) * _GOLDEN) if j else words[:n] + np.uint64(salt + 1) * _GOLDEN
+            shift = np.uint64((salt + j + 1) * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+            out = mix(out + words[j : j + n] + shift) if j else words[:n] + shift
         return mix(out)
     base = np.uint64((0xD1342543DE82EF95 + 2 * salt) & 0xFFFFFFFFFFFFFFFF)
     back = np.uint64(pow(int(base), -1, 1 << 64))
@@ -99,7 +100,7 @@ def grams(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     powers[1:] = base
     np.multiply.accumulate(powers, out=powers)
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(mix(words + np.uint64(salt) * _GOLDEN) * powers[:-1], out=sums[1:])
+    np.cumsum(mix(words + np.uint64(salt * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF)) * powers[:-1], out=sums[1:])
     inverse = np.ones(n, dtype=np.uint64)
     inverse[1:] = back
     np.multiply.accumulate(inverse, out=inverse)
