@@ -67,12 +67,12 @@ def _ranges(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _blocks_of(window: int, gram: int):
+def _blocks_of(window: int, gram: int, by: list[str]):
     width = window - gram + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = b["_id"].to_numpy()
+            ids = b[by].to_numpy()
             for first, texts in blocks(utf8(t) for t in b["_text"]):
                 words = Words(texts)
                 hashes = words.hashes()
@@ -86,25 +86,25 @@ def _blocks_of(window: int, gram: int):
                     anchor = least[s : s + n]
                     begin = np.flatnonzero(np.diff(anchor, prepend=-1))
                     size = np.diff(begin, append=n)
-                    out.append((np.full(len(begin), ids[first + i]), every[anchor[begin]], s + begin, size, begin))
+                    out.append((np.full(len(begin), first + i), every[anchor[begin]], s + begin, size, begin))
                 if out:
                     doc, a, at, size, begin = (np.concatenate(x) for x in zip(*out))
                     c = _ranges(hashes, at, at + size + window - 1)
-                    yield pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), "_id": doc, "w": begin.astype(np.int32), "n": size.astype(np.int32)})
+                    yield pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), **{k: ids[doc, j] for j, k in enumerate(by)}, "w": begin.astype(np.int32), "n": size.astype(np.int32)})
 
     return run
 
 
-def _windows_of(window: int):
+def _windows_of(window: int, by: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, text, wanted in zip(b["_id"], b["_text"], b["wanted"]):
+            for i, text, wanted in zip(b[by].to_numpy(), b["_text"], b["wanted"]):
                 hashes = Words([utf8(text)]).hashes()
                 a = np.concatenate([np.full(x["n"], x["a"], dtype=np.int64) for x in wanted])
                 at = np.concatenate([np.arange(x["w"], x["w"] + x["n"]) for x in wanted])
                 keep = at + window <= len(hashes)
                 a, at = a[keep], at[keep]
-                yield pd.DataFrame({"a": a, "h": _ranges(hashes, at, at + window).view(np.int64), "_id": i, "w": at.astype(np.int32)})
+                yield pd.DataFrame({"a": a, "h": _ranges(hashes, at, at + window).view(np.int64), **dict(zip(by, i)), "w": at.astype(np.int32)})
 
     return run
 
@@ -122,14 +122,24 @@ def kept_words(text: bytes, spans: list[tuple[int, int]], window: int) -> tuple[
     return [x for x, g in zip(words, gone) if not g], len(words)
 
 
-def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_id, spans): the window starts of each document (first, count) whose words also start in an earlier one.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` and the columns that tell its rows apart: ids that repeat take a hash of the text along."""
+    if docs.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty():
+        return docs, ["_id"]
+    return docs.withColumn("_t", F.xxhash64("_text")), ["_id", "_t"]
 
-    ``docs`` has the columns _id and _text.
+
+def factors(docs: DataFrame, by: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(``by``, spans): the window starts of each document (first, count) whose words also start in an earlier one.
+
+    ``docs`` has the columns _id and _text; ``by`` tells its rows apart.
     """
     tables = shared.SharedTables(docs.sparkSession, "factors")
     known = docs.where("_id is not null")
-    rows = tables.keep(known.where(F.octet_length("_text") >= 2 * window - 1).mapInPandas(_blocks_of(window, gram), "a long, c long, _id long, w int, n int"))
+    if len(by) > 1:
+        known = known.dropDuplicates(by)
+    keys = "".join(f"{k} long, " for k in by)
+    rows = tables.keep(known.where(F.octet_length("_text") >= 2 * window - 1).mapInPandas(_blocks_of(window, gram, by), f"a long, c long, {keys}w int, n int"))
     # Both sides of a join are tables: adaptive execution can then split a hot anchor's rows.
     anchors = tables.keep(rows.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a"))
     rows = tables.keep(rows.join(anchors, "a"))
@@ -137,12 +147,12 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     several = classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several"))
     classes = tables.keep(classes.join(several, "a", "left"))
     rows = tables.keep(rows.join(classes, ["a", "c"]))
-    whole = rows.where("first < _id").select("_id", "w", "n")
-    wanted = rows.where("first = _id and several").groupBy("_id").agg(F.collect_list(F.struct("a", "w", "n")).alias("wanted"))
-    windows = tables.keep(known.join(wanted, "_id").mapInPandas(_windows_of(window), "a long, h long, _id long, w int"))
-    least = windows.groupBy("a", "h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("a", "h", "first")
-    edges = windows.join(least, ["a", "h"]).where("first < _id").select("_id", "w", F.lit(1).alias("n"))
-    return whole.union(edges).groupBy("_id").agg(F.collect_list(F.struct("w", "n")).alias("spans"))
+    whole = rows.where("first < _id").select(*by, "w", "n")
+    wanted = rows.where("first = _id and several").groupBy(*by).agg(F.collect_list(F.struct("a", "w", "n")).alias("wanted"))
+    windows = tables.keep(known.join(wanted, by).mapInPandas(_windows_of(window, by), f"a long, h long, {keys}w int"))
+    least = tables.keep(windows.groupBy("a", "h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("a", "h", "first"))
+    edges = windows.join(least, ["a", "h"]).where("first < _id").select(*by, "w", F.lit(1).alias("n"))
+    return whole.union(edges).groupBy(*by).agg(F.collect_list(F.struct("w", "n")).alias("spans"))
 
 
 def _digest(window: int):
@@ -171,9 +181,11 @@ def _texts(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text): the words that stay, joined by one space."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.join(factors(rows, window, gram), "_id", "left").mapInPandas(_texts(window), "_id long, text string").withColumnRenamed("_id", "doc_id")
+    rows, by = _keyed(rows)
+    return rows.join(factors(rows, by, window, gram), by, "left").mapInPandas(_texts(window), "_id long, text string").withColumnRenamed("_id", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.documents(spark, sf_dir).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return rows.join(factors(rows), "_id", "left").mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, by = _keyed(rows)
+    return rows.join(factors(rows, by), by, "left").mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
