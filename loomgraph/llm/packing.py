@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import re
 import zlib
 from collections.abc import Callable
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .textwords import Words, blocks, utf8
+from .textwords import Words, blocks, range_hashes, utf8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CAPACITY = 2048
@@ -38,26 +37,50 @@ CAPACITY = 2048
 HEADROOM = 1.04
 
 
-#: Letters that every lower-casing and splitting rule treats alike, then plain punctuation: two pre-tokens at most.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,!?;:*$&#%|()\-]*)")
-#: Words whose ids are found together.
+#: Bytes of texts whose ids are found together.
 _BLOCK = 1 << 20
+_LETTER, _MARK, _OTHER = 0, 1, 2
+#: Marks that make one pre-token when they stand together.
+_MARKS = np.frombuffer(b".,!?;:*$&#%|()-", dtype=np.uint8)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[_MARKS] = _MARK
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
+
+def _kinds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and the bytes lower-cased; letters are A-Z and the Latin-1 supplement's, which every rule treats alike."""
+    kind, small = _KIND[buf], _SMALL[buf]
+    at = np.flatnonzero(buf[:-1] == 0xC3) if len(buf) else np.zeros(0, dtype=np.int64)
+    low = buf[at + 1]
+    at, low = at[(low >= 0x80) & (low != 0x97) & (low != 0xB7)], low[(low >= 0x80) & (low != 0x97) & (low != 0xB7)]
+    kind[at] = kind[at + 1] = _LETTER
+    small[at + 1] = np.where(low <= 0x9E, low + 32, low)
+    return kind, small
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """How many hold before each place (and in all)."""
+    out = np.zeros(len(x) + 1, dtype=np.int32)
+    np.cumsum(x, dtype=np.int32, out=out[1:])
+    return out
 
 
 class WordTokens:
-    """Token ids of whole texts, kept by word.
+    """Token ids of whole texts, kept by pre-token.
 
     The tokenizer drops white space and never joins text across it, so the ids of
-    a text are those of its words in order.  A block of texts is split and hashed
-    with numpy; Python sees each distinct word of the block once, and the ids of
-    all words are gathered with numpy again.  A plain word is its lower-cased
-    letters and its punctuation, one pre-token each; the last token of a pre-token
-    is marked in the vocabulary, so many of them are encoded in one call by a
-    tokenizer that splits at spaces only.  The memory of words starts anew when it
-    is full.
+    a text are those of its words in order.  A plain word is letters and then
+    marks, one pre-token each; any other word is a unit that the tokenizer takes
+    as it is.  A block of texts is cut into units, lower-cased and hashed with
+    numpy; Python sees each distinct unit of the block once, and the ids of all
+    units are gathered with numpy again.  The last token of a pre-token is marked
+    in the vocabulary, so many new ones are encoded in one call by a tokenizer
+    that splits at spaces only.  The memory of units starts anew when it is full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -70,67 +93,68 @@ class WordTokens:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.most = most
-        self.words: dict[bytes, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _add(self, missing: list[bytes]) -> None:
-        """Encode words that are not known yet."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        plain, pieces, parts = [], [], []
-        for w in missing:
-            text = w.decode("utf-8", "surrogatepass")
-            m = _PLAIN.fullmatch(text)
-            if m is None:
-                self.words[w] = self._whole(text)
-                continue
-            plain.append(w)
-            letters, rest = m[1], m[2]
-            if letters:
-                pieces.append(letters.lower())
-            if rest:
-                pieces.append(rest)
-            parts.append((1 if letters else 0) + (1 if rest else 0))
+        self.units: dict[bytes, bytes] = {}
+
+    def _whole(self, unit: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode(unit.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _add(self, plain: list[bytes], others: list[bytes]) -> None:
+        """Encode units that are not known yet."""
+        self.units.update((x, self._whole(x)) for x in others)
         for at in range(0, len(plain), 2048):
-            self._add_plain(plain[at : at + 2048], pieces, parts, at)
-
-    def _add_plain(self, plain: list[bytes], pieces: list[str], parts: list[int], at: int) -> None:
-        before = sum(parts[:at]) if at else 0
-        counts = parts[at : at + len(plain)]
-        mine = pieces[before : before + sum(counts)]
-        ids = np.asarray(self.lean.encode(" ".join(mine), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(mine):
-            for w in plain:
-                self.words[w] = self._whole(w.decode("utf-8", "surrogatepass"))
-            return
-        data, bounds = ids.tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        for w, s, e in zip(plain, (bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist()):
-            self.words[w] = data[s:e]
+            part = plain[at : at + 2048]
+            ids = np.asarray(self.lean.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                self.units.update((x, self._whole(x)) for x in part)
+                continue
+            data, start = ids.tobytes(), 0
+            for x, end in zip(part, ends.tolist()):
+                self.units[x] = data[start:end]
+                start = end
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
         words = Words(texts)
         if not len(words):
             return [b""] * len(texts)
-        order, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        data = words.buf.tobytes()
-        distinct = [data[s:e] for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        found = list(map(self.words.get, distinct))
+        kind, small = _kinds(words.buf)
+        letters, others = (_running(kind == k) for k in (_LETTER, _OTHER))
+        turns = _running((kind[1:] == _LETTER) & (kind[:-1] == _MARK))
+        s, e = words.starts, words.ends
+        plain = (others[e] == others[s]) & (turns[e - 1] == turns[s])
+        n_letters = np.where(plain, letters[e] - letters[s], 0)
+        two = plain & (n_letters > 0) & (n_letters < e - s)
+        first = np.concatenate([[0], np.cumsum(1 + two)])  # the first unit of each word
+        word = np.repeat(np.arange(len(s)), 1 + two)
+        second = np.arange(len(word)) > first[word]
+        starts = s[word] + np.where(second, n_letters[word], 0)
+        ends = np.where(two[word] & ~second, s[word] + n_letters[word], e[word])
+        # Only plain words are lower-cased here.
+        change = np.zeros(len(words.buf) + 1, dtype=np.int8)
+        change[s[plain]] = 1
+        change[e[plain]] = -1
+        buf = np.where(np.cumsum(change[:-1], dtype=np.int8) > 0, small, words.buf)
+        which, known = pd.factorize(range_hashes(buf, starts, ends))
+        at = np.empty(len(known), dtype=np.int64)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        data = buf.tobytes()
+        distinct = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        found = list(map(self.units.get, distinct))
         if None in found:
-            self._add([w for w, x in zip(distinct, found) if x is None])
-            if None in (found := list(map(self.words.get, distinct))):  # the memory started anew
-                self._add([w for w, x in zip(distinct, found) if x is None])
-                found = list(map(self.words.get, distinct))
+            if len(self.units) > self.most:
+                self.units.clear()
+                found = [None] * len(distinct)
+            gone = [(x, p) for x, f, p in zip(distinct, found, plain[word[at]].tolist()) if f is None]
+            self._add([x for x, p in gone if p], [x for x, p in gone if not p])
+            found = list(map(self.units.get, distinct))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         joined = np.frombuffer(b"".join(found), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
+        place = np.cumsum(sizes) - sizes
         each = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = joined[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        cut = (ends[words.bounds] * 4).tolist()
-        return [ids[s:e] for s, e in zip(cut[:-1], cut[1:])]
+        reach = np.concatenate([[0], np.cumsum(each)])
+        ids = joined[np.repeat(place[which] - reach[:-1], each) + np.arange(reach[-1])].tobytes()
+        cut = (reach[first[words.bounds]] * 4).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

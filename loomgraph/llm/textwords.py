@@ -71,16 +71,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes and their places in the word."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        size = self.ends - self.starts
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-        each = self.buf[np.repeat(self.starts, size) + place]
-        x = _BYTE[each] + place.astype(np.uint64) * _GOLDEN
-        x = (x ^ (x >> np.uint64(29))) * _M1
-        x ^= x >> np.uint64(32)
-        return mix(np.add.reduceat(x, first) + size.astype(np.uint64) * _M2)
+        return range_hashes(self.buf, self.starts, self.ends)
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges (none empty) that depend on their bytes alone."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+    x = _BYTE[buf[np.repeat(starts, size) + place]] + place.astype(np.uint64) * _GOLDEN
+    x = (x ^ (x >> np.uint64(29))) * _M1
+    x ^= x >> np.uint64(32)
+    return mix(np.add.reduceat(x, first) + size.astype(np.uint64) * _M2)
 
 
 def grams(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
