@@ -11,12 +11,14 @@ their Jaccard index and are then confirmed on full sets.
 No group is expanded into its pairs.  First every member of a band group is
 compared with the group's smallest id (one pair a row), and the confirmed links
 are contracted to components.  Groups that hold several components yet are
-looked at again: a group's largest component is joined with what lies outside it
-only.  Groups over ``HOT`` rows come from shingles that many documents share;
-their documents take an exact way instead, a prefix filter: shingles ordered by
-their document count, of which a linked pair must share one among the rarest
-fifth, so that common lines bring nobody together.  Pairs of the second look
-leave the join only if their sizes and 1024-bit parity maps allow the
+looked at again.  Groups over ``HOT`` rows come from shingles that many documents
+share; their documents take an exact way instead, a prefix filter: shingles
+ordered by their document count, of which a linked pair must share one among the
+rarest fifth, so that common lines bring nobody together.  In a few rounds each
+such group's members are compared with one of them (another one each round),
+which gathers large groups of copies; what is still apart after that is joined,
+a group's largest component with what lies outside it only.  Pairs of the second
+look leave a join only if their sizes and 1024-bit parity maps allow the
 similarity, which is exact: a bit that differs is an element that differs.
 
 Components are found by alternating large-star and small-star rounds; every
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -46,6 +48,8 @@ BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
 HOT = 48
+#: Rounds in which the members of a group are compared with one of them.
+LEADS = 3
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 #: Longs of a set's parity map.
@@ -156,9 +160,9 @@ def _confirm(percent: int):
 
 def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for i, comp, s in zip(b["_id"], b["comp"], b["set"]):
+        for i, s in zip(b["_id"], b["set"]):
             h = np.frombuffer(s, dtype=np.int64)
-            yield pd.DataFrame({"h": h, "_id": i, "comp": comp, "n": len(h)})
+            yield pd.DataFrame({"h": h, "_id": i, "n": len(h)})
 
 
 class NearDedup:
@@ -183,45 +187,65 @@ class NearDedup:
         self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, n long, bits array<long>, regs binary, set binary"))
         links = self.confirmed(held.where("_id != lead").select(F.col("lead").alias("a"), F.col("_id").alias("b")).distinct())
         comps = self.components(links)
-        held = self.tables.keep(held.join(comps, "_id", "left").select("key", "_id", "rows", F.coalesce("comp", "_id").alias("comp")))
-        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        open_rows = self.tables.keep(held.join(mixed, "key"))
-        if not open_rows.isEmpty():
-            more = self.across(open_rows.where(F.col("rows") <= HOT).select("key", "_id", "comp"))
-            hot = open_rows.where(F.col("rows") > HOT).select("_id", "comp").distinct()
-            more = more.union(self.across(self.prefixes(hot)))
-            found = self.confirmed(more.distinct())
+        held = self.tables.keep(held.select("key", "_id", "rows"))
+        mixed = self.mixed(held, comps)
+        small = mixed.where(F.col("rows") <= HOT).select("key", "_id")
+        hot = mixed.where(F.col("rows") > HOT).select("_id").distinct()
+        rows = self.tables.keep(small.union(self.prefixes(hot)))
+        for turn in range(LEADS + 1):
+            open_rows = self.mixed(rows, comps)
+            if open_rows.isEmpty():
+                break
+            found = self.confirmed(self.leads(open_rows, turn) if turn < LEADS else self.across(open_rows))
             if not found.isEmpty():
-                comps = self.components(links.union(found))
+                links = self.tables.keep(links.union(found))
+                comps = self.components(links)
         whole = sketch.select("_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
         whole = whole.join(comps.withColumnRenamed("_id", "rep"), "rep", "left")
         component = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "rep", "_id"))
         return whole.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of a key's rows in different components that can be links; its largest component is never paired within itself."""
-        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
-        rows = rows.join(major, "key").join(self.sets.select("_id", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(LONGS)]), "_id")
-        out = rows.where("comp != major").select("key", F.col("_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(LONGS)])
-        there = rows.select("key", F.col("_id").alias("y"), F.col("comp").alias("cy"), "major", F.col("n").alias("ny"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(LONGS)])
+    def mixed(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """``rows`` with comp, of the keys that hold several components."""
+        rows = rows.join(comps, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
+        keys = self.tables.keep(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+        return self.tables.keep(rows.join(keys, "key"))
+
+    def sided(self, rows: DataFrame, mark: str, *more: str) -> DataFrame:
+        """One side of a join of a key's rows, with sizes and parity maps."""
+        bits = self.sets.select("_id", F.col("n").alias(f"n{mark}"), *[F.col("bits")[i].alias(f"{mark}{i}") for i in range(LONGS)])
+        return rows.select("key", "_id", F.col("comp").alias(f"c{mark}"), *more).join(bits, "_id").withColumnRenamed("_id", mark)
+
+    def paired(self, x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+        """Pairs (a, b) of a key's rows in different components that can be links."""
         differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
         # With d elements in one set only, the union has (nx + ny + d) / 2.
         alike = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
         sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
-        once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
-        pairs = out.join(there, (out["key"] == there["key"]) & once & sized & alike)
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & also & sized & alike)
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def leads(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each row and one row of its key."""
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("_id", "comp"), F.xxhash64("_id", F.lit(turn))).alias("l")).select("key", "l.*")
+        return self.paired(self.sided(rows, "x"), self.sided(lead, "y"), F.lit(True))
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """All pairs of a key's rows in different components; its largest component is never paired within itself."""
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        major = self.tables.keep(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("major")))
+        rows = rows.join(major, "key")
+        return self.paired(self.sided(rows.where("comp != major"), "x"), self.sided(rows, "y", "major"), (F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+
     def prefixes(self, hot: DataFrame) -> DataFrame:
-        """(key, _id, comp): the shingles of which a linked pair must share one, rarest first."""
-        rows = self.sets.select("_id", "set").join(hot, "_id").select("_id", "comp", "set").mapInPandas(_explode_sets, "h long, _id long, comp long, n long")
-        common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        shared_rows = rows.join(common, "h").groupBy("_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+        """(key, _id): the shingles of which a linked pair must share one, rarest first."""
+        rows = self.tables.keep(self.sets.select("_id", "set").join(hot, "_id").select("_id", "set").mapInPandas(_explode_sets, "h long, _id long, n long"))
+        common = self.tables.keep(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+        shared_rows = rows.join(common, "h").groupBy("_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
         least = F.ceil(F.col("n") * F.lit(self.percent) / F.lit(100.0) - F.lit(1e-9))
         alone = F.col("n") - F.size("order")
         size = F.greatest(F.lit(0), F.col("n") - least + 1 - alone).cast("int")
-        return shared_rows.select("_id", "comp", F.explode(F.slice("order", F.lit(1), size)).alias("o")).select(F.col("o.h").alias("key"), "_id", "comp")
+        return shared_rows.select("_id", F.explode(F.slice("order", F.lit(1), size)).alias("o")).select(F.col("o.h").alias("key"), "_id")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links, as a table."""
