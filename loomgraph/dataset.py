@@ -112,10 +112,10 @@ class Dataset:
             fs.delete(p, True)
             return seq - 1
         if self.guard is not None:
-            broken = self.guard(_apply(state, staged))
-            if not broken.isEmpty():
+            broken = self.guard(_apply(state, staged)).limit(5).collect()
+            if broken:
                 fs.delete(p, True)
-                raise ValueError(f"the commit is refused: {broken.limit(5).collect()}")
+                raise ValueError(f"the commit is refused: {broken}")
         target, _ = self._fs(f"{self.folder}/changes/seq={seq}")
         fs.mkdirs(target.getParent())
         fs.rename(p, target)

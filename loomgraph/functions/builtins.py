@@ -369,13 +369,13 @@ def _normalize(v: Val, form: Val | None = None) -> Val:
 
     name = (form.const if form is not None else None) or "NFC"
 
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
+    def normal(s):
         import unicodedata
 
         return s.map(lambda x: None if x is None else unicodedata.normalize(name, x))
 
-    return Val(normal(string(v)), STRING)
+    normal.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return Val(F.pandas_udf(normal, "string")(string(v)), STRING)
 
 
 FUNCTIONS[FN + "normalize-unicode"] = _normalize

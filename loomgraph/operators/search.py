@@ -117,18 +117,26 @@ def porter(word: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
-def _porter_all(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+def _porter_all(words: Column) -> Column:
+    """Stems of a list of words."""
 
-    def stem(w: str) -> str:
-        if w not in known:
-            if len(known) > 200_000:
-                known.clear()
-            known[w] = porter(w)
-        return known[w]
+    def stems(lists: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
 
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+        def stem(w: str) -> str:
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = porter(w)
+            return known[w]
+
+        return lists.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    return F.pandas_udf(stems, "array<string>")(words)
+
+
+def _count(tokens: Column | str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == F.lit(word)))
 
 
 def analyze(text: Column, language: str | None = None, stem: bool = False) -> Column:
@@ -177,7 +185,7 @@ def parse_query(text: str, language: str | None = None, stem: bool = False) -> T
     for sign, phrase, slop, word in re.findall(r'([+-]?)(?:"([^"]*)"(?:~(\d+))?|(\S+))', text):
         if phrase:
             q.phrases.append((words(phrase), int(slop or 0)))
-        elif word.upper() not in ("AND", "OR"):
+        elif word not in ("AND", "OR"):
             (q.must if sign == "+" else q.never if sign == "-" else q.should).extend(words(word))
     if re.search(r"\bAND\b", text):
         q.must, q.should = q.must + q.should, []
@@ -194,7 +202,7 @@ def _phrase(tokens: Column, words: list[str], slop: int) -> Column:
         part = F.slice(tokens, i, F.lit(width))
         out = F.lit(True)
         for w in dict.fromkeys(words):
-            out = out & (F.size(F.filter(part, lambda x, w=w: x == w)) >= words.count(w))
+            out = out & (_count(part, w) >= words.count(w))
         return out
 
     return F.exists(starts, inside)
@@ -206,7 +214,7 @@ def bm25(docs: DataFrame, query: str, text: str = "text", key: str = "doc_id", l
     rows = docs.where(F.col(text).isNotNull()).select(key, analyze(F.col(text), language, stem).alias("_t"))
     if not q.terms:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    tf = {w: F.size(F.filter("_t", lambda x, w=w: x == w)) for w in q.terms}
+    tf = {w: _count("_t", w) for w in q.terms}
     rows = rows.select(key, F.size("_t").alias("_n"), *[c.alias(f"_f{i}") for i, c in enumerate(tf.values())], *[_phrase(F.col("_t"), w, s).alias(f"_p{i}") for i, (w, s) in enumerate(q.phrases)], F.arrays_overlap("_t", F.array(*[F.lit(w) for w in q.never])).alias("_not") if q.never else F.lit(False).alias("_not"))
     figures = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(tf))])
     # One row of figures: a join with a broadcast of one row.

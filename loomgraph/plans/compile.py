@@ -732,7 +732,7 @@ class Compiler:
                 rank = F.struct(F.when(v.col["kind"] == 1, 1).when(v.col["kind"] == 0, 2).otherwise(3).alias("r"), L.dyn_number(v.col).alias("n"), v.col["lex"].alias("l"), v.col.alias("t"))
                 return self._guard(f(F.when(v.col.isNotNull(), rank))["t"], v, loose=True), DYN.null()
             return self._guard(f(v.col), v, loose=True), v.lane.null()
-        num = v if v.family == "num" else Val(B.number(v).cast("double"), DOUBLE)
+        num = v if v.family == "num" else Val(B.number(v).cast("double"), DOUBLE.null())
         x = num.col
         integer = num.lane.dt in L.INTEGERS
         if a.name == "SUM":

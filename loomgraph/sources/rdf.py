@@ -69,13 +69,13 @@ _LINE = rf"^\s*({_NODE})\s+<([^>]*)>\s+({_NODE}|{_LITERAL})\s*({_NODE})?\s*\.\s*
 def _unescape(c: Column) -> Column:
     """Backslash escapes; a text without backslashes is left alone."""
 
-    @F.pandas_udf("string")
-    def slow(texts: pd.Series) -> pd.Series:
+    def slow(texts):
         from ..plans.parser import unescape
 
         return texts.map(lambda x: None if x is None else unescape(x))
 
-    return F.when(F.contains(c, F.lit("\\")), slow(c)).otherwise(c)
+    slow.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.when(F.contains(c, F.lit("\\")), F.pandas_udf(slow, "string")(c)).otherwise(c)
 
 
 def _plain_unescape(c: Column) -> Column:

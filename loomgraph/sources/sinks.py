@@ -99,5 +99,5 @@ def void(graph) -> DataFrame:
     stats = whole.select(F.explode(F.array(*[F.struct(F.lit("urn:dataset").alias("s"), F.lit(VOID + p).alias("p"), F.col(c).cast("string").alias("o")) for c, p in (("n", "triples"), ("subjects", "distinctSubjects"), ("objects", "distinctObjects"), ("properties", "properties"))])).alias("x")).select("x.*")
     classes = triples.where(F.col("p") == RDF + "type").groupBy(F.col("o.lex").alias("c")).agg(F.count("*").alias("n"))
     props = triples.groupBy("p").agg(F.count("*").alias("n"))
-    part = lambda df, key, kind, target, count: df.select(F.explode(F.array(F.struct(F.concat(F.lit(f"urn:dataset#{kind}="), F.col(key)).alias("s"), F.lit(VOID + target).alias("p"), F.col(key).alias("o")), F.struct(F.concat(F.lit(f"urn:dataset#{kind}="), F.col(key)), F.lit(VOID + count), F.col("n").cast("string")))).alias("x")).select("x.*")
+    part = lambda df, key, kind, target, count: df.select(F.explode(F.array(F.struct(F.concat(F.lit(f"urn:dataset#{kind}="), F.col(key)).alias("s"), F.lit(VOID + target).alias("p"), F.col(key).alias("o")), F.struct(F.concat(F.lit(f"urn:dataset#{kind}="), F.col(key)).alias("s"), F.lit(VOID + count).alias("p"), F.col("n").cast("string").alias("o")))).alias("x")).select("x.*")
     return stats.union(part(classes, "c", "class", "class", "entities")).union(part(props, "p", "property", "property", "triples"))

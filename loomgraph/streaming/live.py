@@ -119,16 +119,21 @@ def follow(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoi
 # ---------------------------------------------------------------- event time
 
 
+def _marked(df: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark, which needs instants."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else df
+
+
 def tumbling(df: DataFrame, time: str, width: str, keys: list[str], aggregates: list[Column], late: str | None = None, slide: str | None = None) -> DataFrame:
     """Grouped by tumbling or sliding windows; with ``late`` a watermark drops state (streams)."""
-    df = df.withWatermark(time, late) if late else df
+    df = _marked(df, time, late)
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return df.groupBy(window.alias("w"), *keys).agg(*aggregates).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
 
 
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str], aggregates: list[Column], late: str | None = None) -> DataFrame:
     """Grouped by sessions: runs of events of a key less than ``gap`` apart."""
-    df = df.withWatermark(time, late) if late else df
+    df = _marked(df, time, late)
     return df.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggregates).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
 
 
