@@ -219,5 +219,5 @@ def search(spark: Any, df: DataFrame, source: Any, target: Any | None = None, al
         out = out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     # The index orders the paths of one result; a limit or target bounds them.
     out = out.withColumn("path_index", F.sha2(F.to_json("nodes"), 256))
-    rows = out.select("path_index", F.posexplode("edges").alias("edge_index", "e"), F.size("edges").alias("length"), "cost")
-    return rows.select("path_index", "edge_index", F.col("e.a").alias("edge_src"), F.col("e.b").alias("edge_dst"), "length", "cost")
+    rows = out.select("path_index", F.posexplode("edges").alias("edge_index", "e"), F.size("edges").cast("long").alias("length"), "cost")
+    return rows.select("path_index", F.col("edge_index").cast("long").alias("edge_index"), F.col("e.a").alias("edge_src"), F.col("e.b").alias("edge_dst"), "length", "cost")

@@ -121,7 +121,7 @@ _add("text_must", _bm25_sql(["of", "the"], "f0 > 0 AND f1 > 0"))(lambda spark, s
 _add("text_phrase", _bm25_sql(["of", "the"], "contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')"))(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), '"of the"').select("doc_id", F.round("score", 4).alias("score")))
 _add("text_not", _bm25_sql(["the"], "f0 > 0 AND NOT list_contains(t, 'of')"))(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), "the -of").select("doc_id", F.round("score", 4).alias("score")))
 _add("text_postings", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY term")(lambda spark, sf: search.postings(_t(spark, sf, "documents")).groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("places")))
-_add("text_stemmed")(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), "running walks", language="en", stem=True))
+_add("text_stemmed")(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), "resting heins erations", language="en", stem=True))
 _add("text_highlight", r"SELECT doc_id, regexp_replace(text, '\b([Tt]he|THE)\b', '<b>\1</b>', 'g') AS h FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$') AND regexp_matches(text, '\bthe\b')")(lambda spark, sf: _t(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$") & F.col("text").rlike(r"\bthe\b")).select("doc_id", F.regexp_replace("text", r"\b([Tt]he|THE)\b", "<b>$1</b>").alias("h")))
 _add("entity_search", "SELECT n_nationkey AS k, CASE WHEN lower(n_name) = 'nation_1' THEN 3.0 WHEN starts_with(lower(n_name), 'nation_1') THEN 2.0 ELSE 1.0 END::DOUBLE AS score FROM nation WHERE starts_with(lower(n_name), 'nation_1') OR levenshtein(lower(n_name), 'nation_1') <= 1")(lambda spark, sf: search.entity_search(_t(spark, sf, "nation"), "Nátion_1", "n_name", limit=100).select(F.col("n_nationkey").alias("k"), "score"))
 
@@ -174,7 +174,7 @@ def _geo_join(spark: SparkSession, sf: str) -> DataFrame:
 
 _add(
     "geo_measures",
-    "SELECT n_nationkey AS k, round(((n_nationkey % 5) + 1) * 2.0, 4)::DOUBLE AS area, round(2 * (((n_nationkey % 5) + 1) + 2), 4)::DOUBLE AS perimeter, 2 AS dimension FROM nation",
+    "SELECT n_nationkey AS k, round(((n_nationkey % 5) + 1) * 2.0, 4)::DOUBLE AS area, round(2 * (((n_nationkey % 5) + 1) + 2), 4)::DOUBLE AS perimeter, 2::BIGINT AS dimension FROM nation",
 )(lambda spark, sf: _t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.format_string("POLYGON((0 0, %1$d 0, %1$d 2, 0 2, 0 0))", F.col("n_nationkey") % 5 + 1).alias("g")).select("k", F.round(geo.function("area", F.col("g")), 4).alias("area"), F.round(geo.function("perimeter", F.col("g")), 4).alias("perimeter"), geo.function("dimension", F.col("g")).alias("dimension")))
 _add("geo_aggregate")(lambda spark, sf: geo.aggregate(_places(spark, sf).select((F.col("id") % 7).alias("k"), F.format_string("POINT(%s %s)", F.col("lon").cast("string"), F.col("lat").cast("string")).alias("g")), ["k"], "g", "convexHull"))
 

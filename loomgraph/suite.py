@@ -287,15 +287,15 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     "unfold_list": (
         'SELECT ?k ?x ?i WHERE { ?s ex:suppkey ?k UNFOLD("[3, 4, 5]"^^cdt:List AS ?x, ?i) FILTER(?k < ?x) }',
-        "SELECT s_suppkey AS k, x, i FROM supplier, (VALUES (3, 1), (4, 2), (5, 3)) v(x, i) WHERE s_suppkey < x",
+        "SELECT s_suppkey AS k, x::BIGINT AS x, i::BIGINT AS i FROM supplier, (VALUES (3, 1), (4, 2), (5, 3)) v(x, i) WHERE s_suppkey < x",
     ),
     "unfold_map": (
         'SELECT ?k ?x ?y WHERE { ?s ex:suppkey ?k UNFOLD("{1: 10, 2: 20}"^^cdt:Map AS ?x, ?y) FILTER(?k = ?x) }',
-        "SELECT s_suppkey AS k, x, y FROM supplier, (VALUES (1, 10), (2, 20)) v(x, y) WHERE s_suppkey = x",
+        "SELECT s_suppkey AS k, x::BIGINT AS x, y::BIGINT AS y FROM supplier, (VALUES (1, 10), (2, 20)) v(x, y) WHERE s_suppkey = x",
     ),
     "cdt_functions": (
         "SELECT ?k (cdt:size(?l) AS ?a) (cdt:contains(?l, ?k) AS ?b) (cdt:head(cdt:reverse(?l)) AS ?c) (cdt:size(cdt:tail(?l)) AS ?d) (cdt:get(cdt:concat(?l, ?l), 5) AS ?e) (cdt:head(cdt:subseq(?l, 2, 1)) AS ?f) WHERE { ?s ex:suppkey ?k BIND(cdt:List(1, 2, ?k) AS ?l) }",
-        "SELECT s_suppkey AS k, 3 AS a, true AS b, s_suppkey AS c, 2 AS d, 2 AS e, 2 AS f FROM supplier",
+        "SELECT s_suppkey AS k, 3::BIGINT AS a, true AS b, s_suppkey AS c, 2::BIGINT AS d, 2::BIGINT AS e, 2::BIGINT AS f FROM supplier",
     ),
     # ------------------------------------------------------------ whole graph
     "count_all": ("SELECT (COUNT(*) AS ?k) WHERE { ?s ?p ?o }", f"SELECT sum(k)::BIGINT AS k FROM ({_PREDICATES})"),
