@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import geo
 from ..plans import lanes as L
 from ..plans.lanes import BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, DYN, FULL_IRI, INTEGER, RDF, STRING, XSD, Lane
 
@@ -591,3 +592,9 @@ FUNCTIONS[VEC + "dot"] = lambda a, b: Val(_dot(a.col, b.col), DOUBLE)
 FUNCTIONS[VEC + "cosine"] = lambda a, b: Val(F.try_divide(_dot(a.col, b.col), F.sqrt(_dot(a.col, a.col)) * F.sqrt(_dot(b.col, b.col))), DOUBLE)
 FUNCTIONS[VEC + "euclidean"] = lambda a, b: Val(F.sqrt(F.aggregate(F.zip_with(a.col.cast("array<double>"), b.col.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DOUBLE)
 FUNCTIONS[VEC + "dimension"] = lambda a: Val(F.size(a.col).cast("bigint"), INTEGER)
+
+
+# geometry
+GEOF = "http://www.opengis.net/def/function/geosparql/"
+for _name, (_, _kind) in (geo.UNARY | geo.BINARY).items():
+    FUNCTIONS[GEOF + _name] = lambda *args, n=_name, k=_kind: Val(geo.function(n, *[number(a).cast("double") if a.family == "num" else string(a) for a in args[: 1 if n in geo.UNARY else 2]]), {"double": DOUBLE, "boolean": BOOLEAN, "long": INTEGER}.get(k, Lane("lit", dt="http://www.opengis.net/ont/geosparql#wktLiteral") if n not in ("asGeoJSON", "getSRID", "geometryType", "relate") else STRING))

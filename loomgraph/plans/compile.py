@@ -129,6 +129,11 @@ class Compiler:
     def _bgp(self, n: A.Bgp) -> Solution:
         if not n.triples:
             return self.unit()
+        from ..operators import properties
+
+        triples, calls = properties.split(n.triples)
+        if calls:
+            return properties.apply(self, self._bgp(A.Bgp(triples)) if triples else None, calls)
         simple, others = [], []
         for s, p, o in n.triples:
             if isinstance(p, A.Path) and p.op == "seq":

@@ -350,6 +350,19 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT (COUNT(*) AS ?k) WHERE { ?x a ex:Nation . ?x !(ex:name|rdf:type) ?y }",
         "SELECT count(*) AS k FROM nation",
     ),
+    # ------------------------------------------------------------ property functions
+    "property_text": (
+        'SELECT ?k WHERE { (?d ?score) text:query (ex:text "+of +the") . ?d ex:docId ?k }',
+        r"SELECT doc_id AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) WHERE list_contains(t, 'of') AND list_contains(t, 'the')",
+    ),
+    "property_split": (
+        "SELECT ?n ?l ?c WHERE { ?x a ex:Region ; ex:name ?m . ?x apf:splitIRI (?n ?l) . ?c apf:concat (?m \"!\") }",
+        "SELECT 'http://example.org/region/' || r_regionkey AS n, '' AS l, r_name || '!' AS c FROM region",
+    ),
+    "geo_functions": (
+        'SELECT ?k (geof:area(?g) AS ?a) (geof:sfWithin("POINT(1 1)"^^geo:wktLiteral, ?g) AS ?w) WHERE { ?x a ex:Supplier ; ex:suppkey ?k BIND(STRDT(CONCAT("POLYGON((0 0, ", STR(?k), " 0, ", STR(?k), " 2, 0 2, 0 0))"), geo:wktLiteral) AS ?g) FILTER(?k > 0) }',
+        "SELECT s_suppkey AS k, s_suppkey * 2.0::DOUBLE AS a, s_suppkey > 1 AS w FROM supplier WHERE s_suppkey > 0",
+    ),
     # ------------------------------------------------------------ vectors
     "vector_topk": (
         "SELECT ?k (vec:cosine(?e, ?q) AS ?score) WHERE { <http://example.org/vector/7> ex:embedding ?q . ?v ex:vecId ?k ; ex:embedding ?e } ORDER BY DESC(?score) ?k LIMIT 10",

@@ -260,3 +260,19 @@ def test_saved_mappings(spark, tmp_path):
     spark.createDataFrame([(2, "B", None)], "id int, name string, boss int").createOrReplaceTempView("people")
     m.run("p", graph="http://example.org/g", replace=True)
     assert {r.s.lex for r in d.quads().collect()} == {"http://example.org/p/2"}
+
+
+def test_property_functions(spark, tmp_path):
+    from loomgraph.operators.properties import register_property
+
+    d = Dataset(spark, f"{tmp_path}/d")
+    d.update('INSERT DATA { ex:a ex:l (ex:x "y" 3) . ex:bag rdf:_1 ex:p ; rdf:_2 ex:q . ex:s wgs:lat 50.0 ; wgs:long 10.0 . ex:t wgs:lat 10.0 ; wgs:long 10.0 ; ex:name "Tiny town" }')
+    one = lambda q: sorted(tuple(r) for r in d.query(q).collect())
+    assert [x for (x,) in one("SELECT ?m { ex:a ex:l ?l . ?l list:member ?m }")] == ["3", "http://example.org/x", "y"]
+    assert one("SELECT ?i ?m { ex:a ex:l ?l . ?l list:index (?i ?m) }") == [(0, "http://example.org/x"), (1, "y"), (2, "3")]
+    assert one("SELECT ?n { ex:a ex:l ?l . ?l list:length ?n }") == [(3,)]
+    assert one("SELECT ?x { ex:bag rdfs:member ?x }") == [("http://example.org/p",), ("http://example.org/q",)]
+    assert one("SELECT ?x { ?x spatial:nearby (50.1 10.1 50) }") == [("http://example.org/s",)] and one("SELECT ?x { ?x spatial:withinBox (0 0 20 20) }") == [("http://example.org/t",)]
+    assert one('SELECT ?x ?h { (?x ?s ?h) text:query (ex:name "town" 5 "highlight:s:[ | e:]") }') == [("http://example.org/t", "Tiny [town]")]
+    register_property("http://example.org/two", lambda c, s, o: c.compile(parse(f"SELECT ?{o[0].name} {{ VALUES ?{o[0].name} {{ 1 2 }} }}").pattern))
+    assert one("SELECT ?x { ex:a ex:two ?x }") == [(1,), (2,)]
