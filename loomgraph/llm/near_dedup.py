@@ -14,10 +14,11 @@ are contracted to components.  Groups that hold several components yet are
 looked at again.  Groups over ``HOT`` rows come from shingles that many documents
 share; their documents take an exact way instead, a prefix filter: shingles
 ordered by their document count, of which a linked pair must share one among the
-rarest fifth, so that common lines bring nobody together.  In a few rounds each
-such group's members are compared with one of them (another one each round),
-which gathers large groups of copies; what is still apart after that is joined,
-a group's largest component with what lies outside it only.  Pairs of the second
+rarest fifth, so that common lines bring nobody together.  In a few rounds those
+of a group that share a MinHash (another one each round) are compared with the
+first of them, which gathers copies; what is still apart after that is joined, a
+group's largest component with what lies outside it only, and a pair with several
+groups in the first of them.  Pairs of the second
 look leave a join only if their sizes and 1024-bit parity maps allow the
 similarity, which is exact: a bit that differs is an element that differs.
 
@@ -34,7 +35,7 @@ columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,8 @@ BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
 HOT = 48
-#: Rounds in which the members of a group are compared with one of them.
-LEADS = 3
+#: Rounds in which members of a group that share a MinHash are compared with one of them.
+LEADS = 1
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 #: Longs of a set's parity map.
@@ -93,6 +94,12 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def least(shingles: np.ndarray) -> np.ndarray:
+    """The MinHash of each round."""
+    salts = mix(np.arange(1, LEADS + 1, dtype=np.uint64))
+    return np.array([mix(shingles ^ s).min() if len(shingles) else 0 for s in salts], dtype=np.uint64).view(np.int64)
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One key for each band that has a full register."""
     bands = regs.reshape(-1, ROWS)
@@ -131,7 +138,7 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = list(shingle_sets([utf8(t) for t in b["_text"]], k))
-            yield pd.DataFrame({"_id": b["_id"], "n": [len(x) for x in found], "bits": [parity(x) for x in found], "regs": [registers(x).tobytes() for x in found], "set": [x.tobytes() for x in found]})
+            yield pd.DataFrame({"_id": b["_id"], "n": [len(x) for x in found], "bits": [parity(x) for x in found], "mins": [least(x) for x in found], "regs": [registers(x).tobytes() for x in found], "set": [x.tobytes() for x in found]})
 
     return run
 
@@ -184,21 +191,25 @@ class NearDedup:
         groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("_id").alias("lead")).where("rows > 1 and lead is not null")
         held = self.tables.keep(rows.join(groups, "key"))
         needed = held.select("_id").distinct()
-        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, n long, bits array<long>, regs binary, set binary"))
+        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, n long, bits array<long>, mins array<long>, regs binary, set binary"))
         links = self.confirmed(held.where("_id != lead").select(F.col("lead").alias("a"), F.col("_id").alias("b")).distinct())
         comps = self.components(links)
-        held = self.tables.keep(held.select("key", "_id", "rows"))
-        mixed = self.mixed(held, comps)
+        mixed = self.mixed(held.select("key", "_id", "rows"), comps)
+        first = self.tables.count
         small = mixed.where(F.col("rows") <= HOT).select("key", "_id")
         hot = mixed.where(F.col("rows") > HOT).select("_id").distinct()
         rows = self.tables.keep(small.union(self.prefixes(hot)))
+        for number in range(first, self.tables.count):
+            self.tables.drop(number)
         for turn in range(LEADS + 1):
             open_rows = self.mixed(rows, comps)
             if open_rows.isEmpty():
                 break
+            at = self.tables.count
             found = self.confirmed(self.leads(open_rows, turn) if turn < LEADS else self.across(open_rows))
+            self.tables.drop(at)
             if not found.isEmpty():
-                links = self.tables.keep(links.union(found))
+                links = links.union(found)
                 comps = self.components(links)
         whole = sketch.select("_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
         whole = whole.join(comps.withColumnRenamed("_id", "rep"), "rep", "left")
@@ -208,34 +219,40 @@ class NearDedup:
     def mixed(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
         """``rows`` with comp, of the keys that hold several components."""
         rows = rows.join(comps, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
-        keys = self.tables.keep(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+        keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
         return self.tables.keep(rows.join(keys, "key"))
 
-    def sided(self, rows: DataFrame, mark: str, *more: str) -> DataFrame:
+    def sided(self, rows: DataFrame, mark: str, *more: str | Column) -> DataFrame:
         """One side of a join of a key's rows, with sizes and parity maps."""
         bits = self.sets.select("_id", F.col("n").alias(f"n{mark}"), *[F.col("bits")[i].alias(f"{mark}{i}") for i in range(LONGS)])
         return rows.select("key", "_id", F.col("comp").alias(f"c{mark}"), *more).join(bits, "_id").withColumnRenamed("_id", mark)
 
-    def paired(self, x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+    def paired(self, x: DataFrame, y: DataFrame, also: Column, last: Callable[[], Column] = lambda: F.lit(True)) -> DataFrame:
         """Pairs (a, b) of a key's rows in different components that can be links."""
         differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
         # With d elements in one set only, the union has (nx + ny + d) / 2.
         alike = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
         sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & also & sized & alike)
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & also & sized & alike & last())
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def leads(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each row and one row of its key."""
-        lead = rows.groupBy("key").agg(F.min_by(F.struct("_id", "comp"), F.xxhash64("_id", F.lit(turn))).alias("l")).select("key", "l.*")
-        return self.paired(self.sided(rows, "x"), self.sided(lead, "y"), F.lit(True))
+        """Pairs of each row and the first one of its key with the same MinHash."""
+        rows = rows.join(self.sets.select("_id", F.col("mins")[turn].alias("m")), "_id")
+        lead = rows.groupBy("key", "m").agg(F.min(F.struct("_id", "comp")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", "m", "l.*")
+        x, y = self.sided(rows, "x", "m"), self.sided(lead, "y", F.col("m").alias("my"))
+        return self.paired(x, y, F.col("m") == F.col("my"))
 
     def across(self, rows: DataFrame) -> DataFrame:
         """All pairs of a key's rows in different components; its largest component is never paired within itself."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
         major = self.tables.keep(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("major")))
-        rows = rows.join(major, "key")
-        return self.paired(self.sided(rows.where("comp != major"), "x"), self.sided(rows, "y", "major"), (F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+        # A row has few keys: its rarest shingles and its bands.
+        own = self.tables.keep(rows.groupBy("_id").agg(F.collect_set("key").alias("own")))
+        rows = rows.join(major, "key").join(own, "_id")
+        x, y = self.sided(rows.where("comp != major"), "x", F.col("own").alias("ox")), self.sided(rows, "y", "major", F.col("own").alias("oy"))
+        once = (F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))
+        return self.paired(x, y, once, lambda: F.array_min(F.array_intersect("ox", "oy")) == x["key"])
 
     def prefixes(self, hot: DataFrame) -> DataFrame:
         """(key, _id): the shingles of which a linked pair must share one, rarest first."""
@@ -257,7 +274,7 @@ class NearDedup:
     def components(self, links: DataFrame) -> DataFrame:
         """(_id, comp) of every id that has a link; comp is the smallest id reachable."""
         edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None
-        last = None
+        last, rows = None, links.count()
         while True:
             both = edges.union(edges.select("v", "u"))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -265,7 +282,7 @@ class NearDedup:
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u")
             small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u != v").distinct()
-            edges = self.tables.keep(small)
+            edges = self.tables.keep(small, rows)
             if last:
                 self.tables.drop(last)
             last = self.tables.count
@@ -273,7 +290,7 @@ class NearDedup:
             # A star forest that another round leaves alone: every node has one parent.
             if state == before and state[0] == state[2]:
                 break
-            before = state
+            before, rows = state, state[0]
         roots = edges.select(F.col("v").alias("_id"), F.col("v").alias("comp")).distinct()
         return edges.select(F.col("u").alias("_id"), F.col("v").alias("comp")).union(roots)
 

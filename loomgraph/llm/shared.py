@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Removed at both ends of a line, and what separates words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of a small table's file.
+ROWS_A_FILE = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,10 +28,12 @@ class SharedTables:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back; about ``rows`` rows, if known, go to as few files as they fill."""
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if rows is not None:
+            df = df.coalesce(-(-max(1, rows) // ROWS_A_FILE))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
