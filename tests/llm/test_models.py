@@ -141,6 +141,34 @@ def test_gradients():
         assert abs((up - down) / (2 * eps) - grads[name][at]) < 1e-4
 
 
+def test_all_training_texts_teach(spark, documents, monkeypatch):
+    """A pattern that only the highest ids have reaches the network, and every token is learned from."""
+    rng = random.Random(4)
+    turn = ["zero", "one", "two", "three", "four", "five", "six", "seven"]
+    mixed = lambda: " ".join(rng.choice(turn) for _ in range(80))
+    cycle = lambda k: " ".join(turn[(k + j) % 8] for j in range(80))
+    rows = [(i, mixed()) for i in range(300)] + [(1000 + i, cycle(i)) for i in range(900)]
+    train = documents(rows).selectExpr("doc_id AS _id", "text AS _text")
+    monkeypatch.setattr(lm_score, "TRAIN_TOKENS", 400)
+    monkeypatch.setattr(lm_score, "TRAIN_TEXTS", len(rows))
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 50_000, raising=False)
+    monkeypatch.setattr(lm_score, "FAN", 1 << 20, raising=False)
+    _, vocabulary, network = lm_score.learn(train, lm_score.shared.SharedTables(spark, "t"))
+    ids = lambda t: next(lm_score._ids_of(lm_score.Words([t.encode()], lower=True), vocabulary))[2]
+    ordered, shuffled = network.score([ids(cycle(3)), ids(" ".join(sorted(turn * 10)))])
+    assert ordered > 0.75 * shuffled
+    assert lm_score.teach(train, vocabulary, lm_score.Network()) == vocabulary.total == 1200 * 81
+
+
+def test_models_are_averaged_by_tokens(spark):
+    """Sums over several levels are the sum over all parts."""
+    rows = [(i, i + 1, np.full(3, float(i * (i + 1))).tobytes()) for i in range(70)]
+    df = spark.createDataFrame(rows, lm_score._MODEL)
+    got = df.groupBy(F.floor(F.col("part") / lm_score.FAN)).applyInPandas(lm_score._added, lm_score._MODEL).collect()
+    assert sorted(r.part for r in got) == [0, 1, 2] and sum(r.tokens for r in got) == sum(range(71))
+    assert sum(np.frombuffer(r.model)[0] for r in got) == sum(i * (i + 1) for i in range(70))
+
+
 # ---------------------------------------------------------------- quality
 
 
