@@ -7,13 +7,13 @@ adding or subtracting its vector (``combine``).
 
 A paragraph's vector has two parts.  Eight lanes modulo 2**30 are hashes of the
 whole paragraph: they decide equality.  Ninety-six lanes modulo 2**24 are the
-sum, over the paragraph's phrases, of random signs; a phrase ends at a space
-after one of a few letters and marks, so phrases depend on nearby letters alone
-and an edit changes few.  Two documents' lanes then have an inner product that
-estimates how many phrases they share, which gives ``likeness`` (0 to 1; equal
-fingerprints have 1).
+sum, over the paragraph's pairs of neighbouring words (with a mark at both ends
+of the paragraph), of random signs, so an edit changes few in any text.  Words
+are cut after ``LONGEST`` letters, and after each letter of scripts that write no
+spaces.  Two documents' lanes then have an inner product that estimates how many
+pairs they share, which gives ``likeness`` (0 to 1; equal fingerprints have 1).
 
-Everything is DataFrame functions.  The phrases of a document are exploded and
+Everything is DataFrame functions.  The pairs of a document are exploded and
 counted in the same task before one row a document is shuffled; two counts share
 one long, so 48 sums make 96 lanes and cannot overflow.
 
@@ -38,8 +38,9 @@ from . import shared
 HASHES = 2
 SUMS = 48
 EXACT = 4
-#: What ends a phrase.
-PHRASE = "(?<=[e.,;:!?]) |\n"
+LONGEST = 24
+#: What is followed by a cut inside a word: Thai to Khmer letters, CJK, kana, Hangul, or too many letters.
+CUT = rf"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7AF]|\S{{{LONGEST}}}(?=\S)"
 _LOW31 = (1 << 31) - 1
 _HALVES = ((1 << 30) - 1) << 32 | (1 << 30) - 1
 _TWO = (1 << 31) | 1
@@ -57,14 +58,21 @@ def _exact(text: Column) -> list[Column]:
     return [lane(i) for i in range(EXACT)]
 
 
+def _words(text: Column) -> Column:
+    """Words of all paragraphs; a line feed stands before, between and behind paragraphs."""
+    cut = F.regexp_replace(F.replace(text, F.lit("\t"), F.lit(" ")), CUT, "$0 ")
+    return F.split(F.concat(F.lit("\n "), F.replace(cut, F.lit("\n"), F.lit(" \n ")), F.lit(" \n")), " ", -1)
+
+
 def fingerprints(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row for each row of ``texts`` (whose other columns must tell rows apart): these columns, ``exact`` and packed ``counts``."""
     keys = [c for c in texts.columns if c != text]
     whole = F.coalesce(F.col(text), F.lit(""))
     # What is computed once a row must lie below the explode, not beside it.
-    rows = texts.select(*keys, *[c.alias(f"_e{i}") for i, c in enumerate(_exact(whole))], F.split(whole, PHRASE, -1).alias("_ps"))
+    rows = texts.select(*keys, *[c.alias(f"_e{i}") for i, c in enumerate(_exact(whole))], _words(whole).alias("_ws"))
     by = [*keys, *[f"_e{i}" for i in range(EXACT)]]
-    rows = rows.select(*by, F.explode("_ps").alias("_p")).select(*by, F.xxhash64(F.lit(101), "_p").alias("_h0"), F.xxhash64(F.lit(202), "_p").alias("_h1"))
+    pairs = F.arrays_zip(F.slice("_ws", F.lit(1), F.size("_ws") - 1).alias("a"), F.slice("_ws", F.lit(2), F.size("_ws") - 1).alias("b"))
+    rows = rows.select(*by, F.explode(pairs).alias("_p")).select(*by, F.xxhash64(F.lit(101), "_p.a", "_p.b").alias("_h0"), F.xxhash64(F.lit(202), "_p.a", "_p.b").alias("_h1"))
     sums = [F.sum(F.shiftrightunsigned(f"_h{j % HASHES}", j // HASHES).bitwiseAND(_TWO)).alias(f"_s{j}") for j in range(SUMS)]
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums)
     return out.select(*keys, F.array(*[half for i in range(EXACT) for half in (F.col(f"_e{i}").bitwiseAND((1 << 30) - 1), F.shiftright(f"_e{i}", 32))]).alias("exact"), F.array("_n", *[f"_s{j}" for j in range(SUMS)]).alias("counts"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,15 @@ def test_homomorphic(spark):
 def test_likeness_orders_edits(spark, folder, documents, sf):
     got = M.query(spark, sf).where("n_chars > 1000").agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).collect()[0]
     assert got.e > 0.6 > 0.25 > got.n
+
+
+def test_every_edited_text_is_near(spark, folder, documents):
+    """Three quarters stay, so each document is like its edit, whatever its marks and line ends are."""
+    rng = random.Random(5)
+    plain = lambda n: [f"{rng.choice('bcdfgk')}{rng.randrange(10_000)}" for _ in range(n)]
+    rows = [(i, " ".join(plain(300))) for i in range(8)]
+    rows += [(10 + i, " ".join(f"{w} {m}" for w in plain(200))) for i, m in enumerate(("$$$", "***", "&&&"))]
+    rows += [(20, "\t".join(plain(300))), (21, "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(400))), (22, "".join(plain(300)))]
+    got = M.query(spark, folder(documents(rows))).collect()
+    assert len(got) == len(rows) and all(r.near_edited > 0.4 for r in got), sorted((r.near_edited, r.doc_id) for r in got)[:3]
+    assert all(r.near_next < 0.4 for r in got if r.doc_id < 9)
