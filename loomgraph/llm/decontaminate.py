@@ -2,9 +2,11 @@ r"""Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names (title-case words inside a sentence) and
 units (known words after a number) are replaced with typed placeholders, case
-and punctuation go.  Windows of eight template tokens are hashed and joined with
-the benchmark's.  Windows of one document and one item that lie on one diagonal
-are put together; slots must be filled consistently (one value of the item, one
+and punctuation go; a run of names, or of numbers with a number word, is one slot.
+Windows of eight template tokens are hashed and joined with the benchmark's, and
+so are windows of the plain words without case, for copies whose capitals are
+others and for items of few literal words.  Windows of one document and one item
+whose diagonals differ by ``DRIFT`` at most are chained in order; slots must be filled consistently (one value of the item, one
 value of the document, both ways), so a question with other numbers or names is
 caught and a jumble of matching placeholders is not.  An item counts as leaked
 if the windows cover at least ``coverage`` of its tokens.
@@ -23,6 +25,7 @@ empty table on either side gives no rows; other columns do not matter.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,7 @@ SHORTEST = 3
 COVERAGE = 0.5
 FILTER = 2_000_000
 LITERALS = 3
+DRIFT = 32
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
 UNITS = (
     "km m cm mm mi mile miles ft foot feet in inch inches yd yards kg g mg lb lbs pound pounds oz ton tons l ml liter liters litre litres gallon gallons "
@@ -114,15 +118,21 @@ class Templates:
             digits = kind[start] == 2
             joined = np.zeros(len(start), dtype=bool)
             joined[1:] = digits[1:] & digits[:-1] & (gap[1:] == 1) & np.isin(buf[np.maximum(start[1:] - 1, 0)], list(b".,"))
+            # New York is one name, twenty five one number
+            apart = np.concatenate([[True], (gap[1:] != 1) | ~np.isin(buf[np.maximum(start[1:] - 1, 0)], list(b" -"))]) | opening
+            name &= ~unit
+            joined[1:] |= ~apart[1:] & (name[1:] & name[:-1] | number[1:] & number[:-1] & ~(digits[1:] & digits[:-1]))
             joined[bounds[:-1][bounds[:-1] < len(start)]] = False
+            self.plain, self.plain_bounds = mix(value), bounds
             kept = np.flatnonzero(~joined)
             value = mix(np.add.reduceat(value * (np.uint64(1) + joined.astype(np.uint64) * np.uint64(2)), kept)) if joined.any() else mix(value)
-            number, name, unit = number[kept], (name & ~unit)[kept], unit[kept]
+            number, name, unit = number[kept], name[kept], unit[kept]
             bounds = np.searchsorted(kept, bounds)
             self.tokens = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, value)))
             self.slots = np.where(number | unit | name, value, np.uint64(0))
         else:
-            self.tokens = self.slots = np.zeros(0, dtype=np.uint64)
+            self.tokens = self.slots = self.plain = np.zeros(0, dtype=np.uint64)
+            self.plain_bounds = bounds
         self.bounds = bounds
         self.literal = np.concatenate([[0], np.cumsum(self.slots == 0)])
 
@@ -131,6 +141,15 @@ class Templates:
         h = grams(self.tokens, k)
         return h, (self.literal[k : k + len(h)] - self.literal[: len(h)] >= min(LITERALS, k))
 
+    def kinds(self) -> list[tuple]:
+        """(plain, windows, slots, bounds) of the template tokens and of the plain words."""
+
+        def plain(k: int) -> tuple[np.ndarray, np.ndarray]:
+            h = grams(self.plain, k, 1)
+            return h, np.ones(len(h), dtype=bool)
+
+        return [(False, self.windows, self.slots, self.bounds), (True, plain, np.zeros(len(self.plain), dtype=np.uint64), self.plain_bounds)]
+
 
 _ROW = "h long, _id long, at int, slots binary"
 
@@ -143,16 +162,16 @@ def _rows(lengths: list[int], known: np.ndarray | None):
             ids = b["_id"].astype("Int64")
             for first, texts in blocks(utf8(t) for t in b["_text"]):
                 t = Templates(texts)
-                for k in lengths:
-                    h, good = t.windows(k)
+                for k, (_, windows, slots, bounds) in ((k, kind) for k in lengths for kind in t.kinds()):
+                    h, good = windows(k)
                     if known is not None:
                         good &= _among(h, known)
                     at = np.flatnonzero(good)
-                    doc = np.searchsorted(t.bounds, at, side="right") - 1
-                    inside = at + k <= t.bounds[doc + 1] if len(at) else np.zeros(0, dtype=bool)
+                    doc = np.searchsorted(bounds, at, side="right") - 1
+                    inside = at + k <= bounds[doc + 1] if len(at) else np.zeros(0, dtype=bool)
                     at, doc = at[inside], doc[inside]
                     if len(at):
-                        yield pd.DataFrame({"h": h[at].view(np.int64), "_id": ids.iloc[first + doc].array, "at": (at - t.bounds[doc]).astype(np.int32), "slots": [t.slots[i : i + k].tobytes() for i in at]})
+                        yield pd.DataFrame({"h": h[at].view(np.int64), "_id": ids.iloc[first + doc].array, "at": (at - bounds[doc]).astype(np.int32), "slots": [slots[i : i + k].tobytes() for i in at]})
 
     return run
 
@@ -162,33 +181,45 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for item, text in zip(b["item_id"], b["_text"]):
             t = Templates([utf8(text)])
-            n = len(t.tokens)
-            k = min(WINDOW, n)
-            if k >= SHORTEST:
-                h, good = t.windows(k)
-                out += [(int(np.int64(h[i].view(np.int64))), item, int(i), n, k, t.slots[i : i + k].tobytes()) for i in np.flatnonzero(good)]
-        yield pd.DataFrame(out, columns=["h", "item_id", "item_at", "item_tokens", "k", "item_slots"])
+            for plain, windows, slots, _ in t.kinds():
+                n = len(slots)
+                k = min(WINDOW, n)
+                if k >= SHORTEST:
+                    h, good = windows(k)
+                    out += [(int(np.int64(h[i].view(np.int64))), item, plain, int(i), n, k, slots[i : i + k].tobytes()) for i in np.flatnonzero(good)]
+        yield pd.DataFrame(out, columns=["h", "item_id", "plain", "item_at", "item_tokens", "k", "item_slots"])
+
+
+def _chain(rows: list[tuple], base: int) -> tuple[int, bool]:
+    """Covered tokens, and whether a slot's value differs, of the windows that fit in order beside those of the diagonal ``base``."""
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    places: list[int] = []  # covered tokens of the item, and the document's beside them
+    partner: list[int] = []
+    differs = False
+    for item_at, at, k, pairs in sorted(rows, key=lambda r: (abs(r[1] - r[0] - base), r[0], r[1])):
+        lo, hi = bisect_left(places, item_at), bisect_left(places, item_at + k)
+        if (lo and partner[lo - 1] >= at) or (hi < len(places) and partner[hi] < at + k) or any(y - x != at - item_at for x, y in zip(places[lo:hi], partner[lo:hi])):
+            continue
+        if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(set(pairs)):
+            there.update(pairs)
+            back.update((y, x) for x, y in pairs)
+            differs |= any(x != y for x, y in pairs)
+            places[lo:hi] = range(item_at, item_at + k)
+            partner[lo:hi] = range(at, at + k)
+    return len(places), differs
 
 
 def _aligned(found: pd.Series) -> pd.DataFrame:
-    """How many tokens of the item consistent windows cover, and whether a slot's value differs."""
-    matched, other = [], []
+    """How many tokens of the item the best chain of consistent windows covers, and whether a slot's value differs."""
+    best = []
     for rows in found:
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        covered: set[int] = set()
-        differs = False
-        for r in sorted(rows, key=lambda r: r["item_at"]):
+        read = []
+        for r in rows:
             a, b = np.frombuffer(r["item_slots"], dtype=np.uint64), np.frombuffer(r["slots"], dtype=np.uint64)
-            pairs = [(int(x), int(y)) for x, y in zip(a, b) if x]
-            if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(set(pairs)):
-                there.update(pairs)
-                back.update((y, x) for x, y in pairs)
-                differs |= any(x != y for x, y in pairs)
-                covered.update(range(r["item_at"], r["item_at"] + len(a)))
-        matched.append(len(covered))
-        other.append(differs)
-    return pd.DataFrame({"matched": matched, "reparameterised": other})
+            read.append((r["item_at"], r["at"], len(a), [(int(x), int(y)) for x, y in zip(a, b) if x]))
+        best.append(max((_chain(read, d) for d in sorted({r[1] - r[0] for r in read})), key=lambda c: (c[0], not c[1])))
+    return pd.DataFrame(best, columns=["matched", "reparameterised"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", key: str = "doc_id", filter_size: int = FILTER) -> DataFrame:
@@ -196,23 +227,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     tables = shared.SharedTables(docs.sparkSession, "templates")
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")).where("_text is not null")
-    index = tables.keep(items.mapInPandas(_items, "h long, item_id long, item_at int, item_tokens int, k int, item_slots binary"))
+    index = tables.keep(items.mapInPandas(_items, "h long, item_id long, plain boolean, item_at int, item_tokens int, k int, item_slots binary"))
     lengths = sorted(r[0] for r in index.select("k").distinct().collect()) or [WINDOW]
     known = None
     if index.count() <= filter_size:
         hashes = index.select("h").distinct().toPandas()["h"].to_numpy(dtype=np.int64)
         known = np.sort(hashes.view(np.uint64))
     found = rows.mapInPandas(_rows(lengths, known), _ROW).join(index, "h").where(F.octet_length("slots") == F.octet_length("item_slots"))
-    diagonal = found.groupBy("_id", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    checked = diagonal.agg(F.collect_list(F.struct("item_at", "item_slots", "slots")).alias("found")).withColumn("_a", F.pandas_udf(_aligned, "matched long, reparameterised boolean")("found"))
+    # Two grids of diagonals, so that any DRIFT of them lie in one cell of a grid.
+    cell = F.floor((F.col("at") - F.col("item_at") + F.col("_grid") * DRIFT) / (2 * DRIFT))
+    cells = found.withColumn("_grid", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy("_id", "item_id", "plain", "item_tokens", "_grid", cell.alias("_cell"))
+    checked = cells.agg(F.collect_set(F.struct("item_at", "at", "item_slots", "slots")).alias("found")).withColumn("_a", F.pandas_udf(_aligned, "matched long, reparameterised boolean")("found"))
     leaked = checked.where(F.col("_a.matched") >= F.lit(coverage) * F.col("item_tokens"))
-    best = leaked.groupBy("_id", "item_id", "item_tokens").agg(F.max(F.struct(F.col("_a.matched").alias("m"), (~F.col("_a.reparameterised")).alias("same"))).alias("b"))
+    part = F.round(F.col("_a.matched") / F.col("item_tokens"), 6)
+    best = leaked.groupBy("_id", "item_id").agg(F.max(F.struct(part.alias("part"), (~F.col("_a.reparameterised")).alias("same"), F.col("_a.matched").alias("m"), F.col("item_tokens").cast("long").alias("n"))).alias("b"))
     return best.select(
         F.col("_id").alias("doc_id"),
         "item_id",
         F.col("b.m").alias("matched_tokens"),
-        F.col("item_tokens").cast("long").alias("item_tokens"),
-        F.round(F.col("b.m") / F.col("item_tokens"), 6).alias("coverage"),
+        F.col("b.n").alias("item_tokens"),
+        F.col("b.part").alias("coverage"),
         (~F.col("b.same")).alias("reparameterised"),
     )
 

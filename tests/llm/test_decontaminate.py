@@ -57,3 +57,18 @@ def test_empty(spark, documents):
     assert decontaminate.contaminated(documents([(1, ITEM)]), items(spark, [])).count() == 0
     twice = decontaminate.contaminated(documents([(1, "X. " + ITEM), (1, "X. " + ITEM), (None, "X. " + ITEM)]), items(spark, [(1, ITEM)])).select(F.coalesce("doc_id", F.lit(-1)).alias("d")).collect()
     assert sorted(r.d for r in twice) == [-1, 1]
+
+
+def test_other_lengths_of_slots_and_other_case(spark, documents):
+    longer = ITEM.replace("Springfield", "New York").replace("120", "twenty five").replace("Alice", "Mary Ann")
+    inserted = " ".join([*ITEM.split()[:12], "quite", "slowly", *ITEM.split()[12:]])
+    rows = [(1, "Intro words. " + longer + " and the rest."), (2, ITEM.upper()), (3, ITEM.lower()), (4, "Then " + inserted), (5, " ".join(ITEM.split()[12:] + ITEM.split()[:12])), (6, "so 1 2 3 4 5 6 7 8 9 it is")]
+    got = found(decontaminate.contaminated(documents(rows), items(spark, [(1, "Today " + ITEM), (2, "1 2 3 4 5 6 7 8 9")])))
+    assert set(got) >= {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2)} and got[(1, 1)].coverage > 0.9 and got[(1, 1)].reparameterised
+    assert not got[(2, 1)].reparameterised and got[(2, 1)].coverage > 0.8 and got[(4, 1)].coverage > 0.8
+    assert (5, 1) not in got or got[(5, 1)].coverage < 0.6
+
+
+def test_upper_case_copy(spark, documents):
+    """Document 13 of test_leaks."""
+    assert set(found(decontaminate.contaminated(documents([(13, ITEM.upper())]), items(spark, [(1, ITEM)])))) == {(13, 1)}
