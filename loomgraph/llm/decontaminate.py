@@ -173,7 +173,7 @@ def _rows(lengths: list[int], known: np.ndarray | None):
                     if len(at):
                         yield pd.DataFrame({"h": h[at].view(np.int64), "_id": ids.iloc[first + doc].array, "at": (at - bounds[doc]).astype(np.int32), "slots": [slots[i : i + k].tobytes() for i in at]})
 
-    return run
+    return shared.lean(run)
 
 
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     tables = shared.SharedTables(docs.sparkSession, "templates")
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")).where("_text is not null")
-    index = tables.keep(items.mapInPandas(_items, "h long, item_id long, plain boolean, item_at int, item_tokens int, k int, item_slots binary"))
+    index = tables.keep(items.mapInPandas(shared.lean(_items), "h long, item_id long, plain boolean, item_at int, item_tokens int, k int, item_slots binary"))
     lengths = sorted(r[0] for r in index.select("k").distinct().collect()) or [WINDOW]
     known = None
     if index.count() <= filter_size:

@@ -87,7 +87,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, held_out_mod: int | None = 3) -
         return [], np.zeros((0, DIM))
     limit = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(1_000_000 * s))])
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.element_at(limit, F.col("lang"))).select("lang", "text")
-    sums = chosen.mapInPandas(_learn, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
+    sums = chosen.mapInPandas(shared.lean(_learn), "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r["lang"] for r in sums})
     out = np.zeros((len(langs), DIM))
     for r in sums:

@@ -16,11 +16,14 @@ share; their documents take an exact way instead, a prefix filter: shingles
 ordered by their document count, of which a linked pair must share one among the
 rarest fifth, so that common lines bring nobody together.  In a few rounds those
 of a group that share a MinHash (another one each round) are compared with the
-first of them, which gathers copies; what is still apart after that is joined, a
-group's largest component with what lies outside it only, and a pair with several
-groups in the first of them.  Pairs of the second
-look leave a join only if their sizes and 1024-bit parity maps allow the
-similarity, which is exact: a bit that differs is an element that differs.
+first of them, which gathers copies; what is still apart after that is joined by
+classes of sizes, a group's largest component with what lies outside it only, and
+a pair with several groups in the first of them.  Pairs are compared on full sets
+only if their sizes, 1024-bit parity maps and registers allow the similarity; the
+maps are exact: a bit that differs is an element that differs.
+
+Texts become registers and sets in Python, a megabyte of them at a time; pairs
+are made, estimated and confirmed by DataFrame functions, one row at a time.
 
 Components are found by alternating large-star and small-star rounds; every
 round is written to the shared folder.  Links, components and sketches never
@@ -30,11 +33,12 @@ Defined results: null and empty texts and texts without words have no shingles,
 are linked with nothing and kept; with fewer words than a shingle has, the whole
 sequence is one; rows that repeat an id count as that one document; rows with a
 null id have no component and are kept; an empty table gives no rows; other
-columns do not matter.
+columns do not matter; a text of any length is one set, held once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,23 +59,28 @@ LEADS = 1
 SLACK = 6.0
 #: Longs of a set's parity map.
 LONGS = 16
+#: No remainder fell into the bucket.
 _EMPTY = np.uint16(0xFFFF)
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
+#: The lowest bit of each of a long's four registers.
+_LANES = 0x0001000100010001
 
 
-def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for _, block in blocks(texts):
+def shingle_blocks(texts: list[bytes], k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The sorted distinct shingle hashes of consecutive texts, with the first one's position."""
+    for first, block in blocks(texts):
         words = Words(block, lower=True)
         hashes = words.hashes()
         every = grams(hashes, k)
+        out = []
         for s, e in zip(words.bounds[:-1], words.bounds[1:]):
             if e - s >= k:
-                yield np.unique(every[s : e - k + 1])
+                out.append(np.unique(every[s : e - k + 1]))
             elif e > s:
-                yield grams(hashes[s:e], int(e - s), salt=int(e - s))
+                out.append(grams(hashes[s:e], int(e - s), salt=int(e - s)))
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                out.append(np.zeros(0, dtype=np.uint64))
+        yield first, out
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -88,6 +97,12 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def collision(regs: np.ndarray) -> float:
+    """How likely a full register equals another one of an unequal remainder."""
+    full = regs[regs != _EMPTY]
+    return float((0.5 ** ((full >> MANTISSA) + 1.0)).mean()) / (1 << MANTISSA) if len(full) else 0.0
+
+
 def parity(shingles: np.ndarray) -> np.ndarray:
     """A bit for each of 1024 classes of hashes: whether an odd number of shingles falls into it."""
     odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
@@ -108,68 +123,64 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(packed + np.arange(len(bands), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full].view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-    """Collision-corrected Jaccard estimate, and the registers that it rests on."""
-    used = (a != _EMPTY) | (b != _EMPTY)
-    n = int(used.sum())
-    if not n:
-        return 0.0, 0
-    same = int((a[used] == b[used]).sum())
-    zeros = (np.minimum(a, b)[used] >> MANTISSA).astype(float)
-    chance = float((0.5 ** (zeros + 1)).mean()) / (1 << MANTISSA)  # equal registers of unequal remainders
-    return max(0.0, (same / n - chance) / (1 - chance)), n
+def _set_lanes(longs: Column) -> Column:
+    """How many of the longs' registers have a bit set."""
 
+    def count(z: Column) -> Column:
+        for shift in (8, 4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        return F.bit_count(z.bitwiseAND(_LANES))
 
-def _sketch(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, s1, s2, bands = [], [], [], []
-            for x in shingle_sets([utf8(t) for t in b["_text"]], k):
-                n.append(len(x))
-                s1.append(np.add.reduce(mix(x)).astype(np.uint64).view(np.int64) if len(x) else 0)
-                s2.append(np.add.reduce(mix(x ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64).view(np.int64) if len(x) else 0)
-                bands.append(band_keys(registers(x)))
-            yield pd.DataFrame({"_id": b["_id"], "n": n, "s1": s1, "s2": s2, "bands": bands})
+    return F.aggregate(longs, F.lit(0), lambda n, z: n + count(z))
 
-    return run
 
+def estimate(a: str, b: str) -> tuple[Column, Column]:
+    """Collision-corrected Jaccard estimate of two rows' registers (columns regs, free, chance with these endings), and the registers that it rests on."""
+    used = F.lit(BUCKETS) - F.aggregate(F.zip_with(f"free{a}", f"free{b}", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, z: n + z)
+    same = used - _set_lanes(F.zip_with(f"regs{a}", f"regs{b}", lambda x, y: x.bitwiseXOR(y)))
+    chance = (F.col(f"chance{a}") + F.col(f"chance{b}")) / 2
+    return F.greatest(F.lit(0.0), (same / F.greatest(F.lit(1), used) - chance) / (1 - chance)), used
 
-def _sets(k: int):
+
+def _sketch(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = list(shingle_sets([utf8(t) for t in b["_text"]], k))
-            yield pd.DataFrame({"_id": b["_id"], "n": [len(x) for x in found], "bits": [parity(x) for x in found], "mins": [least(x) for x in found], "regs": [registers(x).tobytes() for x in found], "set": [x.tobytes() for x in found]})
+            ids = b["_id"].astype("Int64")
+            for first, found in shingle_blocks([utf8(t) for t in b["_text"]], k):
+                n, s1, s2, bands = [], [], [], []
+                for x in found:
+                    n.append(len(x))
+                    s1.append(np.add.reduce(mix(x)).astype(np.uint64).view(np.int64) if len(x) else 0)
+                    s2.append(np.add.reduce(mix(x ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64).view(np.int64) if len(x) else 0)
+                    bands.append(band_keys(registers(x)))
+                yield pd.DataFrame({"_id": ids.iloc[first : first + len(n)].array, "n": n, "s1": s1, "s2": s2, "bands": bands})
 
-    return run
+    return shared.lean(run)
 
 
-def _confirm(percent: int):
-    least = percent / 100
+_SETS = "_id long, n long, bits array<long>, mins array<long>, regs array<long>, free array<long>, chance double, set array<long>"
 
+
+def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            a, b = [], []
-            for x, y, rx, ry, sx, sy in zip(p["a"], p["b"], p["regs_a"], p["regs_b"], p["set_a"], p["set_b"]):
-                na, nb = len(sx) // 8, len(sy) // 8
-                if 100 * min(na, nb) < percent * max(na, nb):
-                    continue
-                near, used = estimate(np.frombuffer(rx, dtype=np.uint16), np.frombuffer(ry, dtype=np.uint16))
-                if near < least - SLACK * (least * (1 - least) / max(1, used)) ** 0.5 - 1 / max(1, used):
-                    continue
-                shared_count = len(np.intersect1d(np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sy, dtype=np.uint64), assume_unique=True))
-                if 100 * shared_count >= percent * (na + nb - shared_count):
-                    a.append(x)
-                    b.append(y)
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-    return run
-
-
-def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i, s in zip(b["_id"], b["set"]):
-            h = np.frombuffer(s, dtype=np.int64)
-            yield pd.DataFrame({"h": h, "_id": i, "n": len(h)})
+        for b in batches:
+            ids = b["_id"].to_numpy()
+            for first, found in shingle_blocks([utf8(t) for t in b["_text"]], k):
+                regs = [registers(x) for x in found]
+                yield pd.DataFrame(
+                    {
+                        "_id": ids[first : first + len(found)],
+                        "n": [len(x) for x in found],
+                        "bits": [parity(x) for x in found],
+                        "mins": [least(x) for x in found],
+                        "regs": [r.view(np.int64) for r in regs],
+                        "free": [np.packbits(r == _EMPTY).view(np.int64) for r in regs],
+                        "chance": [collision(r) for r in regs],
+                        "set": [x.view(np.int64) for x in found],
+                    }
+                )
+
+    return shared.lean(run)
 
 
 class NearDedup:
@@ -191,7 +202,7 @@ class NearDedup:
         groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("_id").alias("lead")).where("rows > 1 and lead is not null")
         held = self.tables.keep(rows.join(groups, "key"))
         needed = held.select("_id").distinct()
-        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), "_id long, n long, bits array<long>, mins array<long>, regs binary, set binary"))
+        self.sets = self.tables.keep(self.docs.join(needed, "_id", "left_semi").mapInPandas(_sets(self.k), _SETS))
         links = self.confirmed(held.where("_id != lead").select(F.col("lead").alias("a"), F.col("_id").alias("b")).distinct())
         comps = self.components(links)
         mixed = self.mixed(held.select("key", "_id", "rows"), comps)
@@ -222,6 +233,14 @@ class NearDedup:
         keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
         return self.tables.keep(rows.join(keys, "key"))
 
+    def sized(self, n: str, m: str) -> Column:
+        """Whether sets of these sizes can be so alike."""
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
+    def alike(self, n: str, m: str, differ: Column) -> Column:
+        """Whether sets of these sizes can be so alike if ``differ`` elements at least are in one of them only: the union has (n + m + differ) / 2 then."""
+        return 100 * (F.col(n) + F.col(m) - differ) >= self.percent * (F.col(n) + F.col(m) + differ)
+
     def sided(self, rows: DataFrame, mark: str, *more: str | Column) -> DataFrame:
         """One side of a join of a key's rows, with sizes and parity maps."""
         bits = self.sets.select("_id", F.col("n").alias(f"n{mark}"), *[F.col("bits")[i].alias(f"{mark}{i}") for i in range(LONGS)])
@@ -230,10 +249,7 @@ class NearDedup:
     def paired(self, x: DataFrame, y: DataFrame, also: Column, last: Callable[[], Column] = lambda: F.lit(True)) -> DataFrame:
         """Pairs (a, b) of a key's rows in different components that can be links."""
         differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-        # With d elements in one set only, the union has (nx + ny + d) / 2.
-        alike = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
-        sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & also & sized & alike & last())
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & also & self.sized("nx", "ny") & self.alike("nx", "ny", differ) & last())
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def leads(self, rows: DataFrame, turn: int) -> DataFrame:
@@ -244,19 +260,22 @@ class NearDedup:
         return self.paired(x, y, F.col("m") == F.col("my"))
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """All pairs of a key's rows in different components; its largest component is never paired within itself."""
+        """Pairs of a key's rows in different components and of like sizes; its largest component is never paired within itself."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
         major = self.tables.keep(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("major")))
         # A row has few keys: its rarest shingles and its bands.
         own = self.tables.keep(rows.groupBy("_id").agg(F.collect_set("key").alias("own")))
         rows = rows.join(major, "key").join(own, "_id")
         x, y = self.sided(rows.where("comp != major"), "x", F.col("own").alias("ox")), self.sided(rows, "y", "major", F.col("own").alias("oy"))
-        once = (F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))
+        # Sets of like sizes lie in one class of sizes or in neighbours, which splits a key's rows.
+        size = lambda n: F.floor(F.log(F.col(n).cast("double")) / max(1e-6, 1.001 * math.log(100 / self.percent)))
+        x, y = x.withColumn("zx", size("nx")), y.withColumn("zy", F.explode(F.array(size("ny") - 1, size("ny"), size("ny") + 1)))
+        once = ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & (F.col("zx") == F.col("zy"))
         return self.paired(x, y, once, lambda: F.array_min(F.array_intersect("ox", "oy")) == x["key"])
 
     def prefixes(self, hot: DataFrame) -> DataFrame:
         """(key, _id): the shingles of which a linked pair must share one, rarest first."""
-        rows = self.tables.keep(self.sets.select("_id", "set").join(hot, "_id").select("_id", "set").mapInPandas(_explode_sets, "h long, _id long, n long"))
+        rows = self.tables.keep(self.sets.join(hot, "_id").select("_id", "n", F.explode("set").alias("h")))
         common = self.tables.keep(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
         shared_rows = rows.join(common, "h").groupBy("_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
         least = F.ceil(F.col("n") * F.lit(self.percent) / F.lit(100.0) - F.lit(1e-9))
@@ -265,11 +284,20 @@ class NearDedup:
         return shared_rows.select("_id", F.explode(F.slice("order", F.lit(1), size)).alias("o")).select(F.col("o.h").alias("key"), "_id")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, as a table."""
-        side = self.sets
-        a = side.select(F.col("_id").alias("a"), F.col("regs").alias("regs_a"), F.col("set").alias("set_a"))
-        b = side.select(F.col("_id").alias("b"), F.col("regs").alias("regs_b"), F.col("set").alias("set_b"))
-        return self.tables.keep(pairs.join(a, "a").join(b, "b").mapInPandas(_confirm(self.percent), "a long, b long"))
+        """The pairs that are links, as a table: by sizes, parity maps and estimates first, then by full sets."""
+        light, side = ("n", "bits", "regs", "free", "chance"), lambda cols, mark: self.sets.select(F.col("_id").alias(mark), *[F.col(c).alias(f"{c}_{mark}") for c in cols])
+        share = self.percent / 100
+        near, used = estimate("_a", "_b")
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, z: n + z)
+        rest = F.greatest(F.lit(1), used)
+        likely = near >= share - SLACK * F.sqrt(share * (1 - share) / rest) - 1 / rest
+        maybe = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(self.sized("n_a", "n_b")).where(self.alike("n_a", "n_b", differ)).where(likely)
+        at = self.tables.count + 1
+        maybe = self.tables.keep(maybe.select("a", "b"))
+        whole = maybe.join(side(("n", "set"), "a"), "a").join(side(("n", "set"), "b"), "b")
+        out = self.tables.keep(whole.where((100 + self.percent) * F.size(F.array_intersect("set_a", "set_b")) >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        self.tables.drop(at)
+        return out
 
     def components(self, links: DataFrame) -> DataFrame:
         """(_id, comp) of every id that has a link; comp is the smallest id reachable."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,22 +16,59 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of a small table's file.
 ROWS_A_FILE = 200_000
+#: Bytes of rows that go to a Python worker at once, however long their texts are.
+BATCH_BYTES = 16 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; without a setting (tests) one under /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "/tmp/loomgraph-checkpoints").rstrip("/")
+    """The cluster's shared folder, named by spark.checkpoint.dir; a session of one machine may do with a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and (context.master == "local" or context.master.startswith("local[")):
+        found = f"{tempfile.gettempdir()}/loomgraph-checkpoints"
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
+
+
+def release() -> None:
+    """Give back the memory that a Python worker has freed: idle workers stand beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for mapInPandas; the worker's memory goes back when the task ends."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return held
 
 
 class SharedTables:
-    """Parquet tables in the shared folder that cut lineage and survive lost executors."""
+    """Parquet tables in the shared folder that cut lineage and survive lost executors; they go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        system, root = self._file("")
+        system.mkdirs(root)
+        system.deleteOnExit(root)
+
+    def _file(self, name: str):
+        """The file system and the path of one of the tables."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """Write ``df`` and read it back; about ``rows`` rows, if known, go to as few files as they fill."""
@@ -39,9 +81,8 @@ class SharedTables:
 
     def drop(self, number: int) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._file(str(number))
+        system.delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -92,7 +92,7 @@ def _blocks_of(window: int, gram: int, by: list[str]):
                     c = _ranges(hashes, at, at + size + window - 1)
                     yield pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), **{k: ids[doc, j] for j, k in enumerate(by)}, "w": begin.astype(np.int32), "n": size.astype(np.int32)})
 
-    return run
+    return shared.lean(run)
 
 
 def _windows_of(window: int, by: list[str]):
@@ -106,7 +106,7 @@ def _windows_of(window: int, by: list[str]):
                 a, at = a[keep], at[keep]
                 yield pd.DataFrame({"a": a, "h": _ranges(hashes, at, at + window).view(np.int64), **dict(zip(by, i)), "w": at.astype(np.int32)})
 
-    return run
+    return shared.lean(run)
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]], window: int) -> tuple[list[bytes], int]:
@@ -166,7 +166,7 @@ def _digest(window: int):
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pd.DataFrame({"doc_id": b["_id"], "n_words": n, "n_removed": lost, "kept_sha256": sha})
 
-    return run
+    return shared.lean(run)
 
 
 def _texts(window: int):
@@ -175,7 +175,7 @@ def _texts(window: int):
             kept = [b" ".join(kept_words(utf8(t), [] if s is None else [(x["w"], x["n"]) for x in s], window)[0]).decode("utf-8", "surrogatepass") for t, s in zip(b["_text"], b["spans"])]
             yield pd.DataFrame({"_id": b["_id"], "text": kept})
 
-    return run
+    return shared.lean(run)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -87,17 +87,31 @@ def test_near_dedup_odd(spark, folder, documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
-def test_registers():
+def estimated(a, b):
+    """The estimate of two arrays of registers, one register at a time."""
+    pairs = [(int(x), int(y)) for x, y in zip(a, b) if x != near_dedup._EMPTY or y != near_dedup._EMPTY]
+    if not pairs:
+        return 0.0, 0
+    chance = (near_dedup.collision(a) + near_dedup.collision(b)) / 2
+    return max(0.0, (sum(x == y for x, y in pairs) / len(pairs) - chance) / (1 - chance)), len(pairs)
+
+
+def test_registers(spark):
     import numpy as np
 
     rng = np.random.RandomState(0)
-    for share in (0.5, 0.8, 0.95):
-        a = rng.randint(0, 1 << 62, 4000).astype(np.uint64) * np.uint64(4)
-        b = np.concatenate([a[: int(4000 * share)], rng.randint(0, 1 << 62, 4000 - int(4000 * share)).astype(np.uint64) * np.uint64(4)])
-        j = share / (2 - share)
-        near, used = near_dedup.estimate(near_dedup.registers(np.unique(a)), near_dedup.registers(np.unique(b)))
-        assert used == near_dedup.BUCKETS and abs(near - j) < 0.17
-    assert near_dedup.estimate(near_dedup.registers(np.zeros(0, np.uint64)), near_dedup.registers(np.zeros(0, np.uint64))) == (0.0, 0)
+    rows, want = [], []
+    for share, n in ((0.5, 4000), (0.8, 4000), (0.95, 4000), (0.8, 60), (0.5, 3), (0.0, 0)):
+        a = rng.randint(0, 1 << 62, n).astype(np.uint64) * np.uint64(4)
+        b = np.concatenate([a[: int(n * share)], rng.randint(0, 1 << 62, n - int(n * share)).astype(np.uint64) * np.uint64(4)])
+        ra, rb = near_dedup.registers(np.unique(a)), near_dedup.registers(np.unique(b))
+        near, used = estimated(ra, rb)
+        assert n < 4000 or used == near_dedup.BUCKETS and abs(near - share / (2 - share)) < 0.17
+        want.append((near, used))
+        rows.append([x for r in (ra, rb) for x in (r.view(np.int64).tolist(), np.packbits(r == near_dedup._EMPTY).view(np.int64).tolist(), near_dedup.collision(r))])
+    df = spark.createDataFrame(rows, "regs_a array<long>, free_a array<long>, chance_a double, regs_b array<long>, free_b array<long>, chance_b double").coalesce(1)
+    got = [tuple(r) for r in df.select(*near_dedup.estimate("_a", "_b")).collect()]
+    assert all(abs(g[0] - w[0]) < 1e-9 and g[1] == w[1] for g, w in zip(got, want, strict=True))
 
 
 def substrings(rows, window=50):
