@@ -2,7 +2,8 @@
 
 Documents are tokenised and dealt by a hash into groups of about
 ``docs_per_group``; a group is packed by itself, so no task holds more than a
-group and no key can gather rows.  A document's whole windows are cut off first.
+group.  Rows that are equal in id and text more often than that are counted and
+numbered first, and the number is hashed too, so no key can gather rows.  A document's whole windows are cut off first.
 What remains is spread by Karmarkar-Karp multiway differencing: partial
 partitions, largest imbalance first, are merged with opposing order until one
 partition into near-equal windows is left.  If a window exceeds the capacity,
@@ -80,7 +81,7 @@ class WordTokens:
     that splits at spaces only.  The memory of units starts anew when it is full.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -276,6 +277,8 @@ def _packer(path: str, end_id: int, capacity: int) -> Callable[[tuple, pd.DataFr
             (doc_id[i], start, n, zlib.crc32(memoryview(ids[i])[4 * start : 4 * (start + n)]), len(ids[i]) // 4, (key[0] << 24) + w, offset)
             for i, start, n, w, offset in plan([len(x) // 4 for x in ids], capacity)
         ]
+        del ids, docs
+        shared.release()
         return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return pack
@@ -285,7 +288,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """Pieces of the documents' ids, dealt to windows of ``capacity``."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     groups = max(1, math.ceil(rows.count() / docs_per_group))
-    dealt = rows.withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)))
+    rows = rows.withColumn("_h", F.xxhash64("_id", "_text"))
+    often = rows.groupBy("_h").count().where(F.col("count") > docs_per_group).select("_h")
+    rows = rows.withColumn("_n", F.lit(0).cast("long"))
+    if not often.isEmpty():
+        equal = rows.join(often, "_h", "left_semi").groupBy("_h", "_id", "_text").count()
+        equal = equal.select("_h", "_id", "_text", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_n"))
+        rows = rows.join(often, "_h", "left_anti").select("_h", "_id", "_text", "_n").unionByName(equal)
+    dealt = rows.select("_id", "_text", F.pmod(F.xxhash64("_h", "_n"), F.lit(groups)).alias("_g"))
     return dealt.groupBy("_g").applyInPandas(_packer(tokenizer, end_id, capacity), SCHEMA)
 
 

@@ -86,3 +86,12 @@ def test_plan_covers():
                 assert s == at
                 at += k
             assert at == m
+
+
+def test_equal_rows_are_spread(spark, documents):
+    """Rows equal in id and text are dealt to many groups, and each is packed once."""
+    rows = [(None, "")] * 300 + [(7, "the same words again")] * 200 + [(i, f"text number {i}") for i in range(100)]
+    got = P.pack(documents(rows), PATH, docs_per_group=16).collect()
+    check([(i, whole(t)) for i, t in rows], got)
+    groups = {r.sequence_id >> 24 for r in got if r.doc_id is None}
+    assert len(groups) > 10
