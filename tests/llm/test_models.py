@@ -199,3 +199,109 @@ def test_quality_without_labels(spark, folder, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/e/documents.parquet")
     labelled(spark, []).write.parquet(f"{tmp_path}/e/labels.parquet")
     assert quality.query(spark, f"{tmp_path}/e").count() == 0
+
+
+def one_hash(grams_of, *words):
+    """The hash of one n-gram, taken by itself."""
+    return grams_of(np.concatenate([lm_score.Words([w]).hashes() for w in words]))
+
+
+def plain_vector(text):
+    """A text's vector by its definition, one n-gram at a time."""
+    from loomgraph.llm.textwords import grams
+
+    t = text.encode()
+    small = [w.encode() for w in WORDS.findall(lower(text))]
+    found = {}
+    for k in (1, 2):
+        for i in range(len(small) - k + 1):
+            b = int(quality._bucket(one_hash(lambda h: grams(h, k, k), *small[i : i + k]))[0])  # noqa: B023
+            found[b] = found.get(b, 0) + 1
+    for i in range(len(t) - quality.RUN + 1):
+        b = int(quality._bucket(quality._runs(np.frombuffer(t[i : i + quality.RUN], dtype=np.uint8), quality.RUN))[0])
+        found[b] = found.get(b, 0) + 1
+    total = max(1, sum(found.values()))
+    x = np.zeros(quality.WIDTH)
+    for b, n in found.items():
+        x[b] = n / total
+    lines, n = text.split("\n"), max(1, len(small))
+    again = len(lines) - len(set(lines))
+    x[-quality.MEASURES :] = (math.log1p(len(t)) / 10, math.log1p(len(small)) / 10, len(set(small)) / n, sum(map(len, small)) / n / 10, again / len(lines), math.log1p(again) / 5)
+    return x
+
+
+def test_quality_against_a_plain_ranking(spark, folder, documents):
+    """Scores of the query equal those of dense vectors, differences of pairs and plain loops."""
+    rng = random.Random(6)
+    good = ["calm", "sentence", "Another", "follows", "and", "ends.", "über"]
+    rows = [(i, "\n".join(" ".join(rng.choice(good) for _ in range(rng.randrange(0, 9))) for _ in range(3)) if i % 3 else " ".join(rng.choice(["BUY!!", "now$$", "calm", "100%"]) for _ in range(12))) for i in range(90)] + [(90, ""), (91, "ab"), (92, None)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 93, 2)]
+    got = {r.doc_id: r.score for r in quality.query(spark, folder(documents(rows), labels=labelled(spark, labels))).collect()}
+    x = {i: plain_vector(t or "") for i, t in rows}
+    taught = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    m = np.stack([x[i] for i, _ in taught])
+    q = np.array([q for _, q in taught])
+    assert np.allclose(quality.strengths([(t or "").encode() for _, t in rows], np.arange(quality.WIDTH) / 1e3), [x[i] @ np.arange(quality.WIDTH) / 1e3 for i, _ in rows])
+    draw = np.random.RandomState(7)
+    one, zero = np.flatnonzero(q == 1), np.flatnonzero(q == 0)
+    n = quality.PAIRS * max(len(one), len(zero))
+    d = m[draw.permutation(np.resize(one, n))] - m[draw.permutation(np.resize(zero, n))]
+    top = 1.1 * np.linalg.norm(d, 2) ** 2 / n
+    w = last = np.zeros(quality.WIDTH)
+    for t in range(quality.STEPS):
+        at = w + (t - 1) / (t + 2) * (w - last) if t else w
+        slope = -(d / (1 + np.exp(d @ at))[:, None]).mean(axis=0) + quality.RIDGE * at
+        last, w = w, at - slope / (top / 4 + quality.RIDGE)
+    s = np.sort(m @ w)
+    cut = (s[len(zero) - 1] + s[len(zero)]) / 2
+    for i, _ in rows:
+        assert abs(got[i] - 1 / (1 + math.exp(cut - x[i] @ w))) < 0.03
+    assert np.corrcoef([got[i] for i, _ in rows], [1 / (1 + math.exp(cut - x[i] @ w)) for i, _ in rows])[0, 1] > 0.999
+
+
+def test_language_against_plain_profiles(spark, folder, documents):
+    """Predictions equal those of profiles that are bound and bundled one trigram at a time."""
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcde fgh  é" if i % 2 else "mnopq rst  ß") for _ in range(rng.randrange(3, 60)))) for i in range(50)] + [(60, "12 34"), (61, "ABC abc"), (62, "x" * 3000)]
+    kind, vectors = language._tables()
+    base = vectors[2][:, :]
+
+    def profile(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        if not words:
+            return None
+        code = [0, *[int(kind[ord(c)]) for c in " ".join(words)], 0]
+        # Blanks at the ends of a text stand for themselves.
+        if not text.lower()[0].isalpha():
+            code = [0, *code]
+        if not text.lower()[-1].isalpha():
+            code = [*code, 0]
+        count = {}
+        for i in range(len(code) - 2):
+            g = tuple(code[i : i + 3])
+            count[g] = count.get(g, 0) + 1
+        total = np.zeros(language.DIM)
+        for (a, b, c), n in count.items():
+            total += math.sqrt(n) * np.roll(base[a], 2).astype(float) * np.roll(base[b], 1) * base[c]
+        return total / np.linalg.norm(total)
+
+    for _, t in rows:
+        a, b = language.bundle(t), profile(t)
+        assert (a is None) == (b is None) and (a is None or np.allclose(a, b, atol=1e-4))
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "aa").otherwise("mm"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.query(spark, folder(docs)).collect()}
+    learned = {"aa": [], "mm": []}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and profile(t) is not None:
+            learned["aa" if i % 2 else "mm"].append(profile(t))
+    proto = {k: sum(v) / np.linalg.norm(sum(v)) for k, v in learned.items()}
+    mean = sum(proto.values()) / 2
+    for i, t in rows:
+        v = profile(t)
+        if v is None:
+            assert got[i] == ("und", 0.0)
+            continue
+        cos = {k: (p - mean) @ (v - mean) / np.linalg.norm(p - mean) / np.linalg.norm(v - mean) for k, p in proto.items()}
+        best = max(cos, key=cos.get)
+        assert got[i][0] == best or abs(cos["aa"] - cos["mm"]) < 1e-3
+        assert abs(got[i][1] - (1 + max(cos.values())) / 2) < 1e-3
