@@ -8,10 +8,16 @@ so an index of blocks by anchor is all that parsing has to look at, and there is
 about one block for twenty words.
 
 A document is factored against the index.  A block whose words occur as a block
-of an earlier document is matched whole; consecutive matches run on into one
-factor.  Only at a factor's boundaries, where an anchor is known but the words
-around it differ, are the block's windows hashed and compared one by one.  A
-word goes if a factor of ``window`` words or more covers it.
+of an earlier document refers to that block's first occurrence (document and
+place).  Where an anchor is known but the words around it differ, a factor may
+end or begin inside the block, so there the block's windows are hashed and
+looked up one by one, which extends the factors beside it to the last word that
+agrees.  The parse then goes through a document's references from left to right:
+a factor (reference document, place there, length) runs on for as long as the
+next block or window is the next one of the same reference, and a new factor
+begins where it is not.  Factors may overlap at their boundaries, as windows do.
+Every factor has ``window`` words at least and is a duplicate span; a word goes
+if a factor covers it.
 
 Counts per block and window are summed before they are shuffled, and rows are
 matched by equi-joins that adaptive execution splits where they are skewed, so a
@@ -21,7 +27,8 @@ windows are matched by 128 bits of hash.
 Defined results: null and empty texts have no words; rows that repeat an id are
 one document for the comparison (they never remove each other's words) and each
 gives its own row; rows with a null id lose nothing and take nothing; an empty
-table gives no rows; other columns do not matter.
+table gives no rows; a text of any length is factored whole; other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -109,15 +116,27 @@ def _windows_of(window: int, by: list[str]):
     return shared.lean(run)
 
 
-def kept_words(text: bytes, spans: list[tuple[int, int]], window: int) -> tuple[list[bytes], int]:
-    """Words outside the windows that start in ``spans`` (first, count), and how many words there were."""
+def parse(pieces: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length, reference, place there) of a document, from its known blocks and windows (w, n starts, ref, at)."""
+    out: list[list[int]] = []
+    for x in sorted(pieces, key=lambda x: x["w"]):
+        w, n, ref, at = x["w"], x["n"], x["ref"], x["at"]
+        if out and w == out[-1][0] + out[-1][1] and ref == out[-1][2] and at == out[-1][3] + out[-1][1]:
+            out[-1][1] += n
+        else:
+            out.append([w, n, ref, at])
+    return [(w, n + window - 1, ref, at) for w, n, ref, at in out]
+
+
+def kept_words(text: bytes, factors: list[tuple[int, int, int, int]]) -> tuple[list[bytes], int]:
+    """Words that no factor covers, and how many words there were."""
     words = text.split()
-    if not spans:
+    if not factors:
         return words, len(words)
     change = np.zeros(len(words) + 1, dtype=np.int64)
-    for w, n in spans:
-        change[w] += 1
-        change[min(len(words), w + n + window - 1)] -= 1
+    for start, length, _, _ in factors:
+        change[start] += 1
+        change[start + length] -= 1
     gone = np.cumsum(change[:-1]) > 0
     return [x for x, g in zip(words, gone) if not g], len(words)
 
@@ -129,8 +148,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.withColumn("_t", F.xxhash64("_text")), ["_id", "_t"]
 
 
-def factors(docs: DataFrame, by: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(``by``, spans): the window starts of each document (first, count) whose words also start in an earlier one.
+def references(docs: DataFrame, by: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(``by``, pieces): the runs of window starts (w, n) of each document whose words also start in an earlier one, with the first such document and place (ref, at).
 
     ``docs`` has the columns _id and _text; ``by`` tells its rows apart.
     """
@@ -140,27 +159,35 @@ def factors(docs: DataFrame, by: list[str], window: int = WINDOW, gram: int = GR
         known = known.dropDuplicates(by)
     keys = "".join(f"{k} long, " for k in by)
     rows = tables.keep(known.where(F.octet_length("_text") >= 2 * window - 1).mapInPandas(_blocks_of(window, gram, by), f"a long, c long, {keys}w int, n int"))
-    # Both sides of a join are tables: adaptive execution can then split a hot anchor's rows.
+    # Both sides of every join are tables: adaptive execution can then split a hot anchor's rows.
     anchors = tables.keep(rows.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a"))
     rows = tables.keep(rows.join(anchors, "a"))
-    classes = tables.keep(rows.groupBy("a", "c").agg(F.min("_id").alias("first")))
-    several = classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several"))
+    first = F.min(F.struct("_id", "w")).alias("first")
+    classes = tables.keep(rows.groupBy("a", "c").agg(first))
+    several = tables.keep(classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several")))
     classes = tables.keep(classes.join(several, "a", "left"))
     rows = tables.keep(rows.join(classes, ["a", "c"]))
-    whole = rows.where("first < _id").select(*by, "w", "n")
-    wanted = rows.where("first = _id and several").groupBy(*by).agg(F.collect_list(F.struct("a", "w", "n")).alias("wanted"))
+    piece = F.struct("w", "n", F.col("first._id").alias("ref"), F.col("first.w").alias("at")).alias("piece")
+    whole = rows.where("first._id < _id").select(*by, piece)
+    wanted = rows.where("first._id = _id and several").groupBy(*by).agg(F.collect_list(F.struct("a", "w", "n")).alias("wanted"))
     windows = tables.keep(known.join(wanted, by).mapInPandas(_windows_of(window, by), f"a long, h long, {keys}w int"))
-    least = tables.keep(windows.groupBy("a", "h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("a", "h", "first"))
-    edges = windows.join(least, ["a", "h"]).where("first < _id").select(*by, "w", F.lit(1).alias("n"))
-    return whole.union(edges).groupBy(*by).agg(F.collect_list(F.struct("w", "n")).alias("spans"))
+    least = tables.keep(windows.groupBy("a", "h").agg(first, F.max("_id").alias("last")).where("first._id < last").select("a", "h", "first"))
+    edges = windows.join(least, ["a", "h"]).where("first._id < _id").withColumn("n", F.lit(1)).select(*by, piece)
+    return whole.union(edges).groupBy(*by).agg(F.collect_list("piece").alias("pieces"))
+
+
+def _each(b: pd.DataFrame, window: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    """Each text with its factors."""
+    for text, pieces in zip(b["_text"], b["pieces"]):
+        yield utf8(text), [] if pieces is None else parse(pieces, window)
 
 
 def _digest(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n, lost, sha = [], [], []
-            for text, spans in zip(b["_text"], b["spans"]):
-                kept, words = kept_words(utf8(text), [] if spans is None else [(x["w"], x["n"]) for x in spans], window)
+            for text, found in _each(b, window):
+                kept, words = kept_words(text, found)
                 n.append(words)
                 lost.append(words - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -172,20 +199,37 @@ def _digest(window: int):
 def _texts(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kept = [b" ".join(kept_words(utf8(t), [] if s is None else [(x["w"], x["n"]) for x in s], window)[0]).decode("utf-8", "surrogatepass") for t, s in zip(b["_text"], b["spans"])]
+            kept = [b" ".join(kept_words(text, found)[0]).decode("utf-8", "surrogatepass") for text, found in _each(b, window)]
             yield pd.DataFrame({"_id": b["_id"], "text": kept})
 
     return shared.lean(run)
 
 
+def _factors(window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *f) for i, (_, found) in zip(b["_id"], _each(b, window)) for f in found]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ref_id", "ref_start"])
+
+    return shared.lean(run)
+
+
+def _parsed(docs: DataFrame, window: int, gram: int, text: str, key: str) -> DataFrame:
+    """(_id, _text, pieces) of every row."""
+    rows, by = _keyed(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")))
+    return rows.join(references(rows, by, window, gram), by, "left").select("_id", "_text", "pieces")
+
+
+def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, start, length, ref_id, ref_start) in words: each document's factors of ``window`` words or more against the earlier documents."""
+    return _parsed(docs, window, gram, text, key).where("pieces is not null").withColumn("_text", F.lit("")).mapInPandas(_factors(window), "doc_id long, start int, length int, ref_id long, ref_start int")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text): the words that stay, joined by one space."""
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows, by = _keyed(rows)
-    return rows.join(factors(rows, by, window, gram), by, "left").mapInPandas(_texts(window), "_id long, text string").withColumnRenamed("_id", "doc_id")
+    return _parsed(docs, window, gram, text, key).mapInPandas(_texts(window), "_id long, text string").withColumnRenamed("_id", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shared.documents(spark, sf_dir).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    rows, by = _keyed(rows)
-    return rows.join(factors(rows, by), by, "left").mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    parsed = _parsed(shared.documents(spark, sf_dir), WINDOW, GRAM, "text", "doc_id")
+    return parsed.mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -167,6 +167,28 @@ def test_substring_texts(spark, documents):
     assert substring_dedup.dedup_substrings(documents([])).count() == 0
 
 
+def test_factors(spark, documents):
+    """Each factor stands at its place in an earlier document; together they cover the duplicate windows and nothing else."""
+    rows = substring_rows(3)
+    words = {i: WORDS.findall(t) for i, t in rows}
+    covered = {i: set() for i in words}
+    for f in substring_dedup.factors(documents(rows)).collect():
+        assert f.ref_id < f.doc_id and f.length >= 50
+        assert words[f.doc_id][f.start : f.start + f.length] == words[f.ref_id][f.ref_start : f.ref_start + f.length]
+        covered[f.doc_id].update(range(f.start, f.start + f.length))
+    assert {i: len(c) for i, c in covered.items()} == {r[0]: r[2] for r in substrings(rows)}
+
+
+def test_a_copied_passage_is_one_factor(spark, documents):
+    rng = random.Random(9)
+    own = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage = own(400)
+    rows = [(1, own(30) + passage + own(80)), (2, own(90) + passage[37:361] + own(70)), (3, passage[10:60])]
+    got = sorted(tuple(f) for f in substring_dedup.factors(documents([(i, " ".join(w)) for i, w in rows])).collect())
+    assert got == [(2, 90, 324, 1, 67), (3, 0, 50, 1, 40)]
+    assert substring_dedup.factors(documents([])).count() == 0
+
+
 SPACES = " \t\n\x0b\x0c\r"
 
 
