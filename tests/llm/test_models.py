@@ -112,7 +112,7 @@ def test_windows_carry_the_state():
 def test_probabilities_sum_to_one():
     net = lm_score.Network(seed=2)
     h = np.random.RandomState(1).randn(1, net.hidden).astype(np.float32)
-    ids = np.arange(lm_score.TOP + 2 * lm_score.GROUPS)
+    ids = np.arange(lm_score.TOP + lm_score.GROUPS)
     assert abs((10 ** net.log10_probs(np.repeat(h, len(ids), axis=0), ids)).sum() - 1) < 1e-3
 
 
@@ -150,7 +150,6 @@ def test_all_training_texts_teach(spark, documents, monkeypatch):
     rows = [(i, mixed()) for i in range(300)] + [(1000 + i, cycle(i)) for i in range(900)]
     train = documents(rows).selectExpr("doc_id AS _id", "text AS _text")
     monkeypatch.setattr(lm_score, "TRAIN_TOKENS", 400)
-    monkeypatch.setattr(lm_score, "TRAIN_TEXTS", len(rows))
     monkeypatch.setattr(lm_score, "PART_TOKENS", 50_000, raising=False)
     monkeypatch.setattr(lm_score, "FAN", 1 << 20, raising=False)
     _, vocabulary, network = lm_score.learn(train, lm_score.shared.SharedTables(spark, "t"))
@@ -160,6 +159,80 @@ def test_all_training_texts_teach(spark, documents, monkeypatch):
     assert lm_score.teach(train, vocabulary, lm_score.Network()) == vocabulary.total == 1200 * 81
 
 
+def ids_of(text):
+    return [int(x) for x in lm_score.word_ids(lm_score.Words([text.encode()], lower=True))]
+
+
+def plain_score(net, vocabulary, counts, text):
+    """log10 probability of a text: one token and one step at a time, every share from the counts by word."""
+    f = lambda x: x.astype(np.float64)
+    p = {k: f(v) for k, v in net.p.items()}
+    n = net.hidden
+    ranked = sorted((-c, int(np.uint64(h).view(np.int64)), h) for h, c in counts.items() if c > 1 or h == int(lm_score.END))
+    top = {h: k for k, (_, _, h) in enumerate(ranked[: lm_score.TOP])}
+    group = lambda h: int(vocabulary.group[h & 0xFF])
+    total, kinds = {}, {}
+    for h, c in counts.items():
+        if h not in top:
+            total[group(h)] = total.get(group(h), 0) + c
+            kinds[group(h)] = kinds.get(group(h), 0) + 1
+    hs = [*ids_of(text), int(lm_score.END)]
+    state, before, out = np.zeros(n), lm_score.START, 0.0
+    for h in hs:
+        a, u = p["x"][before], state @ p["u"]
+        sig = lambda x: 1 / (1 + np.exp(-x))
+        z, r = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+        new = np.tanh(a[2 * n :] + r * u[2 * n :])
+        state = new + z * (state - new)
+        soft = lambda y: np.exp(y - y.max()) / np.exp(y - y.max()).sum()
+        classes = soft(state @ p["c"] + p["cb"])
+        if h in top:
+            c, k = divmod(top[h], lm_score.TOP // lm_score.TOP_CLASSES)
+            out += math.log10(classes[c] * soft(state @ p["w"][c] + p["wb"][c])[k])
+            before = top[h]
+        else:
+            g = group(h)
+            share = (counts[h] - vocabulary.discount) / total[g] if h in counts else vocabulary.discount * kinds[g] / total[g] if g in total else 1.0
+            out += math.log10(classes[lm_score.TOP_CLASSES + g] * share)
+            before = lm_score.TOP + g
+    return out
+
+
+def test_scores_step_by_step(spark, documents, monkeypatch):
+    """Whole texts, rare and unknown words too, against a plain network; how many words travel with the function changes nothing."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "a", "of"]) if rng.random() < 0.4 else f"w{int(rng.expovariate(0.004))}"
+    rows = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 40, 150])))) for i in range(150)]
+    docs = documents([*rows, (900, "never seen words zq zx"), (901, None)]).selectExpr("doc_id AS _id", "text AS _text")
+    train = docs.where("_id < 120")
+    monkeypatch.setattr(lm_score, "TOP", 64)
+    monkeypatch.setattr(lm_score, "START", 64 + lm_score.GROUPS)
+    monkeypatch.setattr(lm_score, "_PER", 64 // lm_score.TOP_CLASSES)
+    # Workers import the module anew, so the network is taught and asked here.
+    counts = {}
+    for _, t in rows[:120]:
+        for h in [*ids_of(t), int(lm_score.END)]:
+            counts[h] = counts.get(h, 0) + 1
+    signed = lambda h: int(np.uint64(h).view(np.int64))
+    table = spark.createDataFrame([(signed(h), c) for h, c in counts.items()], "h long, c long")
+    batch = docs.toPandas().assign(_row=lambda d: d["_id"])
+    for heavy in (1 << 18, 70):
+        monkeypatch.setattr(lm_score, "HEAVY", heavy)
+        v = lm_score.vocabulary_of(table)
+        net = lm_score.Network()
+        net.start_from(v)
+        net.train([ids for _, _, ids in lm_score._ids_of(lm_score.Words([t.encode() for _, t in rows[:120]], lower=True), v)])
+        made = list(lm_score._score(v, net)(iter([batch])))
+        assert len(made) == 1
+        for (_, t), r in zip([*rows, (900, "never seen words zq zx"), (901, "")], made[0].itertuples(), strict=True):
+            rare = 0.0
+            for h, k in zip(r.rare, r.times):
+                h = int(np.int64(h).view(np.uint64))
+                g = v.group[h & 0xFF]
+                rare += k * math.log10((counts[h] - v.discount) / v.rest[g] if h in counts else v.unseen[g])
+            assert abs(r.score + rare - plain_score(net, v, counts, t)) < 1e-4 * (1 + r.n)
+
+
 def test_models_are_averaged_by_tokens(spark):
     """Sums over several levels are the sum over all parts."""
     rows = [(i, i + 1, np.full(3, float(i * (i + 1))).tobytes()) for i in range(70)]
