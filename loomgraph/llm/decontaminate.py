@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .textwords import _BYTE, _GOLDEN, _M1, _M2, blocks, grams, mix, utf8
+from .textwords import blocks, grams, mix, range_hashes, utf8
 
 WINDOW = 8
 SHORTEST = 3
@@ -60,13 +60,7 @@ _LOWER[65:91] += 32
 
 
 def _hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    x = _BYTE[buf[np.repeat(start, size) + place]] + place.astype(np.uint64) * _GOLDEN
-    x = (x ^ (x >> np.uint64(29))) * _M1
-    return mix(np.add.reduceat(x ^ (x >> np.uint64(32)), first) + size.astype(np.uint64) * _M2)
+    return range_hashes(buf, start, start + size)
 
 
 def _known(words: list[str]) -> np.ndarray:

@@ -24,6 +24,12 @@ _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
 
+_BASE = 0xA24BAED4963EE407
+_POWERS = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+#: Bytes whose running sums are made at once.
+_PIECE = 1 << 15
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser on uint64 values."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -74,17 +80,31 @@ class Words:
         return range_hashes(self.buf, self.starts, self.ends)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.full(n, x, dtype=np.uint64)
+            _POWERS[k][0] = 1
+            np.multiply.accumulate(_POWERS[k], out=_POWERS[k])
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges (none empty) that depend on their bytes alone."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    size = ends - starts
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    x = _BYTE[buf[np.repeat(starts, size) + place]] + place.astype(np.uint64) * _GOLDEN
-    x = (x ^ (x >> np.uint64(29))) * _M1
-    x ^= x >> np.uint64(32)
-    return mix(np.add.reduceat(x, first) + size.astype(np.uint64) * _M2)
+    """64-bit hashes of byte ranges (none empty, in order) that depend on their bytes alone: mixed polynomials, from running sums over pieces of the buffer."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(buf) + _PIECE, _PIECE)) if len(starts) else ()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        first = starts[a]
+        s, e = starts[a:b] - first, ends[a:b] - first
+        n = int(e.max())
+        powers, back = _powers(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[buf[first : first + n]] * powers, out=sums[1:])
+        out[a:b] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * _M2)
+    return out
 
 
 def grams(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
