@@ -156,21 +156,45 @@ def _element(values: list) -> tuple[Lane, str]:
         return BOOLEAN, "boolean"
     if kinds <= {int} and kinds:
         return INTEGER, "bigint"
-    if kinds <= {int, float} and kinds:
+    if kinds <= {float} and kinds:
         return DOUBLE, "double"
-    return STRING, "string"
+    if kinds <= {str}:
+        return STRING, "string"
+    return L.DYN, L.TERM
+
+
+def _cell(x: Any, lane: Lane, kind: str) -> Column:
+    """An element in its lane; elements of several kinds are terms."""
+    if x is None or lane != L.DYN:
+        return F.lit(x).cast(kind)
+    if isinstance(x, list | dict):
+        return L.term(F.lit(_cdt_text(x)), L.LIST if isinstance(x, list) else L.MAP)
+    dt = "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "double" if isinstance(x, float) else "string"
+    v = literal(str(x).lower() if isinstance(x, bool) else str(x), XSD + dt)
+    return L.to_dyn(v.col, v.lane)
+
+
+def _cdt_text(x: Any) -> str:
+    """The literal form of a nested value."""
+    if isinstance(x, list):
+        return "[" + ", ".join(map(_cdt_text, x)) + "]"
+    if isinstance(x, dict):
+        return "{" + ", ".join(f"{_cdt_text(a)}: {_cdt_text(b)}" for a, b in x.items()) + "}"
+    if isinstance(x, str):
+        return '"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    return "null" if x is None else str(x).lower()
 
 
 def cdt_list(lex: str) -> Val:
     items = _cdt_parse(lex)
     lane, kind = _element(items)
-    return Val(F.array(*[F.lit(x if x is None or kind != "string" else str(x)).cast(kind) for x in items]).cast(f"array<{kind}>"), Lane("lit", dt=L.LIST, elem=lane))
+    return Val(F.array(*[_cell(x, lane, kind) for x in items]).cast(f"array<{kind}>"), Lane("lit", dt=L.LIST, elem=lane))
 
 
 def cdt_map(lex: str) -> Val:
     items = _cdt_parse(lex)
     (kl, kk), (vl, vk) = _element(list(items)), _element(list(items.values()))
-    cells = [F.lit(x).cast(kind) for pair in items.items() for x, kind in zip(pair, (kk, vk))]
+    cells = [_cell(x, lane, kind) for pair in items.items() for x, lane, kind in zip(pair, (kl, vl), (kk, vk))]
     return Val(F.create_map(*cells).cast(f"map<{kk},{vk}>") if cells else F.create_map().cast("map<string,string>"), Lane("lit", dt=L.MAP, elem=(kl, vl)))
 
 
@@ -202,12 +226,13 @@ def compare(op: str, a: Val, b: Val) -> Column:
         x, y = L.to_dyn(a.col, a.lane), L.to_dyn(b.col, b.lane)
         nx, ny = L.dyn_number(x), L.dyn_number(y)
         same_kind = (x["kind"] == y["kind"]) & F.coalesce(x["dt"] == y["dt"], F.lit(True)) & F.coalesce(x["lang"] == y["lang"], F.lit(True))
-        equal = F.when(nx.isNotNull() & ny.isNotNull(), nx == ny).otherwise((x["lex"] == y["lex"]) & same_kind)
+        tx, ty = L.dyn_time(x), L.dyn_time(y)
+        equal = F.when(nx.isNotNull() & ny.isNotNull(), nx == ny).when(tx.isNotNull() & ty.isNotNull() & same_kind, tx == ty).otherwise((x["lex"] == y["lex"]) & same_kind)
         if op == "=":
             return equal
         if op == "!=":
             return ~equal
-        return F.when(nx.isNotNull() & ny.isNotNull(), f(nx, ny)).when(same_kind & (x["kind"] == 2), f(x["lex"], y["lex"]))
+        return F.when(nx.isNotNull() & ny.isNotNull(), f(nx, ny)).when(tx.isNotNull() & ty.isNotNull() & same_kind, f(tx, ty)).when(same_kind & (x["kind"] == 2), f(x["lex"], y["lex"]))
     if fa == "lang" or fb == "lang":
         if fa == fb:
             same = a.col["lang"] == b.col["lang"]
@@ -472,12 +497,48 @@ FUNCTIONS[AFN + "version"] = lambda: Val(F.lit("0.1.0"), STRING)
 
 
 # dates
+_ZONE = r"(Z|[+-]\d\d:\d\d)$"
+
+
 def _time(v: Val) -> Column:
     return v.col if v.family in ("dateTime", "date") else string(v).try_cast("timestamp")
 
 
+def zoned(v: Val) -> Val:
+    """A dateTime literal in another zone, or in none, as a term, which keeps its lexical form."""
+    if v.family == "dateTime" and isinstance(v.const, str) and not v.const.endswith("Z"):
+        return Val(F.when(v.col.isNotNull(), L.term(F.lit(v.const), XSD + "dateTime")), L.DYN)
+    return v
+
+
+def _written(v: Val) -> Column | None:
+    """The lexical form of a time where it may have a zone of its own; None for columns of instants, which are UTC."""
+    if v.family in ("dateTime", "date"):
+        return F.lit(v.const) if isinstance(v.const, str) else None
+    return string(v)
+
+
+def _local(v: Val) -> Column:
+    """The time on the clock of the value's own zone."""
+    text = _written(v)
+    return _time(v) if text is None else F.regexp_replace(text, _ZONE, "").try_cast("timestamp")
+
+
+def _zone(v: Val) -> Column:
+    """The zone as written, empty if there is none."""
+    text = _written(v)
+    return F.when(_time(v).isNotNull(), F.lit("Z") if text is None and v.family == "dateTime" else F.lit("") if text is None else F.regexp_extract(text, _ZONE, 1))
+
+
+def _offset(v: Val) -> Val:
+    z = _zone(v)
+    hours, minutes = F.substring(z, 2, 2).try_cast("int"), F.substring(z, 5, 2).try_cast("int")
+    some = F.concat(F.when(F.startswith(z, F.lit("-")), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    return Val(F.when(z == "Z", "PT0S").when(z != "", F.when((hours == 0) & (minutes == 0), "PT0S").otherwise(some)), Lane("lit", dt=XSD + "dayTimeDuration", nullable=True))
+
+
 def _part(f: Callable[[Column], Column]) -> Function:
-    return lambda v: Val(f(_time(v)).cast("bigint"), INTEGER)
+    return lambda v: Val(f(_local(v)).cast("bigint"), INTEGER)
 
 
 for _name, _f in {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute}.items():
@@ -485,10 +546,10 @@ for _name, _f in {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS"
     for _kind in ("dateTime", "date", "time"):
         FUNCTIONS[FN + f"{_name.lower()}-from-{_kind}"] = FUNCTIONS[_name]
         FUNCTIONS[FN + f"{_name.lower().rstrip('s')}-from-{_kind}"] = FUNCTIONS[_name]
-FUNCTIONS["SECONDS"] = lambda v: Val((F.unix_micros(_time(v).cast("timestamp")) % 60_000_000 / F.lit(1_000_000)).cast("decimal(38,18)"), DECIMAL)
+FUNCTIONS["SECONDS"] = lambda v: Val((F.unix_micros(_local(v).cast("timestamp")) % 60_000_000 / F.lit(1_000_000)).cast("decimal(38,18)"), DECIMAL)
 FUNCTIONS[FN + "seconds-from-dateTime"] = FUNCTIONS[FN + "seconds-from-time"] = FUNCTIONS["SECONDS"]
-FUNCTIONS["TIMEZONE"] = FUNCTIONS[AFN + "timezone"] = FUNCTIONS[FN + "timezone-from-dateTime"] = lambda v: Val(F.when(_time(v).isNotNull(), "PT0S"), Lane("lit", dt=XSD + "dayTimeDuration"))
-FUNCTIONS["TZ"] = lambda v: Val(F.when(_time(v).isNotNull(), "Z"), STRING)
+FUNCTIONS["TIMEZONE"] = FUNCTIONS[AFN + "timezone"] = FUNCTIONS[FN + "timezone-from-dateTime"] = FUNCTIONS[FN + "timezone-from-date"] = _offset
+FUNCTIONS["TZ"] = lambda v: Val(_zone(v), STRING)
 FUNCTIONS["NOW"] = FUNCTIONS[AFN + "now"] = FUNCTIONS[AFN + "nowtz"] = lambda: Val(F.current_timestamp(), DATETIME)
 FUNCTIONS[AFN + "system-timezone"] = FUNCTIONS[FN + "implicit-timezone"] = lambda: Val(F.lit("PT0S"), Lane("lit", dt=XSD + "dayTimeDuration"))
 FUNCTIONS[AFN + "date"] = lambda v: Val(F.to_date(_time(v)), DATE)
@@ -553,13 +614,26 @@ def _list(*args: Val) -> Val:
 def _map(*args: Val) -> Val:
     if not args:
         return Val(F.create_map().cast("map<string,string>"), Lane("lit", dt=L.MAP, elem=(STRING, STRING)))
-    return Val(F.create_map(*[a.col for a in args]), Lane("lit", dt=L.MAP, elem=(args[0].lane, args[1].lane)))
+    keys, values = _list(*args[::2]), _list(*args[1::2])
+    return Val(F.map_from_arrays(keys.col, values.col), Lane("lit", dt=L.MAP, elem=(keys.lane.elem, values.lane.elem)))
+
+
+def _as(lane: Lane | None, x: Val) -> Column:
+    """A value in the lane of a list's or map's elements."""
+    return L.to_dyn(x.col, x.lane) if lane is not None and lane.kind == "dyn" else x.col
+
+
+def _concat(*lists: Val) -> Val:
+    if len({x.lane.elem for x in lists}) == 1:
+        return Val(F.concat(*[x.col for x in lists]), lists[0].lane)
+    same = [F.transform(x.col, lambda c, l=x.lane.elem or STRING: L.to_dyn(c, l)) for x in lists]
+    return Val(F.concat(*same), Lane("lit", dt=L.LIST, elem=L.DYN))
 
 
 @_cdt("get")
 def _get(v: Val, k: Val) -> Val:
     if v.family == "map":
-        return Val(F.try_element_at(v.col, k.col), v.lane.elem[1])
+        return Val(F.try_element_at(v.col, _as(v.lane.elem[0], k)), v.lane.elem[1])
     return Val(F.when(k.col >= 1, F.get(v.col, (k.col - 1).cast("int"))), v.lane.elem or STRING)
 
 
@@ -567,13 +641,13 @@ FUNCTIONS[CDT + "head"] = lambda v: Val(F.get(v.col, 0), v.lane.elem or STRING)
 FUNCTIONS[CDT + "tail"] = lambda v: Val(F.when(F.size(v.col) > 0, F.slice(v.col, F.lit(2), F.greatest(F.size(v.col), F.lit(1)))), v.lane)
 FUNCTIONS[CDT + "size"] = lambda v: Val(F.size(v.col).cast("bigint"), INTEGER)
 FUNCTIONS[CDT + "reverse"] = lambda v: Val(F.reverse(v.col), v.lane)
-FUNCTIONS[CDT + "concat"] = lambda *a: Val(F.concat(*[x.col for x in a]), a[0].lane)
-FUNCTIONS[CDT + "contains"] = lambda v, x: Val(F.coalesce(F.array_contains(v.col, x.col), F.lit(False)), BOOLEAN)
-FUNCTIONS[CDT + "containsKey"] = lambda v, x: Val(F.map_contains_key(v.col, x.col), BOOLEAN)
+FUNCTIONS[CDT + "concat"] = _concat
+FUNCTIONS[CDT + "contains"] = lambda v, x: Val(F.coalesce(F.array_contains(v.col, _as(v.lane.elem, x)), F.lit(False)), BOOLEAN)
+FUNCTIONS[CDT + "containsKey"] = lambda v, x: Val(F.map_contains_key(v.col, _as(v.lane.elem[0], x)), BOOLEAN)
 FUNCTIONS[CDT + "keys"] = lambda v: Val(F.map_keys(v.col), Lane("lit", dt=L.LIST, elem=v.lane.elem[0]))
 FUNCTIONS[CDT + "merge"] = lambda a, b: Val(F.map_concat(a.col, F.map_filter(b.col, lambda k, _: ~F.map_contains_key(a.col, k))), a.lane)
-FUNCTIONS[CDT + "put"] = lambda m, k, v: Val(F.map_concat(F.map_filter(m.col, lambda x, _: x != k.col), F.create_map(k.col, v.col)), m.lane)
-FUNCTIONS[CDT + "remove"] = lambda m, k: Val(F.map_filter(m.col, lambda x, _: x != k.col), m.lane)
+FUNCTIONS[CDT + "put"] = lambda m, k, v: Val(F.map_concat(F.map_filter(m.col, lambda x, _: x != _as(m.lane.elem[0], k)), F.create_map(_as(m.lane.elem[0], k), _as(m.lane.elem[1], v))), m.lane)
+FUNCTIONS[CDT + "remove"] = lambda m, k: Val(F.map_filter(m.col, lambda x, _: x != _as(m.lane.elem[0], k)), m.lane)
 
 
 @_cdt("subseq")

@@ -55,8 +55,8 @@ def sssp(edges: DataFrame, sources: list, rounds_most: int = 10_000) -> DataFram
         now = rounds.save(now, temporary=True)
         best, changed = now.select("id", "distance"), now.where("new").select("id", "distance")
         if changed.isEmpty():
-            break
-    return best
+            return best
+    raise RuntimeError(f"distances still change after {rounds_most} rounds")
 
 
 def wcc(edges: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def modularity_communities(edges: DataFrame, max_iterations: int = 20, max_level
 
 
 def betweenness(edges: DataFrame, sources: list | None = None, node_cap: int = 2000) -> DataFrame:
-    """(id, score): Brandes' algorithm, exact up to ``node_cap`` nodes; beyond it ``sources`` must be named.
+    """(id, score): Brandes' algorithm, exact up to ``node_cap`` nodes; beyond it that many sources are drawn by a hash of the id and the scores scaled.
 
     One breadth-first wave runs for all sources together: its rows are (source,
     node), and path counts and dependencies are grouped sums.
@@ -284,11 +284,11 @@ def betweenness(edges: DataFrame, sources: list | None = None, node_cap: int = 2
     e = rounds.save(edges.select("src", "dst").where("src != dst").distinct())
     nodes = rounds.save(nodes_of(edges))
     if sources is None:
-        if nodes.count() > node_cap:
-            raise ValueError("too many nodes for exact betweenness: name sources")
-        start = nodes
+        n = nodes.count()
+        start = nodes if n <= node_cap else rounds.save(nodes.orderBy(F.xxhash64("id"), "id").limit(node_cap))
+        scale = max(1.0, n / node_cap)
     else:
-        start = nodes.where(F.col("id").isin(sources))
+        start, scale = nodes.where(F.col("id").isin(sources)), 1.0
     waves = [rounds.save(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
     seen = waves[0].select("s", "id")
     while True:
@@ -306,4 +306,4 @@ def betweenness(edges: DataFrame, sources: list | None = None, node_cap: int = 2
         delta = rounds.save(wave.join(given, ["s", "id"], "left").select("s", "id", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")))
         total = total.union(delta.select("s", "id", "delta"))
     score = total.where("s != id").groupBy("id").agg(F.sum("delta").alias("score"))
-    return nodes.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return nodes.join(score, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * scale).alias("score"))

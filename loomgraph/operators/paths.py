@@ -66,9 +66,14 @@ def edges(c: Any, p: Any) -> tuple[DataFrame, Lane]:
         return (df if p.op == "multi" else df.distinct()), lane
     df, lane = edges(c, p.args[0])
     if p.op == "opt":
-        return zero(df).union(df).distinct(), lane
+        df, lane, same = every(c, df, lane)
+        return same.union(df).distinct(), lane
     if p.op == "range":
-        power, out = None, (zero(df) if p.low == 0 else None)
+        if p.low == 0:
+            df, lane, out = every(c, df, lane)
+        else:
+            out = None
+        power = None
         for i in range(1, (p.high if p.high is not None else p.low) + 1):
             power = df if power is None else step(power, df)
             if i >= p.low:
@@ -79,8 +84,59 @@ def edges(c: Any, p: Any) -> tuple[DataFrame, Lane]:
                 return out.union(tail).distinct(), lane
             return power.union(step(power, tail)).distinct(), lane
         return out, lane
-    pairs = closure(c, df)
-    return (zero(df).union(pairs).distinct() if p.op == "star" else pairs), lane
+    if p.op == "star":
+        df, lane, same = every(c, df, lane)
+        return same.union(closure(c, df)).distinct(), lane
+    return closure(c, df), lane
+
+
+def empty_too(p: Any) -> bool:
+    """Whether a path may have no edge."""
+    if not isinstance(p, A.Path):
+        return False
+    if p.op in ("star", "opt") or p.op == "range" and p.low == 0:
+        return True
+    if p.op == "alt":
+        return any(empty_too(x) for x in p.args)
+    return p.op in ("seq", "inv", "distinct", "multi", "shortest", "plus", "range") and all(empty_too(x) for x in p.args)
+
+
+def every(c: Any, df: DataFrame, lane: Lane) -> tuple[DataFrame, Lane, DataFrame]:
+    """The edges, and every node with itself, in one lane: nodes are the graph's subjects and objects.
+
+    While a path's start is known (``c.path_nodes``) only those nodes can matter:
+    subjects of known mappings stay native keys, and a constant is its own pair.
+    """
+    known = getattr(c, "path_nodes", None)
+    if isinstance(known, set) and c.graph.quads is None:
+        maps = [m for m in c._maps() if m.prefix in known]
+        if known == {lane.prefix} and lane.kind == "iri" and maps:
+            nodes = df.select("src")
+            for m in maps:
+                nodes = nodes.union(m.df().select(m.subject()[0].cast(df.schema["src"].dataType).alias("src")))
+            nodes = nodes.where("src is not null").distinct()
+            return df, lane, nodes.select("src", F.col("src").alias("dst"))
+    elif known is not None and not isinstance(known, set):
+        df, lane = fitted(df, lane, known)
+        return df, lane, c.spark.range(1).select(_constant(known, lane, df.schema["src"].dataType).alias("src")).select("src", F.col("src").alias("dst"))
+    found = c.graph.triples(None, c.active, known if isinstance(known, set) and c.graph.quads is None else None)
+    if found is None:
+        found = c.spark.createDataFrame([], f"s {L.TERM}, p string, o {L.TERM}")
+    nodes = found.select(F.explode(F.array("s", "o")).alias("src"))
+    df = df.select(*[L.to_dyn(F.col(x), lane).alias(x) for x in ("src", "dst")])
+    nodes = Rounds(c.spark, "nodes").save(nodes.union(df.select("src")).union(df.select("dst")).distinct())
+    return df, DYN, nodes.select("src", F.col("src").alias("dst"))
+
+
+def fitted(df: DataFrame, lane: Lane, term: Any) -> tuple[DataFrame, Lane]:
+    """The edges in a lane that can hold the term."""
+    if lane.kind == "iri" and not isinstance(term, A.Iri):
+        return df.select(*[L.to_dyn(F.col(x), lane).alias(x) for x in ("src", "dst")]), DYN
+    if lane.kind == "iri" and lane.prefix:
+        rest = term.value[len(lane.prefix) :] if term.value.startswith(lane.prefix) else ""
+        if not (rest.isdigit() if df.schema["src"].dataType.simpleString() != "string" else rest):
+            return df.select(*[L.lexical(F.col(x), lane).alias(x) for x in ("src", "dst")]), Lane("iri")
+    return df, lane
 
 
 def zero(df: DataFrame) -> DataFrame:
@@ -125,27 +181,36 @@ def closure(c: Any, df: DataFrame, starts: DataFrame | None = None) -> DataFrame
     return out
 
 
-def path_solution(c: Any, s: Any, p: Any, o: Any) -> Any:
-    """A path pattern; a constant end keeps the search to what it reaches."""
+def path_solution(c: Any, s: Any, p: Any, o: Any, prefixes: set | None = None) -> Any:
+    """A path pattern; a constant end keeps the search to what it reaches; ``prefixes``: what other patterns leave to the subject."""
     from ..plans.compile import Solution, col_of
 
-    if not isinstance(s, A.Var) and isinstance(o, A.Var) or isinstance(s, A.Var):
-        flip = isinstance(s, A.Var) and not isinstance(o, A.Var)
-    else:
-        flip = False
-    if flip:
-        s, o, p = o, s, A.Path("inv", (p,))
+    if isinstance(s, A.Var) and not isinstance(o, A.Var):
+        s, o, p, prefixes = o, s, A.Path("inv", (p,)), None
     inner = p.args[0] if isinstance(p, A.Path) and p.op == "inv" else p
-    if not isinstance(s, A.Var) and isinstance(inner, A.Path) and inner.op in ("plus", "star"):
-        base, lane = edges(c, A.Path("inv", inner.args) if inner is not p else inner.args[0])
-        start = c.spark.range(1).select(_constant(s, lane, base.schema["src"].dataType).alias("src"))
-        df = closure(c, base, start)
-        if inner.op == "star":
-            df = df.union(start.select("src", F.col("src").alias("dst"))).distinct()
-    else:
-        df, lane = edges(c, p)
-        if not isinstance(s, A.Var):
-            df = df.where(F.col("src").eqNullSafe(_constant(s, lane, df.schema["src"].dataType)))
+    before = getattr(c, "path_nodes", None)
+    # Only a path that is one step with its repetition begins and ends at the same known node.
+    single = isinstance(inner, A.Path) and inner.op in ("star", "opt", "range")
+    c.path_nodes = (None if isinstance(s, A.Var) else s) if single and not isinstance(s, A.Var) else prefixes if single and p is inner else None
+    try:
+        if not isinstance(s, A.Var) and isinstance(inner, A.Path) and inner.op in ("plus", "star"):
+            base, lane = edges(c, A.Path("inv", inner.args) if inner is not p else inner.args[0])
+            base, lane = fitted(base, lane, s)
+            start = c.spark.range(1).select(_constant(s, lane, base.schema["src"].dataType).alias("src"))
+            df = closure(c, base, start)
+            if inner.op == "star":
+                df = df.union(start.select("src", F.col("src").alias("dst"))).distinct()
+        else:
+            df, lane = edges(c, p)
+            if not isinstance(s, A.Var):
+                df, lane = fitted(df, lane, s)
+                here = _constant(s, lane, df.schema["src"].dataType)
+                df = df.where(F.col("src").eqNullSafe(here))
+                if empty_too(p) and not single:  # a node that the graph does not have is its own end, too
+                    one = c.spark.range(1).select(here.alias("src"), here.alias("dst"))
+                    df = df.union(one.join(df.where("src <=> dst").select("src").distinct(), "src", "left_anti"))
+    finally:
+        c.path_nodes = before
     cols = {}
     if isinstance(s, A.Var):
         cols[s.name] = F.col("src")
@@ -155,6 +220,7 @@ def path_solution(c: Any, s: Any, p: Any, o: Any) -> Any:
         else:
             cols[o.name] = F.col("dst")
     else:
+        df, lane = fitted(df, lane, o)
         df = df.where(F.col("dst").eqNullSafe(_constant(o, lane, df.schema["dst"].dataType)))
     return Solution(df.select(*[x.alias(col_of(v)) for v, x in cols.items()]), dict.fromkeys(cols, lane))
 

@@ -12,7 +12,7 @@ from ..plans import graphql
 from ..plans.compile import Compiler, Options
 from ..plans.lanes import RDF, XSD
 from ..sources import mapping
-from ..sources.catalog import EX, standard_graph
+from ..sources.catalog import EX, VirtualGraph, standard_graph
 from ..streaming import live as Z
 from . import geo, reason, search, validate
 from . import graph as G
@@ -74,21 +74,31 @@ _add("algo_degrees", f"WITH {_E} SELECT id, (SELECT count(*) FROM e WHERE s = id
 _add("algo_bfs", f"WITH RECURSIVE {_E}, r AS (SELECT 1::BIGINT AS id, 0::BIGINT AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON e.s = r.id WHERE r.depth < 12) SELECT v.id, min(depth) AS depth FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id")(lambda spark, sf: G.bfs(knows(spark, sf), [1]))
 _add("algo_triangles", f"WITH {_E}, {_U}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) SELECT v.id, count(t.p) AS triangles FROM v LEFT JOIN (SELECT p AS id, p FROM t UNION ALL SELECT q, p FROM t UNION ALL SELECT r, p FROM t) t ON t.id = v.id GROUP BY v.id")(lambda spark, sf: G.triangles(knows(spark, sf)))
 _add("algo_clustering", f"WITH {_E}, {_U}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT id, count(*) AS n FROM (SELECT p AS id FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY id), k AS (SELECT a AS id, count(*) AS n FROM w GROUP BY a) SELECT v.id, round(CASE WHEN k.n >= 2 THEN 2.0 * coalesce(c.n, 0) / (k.n * (k.n - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM v LEFT JOIN k ON k.id = v.id LEFT JOIN c ON c.id = v.id")(lambda spark, sf: G.clustering(knows(spark, sf)).select("id", F.round("coefficient", 6).alias("coefficient")))
-_add("algo_wcc", f"WITH RECURSIVE {_E}, {_U}, r AS (SELECT id, id AS c FROM v WHERE id = (SELECT min(id) FROM v) UNION SELECT w.b, r.c FROM r JOIN w ON w.a = r.id) SELECT count(*) AS n FROM r")(lambda spark, sf: _first_component(spark, sf))
 
 
-def _first_component(spark: SparkSession, sf: str) -> DataFrame:
-    """The size of the component that holds the smallest node."""
-    c = G.wcc(knows(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
-    return c.groupBy().agg(F.min_by("n", "component").alias("n"))
-
-
-_add("algo_scc")(lambda spark, sf: G.scc(knows(spark, sf)))
-_add("algo_kcore")(lambda spark, sf: G.kcore(knows(spark, sf)))
-_add("algo_label_propagation")(lambda spark, sf: G.label_propagation(knows(spark, sf), 5))
-_add("algo_sssp")(lambda spark, sf: G.sssp(knows(spark, sf).withColumn("weight", (F.col("dst") % 5 + 1).cast("double")), [1]))
-_add("algo_louvain")(lambda spark, sf: G.modularity_communities(knows(spark, sf), 4, 2))
-_add("algo_betweenness")(lambda spark, sf: G.betweenness(knows(spark, sf), [1, 2, 3]))
+def _unrolled(name: str, first: str, step: Callable[[str], str], rounds: int) -> str:
+    """Materialised rounds of a step; their number passes what the tables need."""
+    parts = [f"{name}0 AS MATERIALIZED ({first})"]
+    for i in range(1, rounds + 1):
+        parts.append(f"{name}{i} AS MATERIALIZED ({step(f'{name}{i - 1}')})")
+    return ", ".join(parts)
+
+
+_WCC = _unrolled("c", "SELECT id, id AS c FROM v", lambda x: f"SELECT l.id, least(l.c, coalesce(min(m.c), l.c)) AS c FROM {x} l LEFT JOIN w ON w.a = l.id LEFT JOIN {x} m ON m.id = w.b GROUP BY l.id, l.c", 16)
+_add("algo_wcc", f"WITH {_E}, {_U}, {_WCC} SELECT id, c AS component FROM c16")(lambda spark, sf: G.wcc(knows(spark, sf)))
+_add("algo_scc", f"WITH RECURSIVE {_E}, r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON e.s = r.d) SELECT v.id, least(v.id, coalesce(min(x.d), v.id)) AS component FROM v LEFT JOIN (SELECT a.s, a.d FROM r a JOIN r b ON a.s = b.d AND a.d = b.s) x ON x.s = v.id GROUP BY v.id")(lambda spark, sf: G.scc(knows(spark, sf)))
+# A node's core number is the fixpoint of the h-index of its neighbours' numbers.
+_CORE = _unrolled("k", "SELECT a AS id, count(*) AS c FROM w GROUP BY a", lambda x: f"SELECT id, max(least(c, i)) AS c FROM (SELECT w.a AS id, m.c, row_number() OVER (PARTITION BY w.a ORDER BY m.c DESC) AS i FROM w JOIN {x} m ON m.id = w.b) GROUP BY id", 40)
+_add("algo_kcore", f"WITH {_E}, {_U}, {_CORE} SELECT id, c::BIGINT AS core FROM k40")(lambda spark, sf: G.kcore(knows(spark, sf)))
+_VOTES = "SELECT l.id, coalesce(arg_max(t.label, (t.n, -t.label)), l.label) AS label FROM {x} l LEFT JOIN (SELECT y.a AS id, m.label, count(*) AS n FROM y JOIN {x} m ON m.id = y.b GROUP BY 1, 2) t ON t.id = l.id GROUP BY l.id, l.label"
+_LABELS = _unrolled("l", "SELECT id, id AS label FROM v", lambda x: _VOTES.format(x=x), 5)
+_add("algo_label_propagation", f"WITH {_E}, y AS (SELECT s AS a, d AS b FROM e UNION ALL SELECT d, s FROM e), {_LABELS} SELECT id, label FROM l5")(lambda spark, sf: G.label_propagation(knows(spark, sf), 5))
+_add("algo_sssp", f"WITH RECURSIVE {_E}, r AS (SELECT 1::BIGINT AS id, 0::BIGINT AS c UNION SELECT e.d, r.c + e.d % 5 + 1 FROM r JOIN e ON e.s = r.id WHERE r.c < 40) SELECT v.id, min(r.c)::DOUBLE AS distance FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id")(
+    lambda spark, sf: G.sssp(knows(spark, sf).withColumn("weight", (F.col("dst") % 5 + 1).cast("double")), [1])
+)
+_add("algo_louvain")(lambda spark, sf: G.modularity_communities(knows(spark, sf)))
+# A sampling operator: sources drawn from all nodes by a hash, scores scaled.
+_add("algo_betweenness")(lambda spark, sf: G.betweenness(knows(spark, sf), node_cap=64))
 _add("algo_fastrp")(lambda spark, sf: G.fast_rp(knows(spark, sf), 16))
 _add(
     "algo_similarity",
@@ -122,19 +132,28 @@ _add("text_phrase", _bm25_sql(["of", "the"], "contains(' ' || array_to_string(t,
 _add("text_not", _bm25_sql(["the"], "f0 > 0 AND NOT list_contains(t, 'of')"))(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), "the -of").select("doc_id", F.round("score", 4).alias("score")))
 _add("text_postings", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY term")(lambda spark, sf: search.postings(_t(spark, sf, "documents")).groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("places")))
 _add("text_stemmed")(lambda spark, sf: search.bm25(_t(spark, sf, "documents"), "resting heins erations", language="en", stem=True))
-_add("text_highlight", r"SELECT doc_id, regexp_replace(text, '\b([Tt]he|THE)\b', '<b>\1</b>', 'g') AS h FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$') AND regexp_matches(text, '\bthe\b')")(lambda spark, sf: _t(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$") & F.col("text").rlike(r"\bthe\b")).select("doc_id", F.regexp_replace("text", r"\b([Tt]he|THE)\b", "<b>$1</b>").alias("h")))
+_MARK = r"regexp_replace({x}, '(?i)(^|[^\p{{L}}\p{{N}}])(the|of)([^\p{{L}}\p{{N}}]|$)', '\1ꙮ\2ꚙ\3', 'g')"
+# Two passes, since neighbours share the character between them; letters mark what is done.
+_add("text_highlight", f"SELECT doc_id, replace(replace({_MARK.format(x=_MARK.format(x='text'))}, 'ꙮ', '<b>'), 'ꚙ', '</b>') AS h FROM documents WHERE text IS NOT NULL")(lambda spark, sf: _t(spark, sf, "documents").where("text is not null").select("doc_id", search.highlight(F.col("text"), "the of").alias("h")))
 _add("entity_search", "SELECT n_nationkey AS k, CASE WHEN lower(n_name) = 'nation_1' THEN 3.0 WHEN starts_with(lower(n_name), 'nation_1') THEN 2.0 ELSE 1.0 END::DOUBLE AS score FROM nation WHERE starts_with(lower(n_name), 'nation_1') OR levenshtein(lower(n_name), 'nation_1') <= 1")(lambda spark, sf: search.entity_search(_t(spark, sf, "nation"), "Nátion_1", "n_name", limit=100).select(F.col("n_nationkey").alias("k"), "score"))
 
 
-def _queries(spark: SparkSession, sf: str) -> dict[int, list[float]]:
-    rows = _t(spark, sf, "embeddings").where("vec_id in (1, 7, 20)").select("vec_id", "embedding").collect()
-    return {r[0]: list(r[1]) for r in rows}
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set: every vector whose id is divisible by 20."""
+    return _t(spark, sf, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding")
 
 
-_VECTORS = "SELECT query, vec_id, round(score, 4) AS score, rank FROM (SELECT q.vec_id AS query, e.vec_id, {f}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {f}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 7, 20)) WHERE rank <= 10"
+_VECTORS = "SELECT query, vec_id, round(score, 4) AS score, rank FROM (SELECT q.vec_id AS query, e.vec_id, {f}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {f}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10"
 _add("vector_search", _VECTORS.format(f="list_cosine_similarity"))(lambda spark, sf: search.vector_topk(_t(spark, sf, "embeddings"), _queries(spark, sf)).select("query", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")))
 _add("vector_search_dot", _VECTORS.format(f="list_inner_product"))(lambda spark, sf: search.vector_topk(_t(spark, sf, "embeddings"), _queries(spark, sf), metric="dot").select("query", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")))
-_add("hybrid_search")(lambda spark, sf: search.hybrid(_t(spark, sf, "documents"), "the of", _t(spark, sf, "embeddings"), _queries(spark, sf)[7]))
+_HYBRID = (
+    f"WITH t AS ({_bm25_sql(['the', 'of'], 'f0 > 0 OR f1 > 0')}), b AS (SELECT doc_id, rank() OVER (ORDER BY score DESC) AS r FROM (SELECT * FROM t ORDER BY score DESC, doc_id LIMIT 100)), "
+    "n AS (SELECT q.vec_id AS query, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), "
+    "u AS (SELECT query, doc_id, r FROM n WHERE r <= 100 UNION ALL SELECT query, doc_id, b.r FROM b, (SELECT DISTINCT query FROM n)), "
+    "f AS (SELECT query, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM u GROUP BY 1, 2) "
+    "SELECT query, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM f) WHERE k <= 10"
+)
+_add("hybrid_search", _HYBRID)(lambda spark, sf: search.hybrid(_t(spark, sf, "documents"), "the of", _t(spark, sf, "embeddings"), _queries(spark, sf)))
 _add(
     "rank_fusion",
     "WITH a AS (SELECT p_partkey AS k, rank() OVER (ORDER BY p_size DESC) AS r FROM part), b AS (SELECT p_partkey AS k, rank() OVER (ORDER BY p_retailprice DESC) AS r FROM part) SELECT k, round(sum(s), 6) AS score FROM (SELECT k, 1.0::DOUBLE / (60 + r) AS s FROM a UNION ALL SELECT k, 1.0::DOUBLE / (60 + r) FROM b) GROUP BY k",
@@ -289,6 +308,46 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return state[0]
 
 
+# ---------------------------------------------------------------- named graphs
+
+
+def _named(spark: SparkSession, sf: str) -> Compiler:
+    """Each customer's triples in a graph of its own, the nations' names in their regions' graphs."""
+    word = lambda c: F.struct(F.lit(2).cast("tinyint").alias("kind"), F.col(c).alias("lex"), F.lit(XSD + "string").alias("dt"), F.lit(None).cast("string").alias("lang"))
+    node = lambda kind, c: F.concat(F.lit(EX + kind + "/"), F.col(c).cast("string"))
+    iri = lambda c: F.struct(F.lit(0).cast("tinyint").alias("kind"), c.alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang"))
+    row = lambda g, s, p, o: F.struct(g.alias("g"), iri(s).alias("s"), F.lit(EX + p).alias("p"), o.alias("o"))
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    own, me = node("graph/customer", "c_custkey"), node("customer", "c_custkey")
+    rows = c.select(F.explode(F.array(row(own, me, "segment", word("c_mktsegment")), row(own, me, "nation", iri(node("nation", "c_nationkey"))))).alias("x"))
+    rows = rows.union(n.select(row(node("graph/region", "n_regionkey"), node("nation", "n_nationkey"), "name", word("n_name")).alias("x")))
+    return Compiler(VirtualGraph(spark, [], rows.select("x.*")))
+
+
+def _among(text: str) -> Query:
+    return lambda spark, sf: _named(spark, sf).query(text)
+
+
+_R = f"<{EX}graph/region/"
+_add("from_graphs", "SELECT 'http://example.org/nation/' || n_nationkey AS n, n_name AS x FROM nation WHERE n_regionkey IN (1, 3)")(_among(f"SELECT ?n ?x FROM {_R}1> FROM {_R}3> {{ ?n ex:name ?x }}"))
+_add("from_named", "SELECT 'http://example.org/graph/region/' || n_regionkey AS g, n_name AS x FROM nation WHERE n_regionkey IN (0, 2)")(_among(f"SELECT ?g ?x FROM NAMED {_R}0> FROM NAMED {_R}2> {{ GRAPH ?g {{ ?n ex:name ?x }} }}"))
+_add("from_both", "SELECT a.n_name AS x, count(*) AS k FROM nation a, nation b WHERE a.n_regionkey = 1 AND b.n_regionkey = 2 GROUP BY a.n_name")(_among(f"SELECT ?x (COUNT(*) AS ?k) FROM {_R}1> FROM NAMED {_R}2> {{ ?n ex:name ?x GRAPH ?g {{ ?m ex:name ?y }} }} GROUP BY ?x"))
+_add("graph_variable", "SELECT 'http://example.org/graph/customer/' || c_custkey AS g, c_mktsegment AS s, 'http://example.org/nation/' || c_nationkey AS n FROM customer")(_among("SELECT ?g ?s ?n { GRAPH ?g { ?c ex:segment ?s OPTIONAL { ?c ex:nation ?n } } }"))
+_add("graph_names", "SELECT count(*) AS k FROM (SELECT c_custkey AS a, 0 AS b FROM customer UNION SELECT n_regionkey, 1 FROM nation)")(_among("SELECT (COUNT(?g) AS ?k) { GRAPH ?g {} }"))
+_add("graph_join", "SELECT n_name AS x, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(_among("SELECT ?x (COUNT(?g) AS ?k) { GRAPH ?g { ?c ex:nation ?n } GRAPH ?h { ?n ex:name ?x } } GROUP BY ?x"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select(F.col("s.lex").alias("s"), "p", F.col("o.lex").alias("o"), F.coalesce(F.col("o.dt"), F.lit("")).alias("dt"))
+
+
+_add("construct_triples", f"SELECT DISTINCT 'http://example.org/region/' || n_regionkey AS s, 'http://example.org/hasNation' AS p, 'http://example.org/nation/' || n_nationkey AS o, '' AS dt FROM nation UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, 'http://example.org/called', n_name, '{XSD}string' FROM nation")(
+    lambda spark, sf: _flat(Compiler(standard_graph(spark, sf)).query("CONSTRUCT { ?r ex:hasNation ?n . ?n ex:called ?x } WHERE { ?n a ex:Nation ; ex:region ?r ; ex:name ?x }"))
+)
+_add("describe_iri", f"SELECT 'http://example.org/nation/' || n_nationkey AS s, unnest(['{RDF}type', 'http://example.org/name', 'http://example.org/region']) AS p, unnest(['http://example.org/Nation', n_name, 'http://example.org/region/' || n_regionkey]) AS o, unnest(['', '{XSD}string', '']) AS dt FROM nation WHERE n_nationkey = 3")(
+    lambda spark, sf: _flat(Compiler(standard_graph(spark, sf)).query("DESCRIBE <http://example.org/nation/3>"))
+)
+
 # ---------------------------------------------------------------- adapters
 
 

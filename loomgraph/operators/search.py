@@ -259,6 +259,7 @@ def highlight(text: Column, query: str, start: str = "<b>", end: str = "</b>", s
 
 #: Query vectors that one pass takes along; more are searched in blocks.
 QUERIES_AT_ONCE = 1024
+VECTORS_AT_ONCE = 8192
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -270,27 +271,52 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(x @ q.T, n, out=np.full(n.shape, -np.inf), where=n > 0)
 
 
-def vector_topk(vectors: DataFrame, queries: dict[int, list[float]], k: int = 10, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, score, rank): the exact ``k`` best of each query; every batch keeps its own best first."""
-    out = None
-    items = list(queries.items())
-    for at in range(0, len(items), QUERIES_AT_ONCE):
-        names = np.array([i for i, _ in items[at : at + QUERIES_AT_ONCE]], dtype=np.int64)
-        matrix = np.array([v for _, v in items[at : at + QUERIES_AT_ONCE]], dtype=float)
+def _best(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> Iterator[pd.DataFrame]:
+    """The best ``k`` of a block of vectors for each of a block of queries."""
+    s = _scores(x, matrix, metric)
+    for j, name in enumerate(names):
+        order = np.lexsort((ids, -s[:, j]))[:k]
+        yield pd.DataFrame({"query": name, "_id": ids[order], "score": s[order, j]})
 
-        def run(batches: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+
+def vector_topk(vectors: DataFrame, queries: dict[int, list[float]] | DataFrame, k: int = 10, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, score, rank): the exact ``k`` best of each query.
+
+    Queries are a small dict, or a table with the columns ``key`` and ``vector``.
+    A dict travels with the scan, every batch keeping its own best first.  A table
+    is dealt to blocks of about ``QUERIES_AT_ONCE``, the vectors to blocks of
+    ``VECTORS_AT_ONCE``, and every block meets every other, so no task holds more
+    than one of each and the driver none.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+    if isinstance(queries, DataFrame):
+        wanted = queries.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+
+        def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
+            n = max(1, -(-df.count() // most))
+            return df.groupBy(F.pmod(F.xxhash64("_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("_id", "_v")).alias(name)).select(name)
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b = b[b["_v"].notna()]
-                if not len(b):
-                    continue
-                s = _scores(np.stack(b["_v"].to_numpy()).astype(float), matrix, metric)
-                ids = b["_id"].to_numpy()
-                for j, name in enumerate(names):
-                    order = np.lexsort((ids, -s[:, j]))[:k]
-                    yield pd.DataFrame({"query": name, "_id": ids[order], "score": s[order, j]})
-
-        part = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).mapInPandas(run, "query long, _id long, score double")
-        out = part if out is None else out.union(part)
+                for xs, qs in zip(b["x"], b["q"]):
+                    yield from _best(np.array([r["_id"] for r in qs]), np.stack([r["_v"] for r in qs]).astype(float), np.array([r["_id"] for r in xs]), np.stack([r["_v"] for r in xs]).astype(float), k, metric)
+
+        pairs = blocks(rows, VECTORS_AT_ONCE, "x").crossJoin(blocks(wanted, QUERIES_AT_ONCE, "q"))
+        out = pairs.mapInPandas(meet, "query long, _id long, score double")
+    else:
+        out = None
+        items = list(queries.items())
+        for at in range(0, len(items), QUERIES_AT_ONCE):
+            names = np.array([i for i, _ in items[at : at + QUERIES_AT_ONCE]], dtype=np.int64)
+            matrix = np.array([v for _, v in items[at : at + QUERIES_AT_ONCE]], dtype=float)
+
+            def run(batches: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    if len(b):
+                        yield from _best(names, matrix, b["_id"].to_numpy(), np.stack(b["_v"].to_numpy()).astype(float), k, metric)
+
+            part = rows.mapInPandas(run, "query long, _id long, score double")
+            out = part if out is None else out.union(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("_id", key)
 
@@ -311,11 +337,15 @@ def fuse_rrf(lists: list[DataFrame], key: str, k: int = 60, weights: list[float]
     return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
-def hybrid(docs: DataFrame, query: str, vectors: DataFrame, vector: list[float], limit: int = 10, depth: int = 100, key: str = "doc_id", vector_key: str = "vec_id") -> DataFrame:
-    """Text and vector ranks of the best ``depth`` of each, fused; both lists are bounded, so the ranks are a small sort."""
-    text = competition_ranks(bm25(docs, query, key=key, limit=depth))
-    near = vector_topk(vectors, {0: vector}, depth, key=vector_key).select(F.col(vector_key).alias(key), "rank")
-    return fuse_rrf([text.select(key, "rank"), near], key, limit=limit)
+def hybrid(docs: DataFrame, query: str, vectors: DataFrame, queries: DataFrame, limit: int = 10, depth: int = 100, key: str = "doc_id", vector_key: str = "vec_id") -> DataFrame:
+    """(query, key, score): for each query vector its ranks and the text's ranks of the best ``depth`` of each, fused; the text's list is ``depth`` rows."""
+    best = bm25(docs, query, key=key, limit=None).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), key).limit(depth)
+    text = F.broadcast(competition_ranks(best).select(key, "rank"))
+    near = vector_topk(vectors, queries, depth, key=vector_key).select("query", F.col(vector_key).alias(key), "rank")
+    lists = near.union(queries.select(F.col(vector_key).cast("long").alias("query")).distinct().join(text).select("query", key, "rank"))
+    fused = lists.groupBy("query", key).agg(F.round(F.sum(F.lit(1.0) / (F.lit(60) + F.col("rank"))), 8).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return fused.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
 # ---------------------------------------------------------------- entities

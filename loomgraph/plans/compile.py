@@ -8,6 +8,7 @@ structs.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import builtins as B
 from ..functions.builtins import Val
-from ..sources.catalog import TYPE, TriplesMap, VirtualGraph
+from ..sources.catalog import TYPE, Named, Scope, TriplesMap, VirtualGraph, within
 from . import algebra as A
 from . import lanes as L
 from .lanes import BOOLEAN, DECIMAL, DOUBLE, DYN, INTEGER, STRING, XSD, Lane
@@ -69,7 +70,8 @@ class Compiler:
         self.spark: SparkSession = graph.spark
         self.options = options or Options()
         self.services = services or {}
-        self.active: str | None = None
+        self.active: Scope = None
+        self.named: tuple[str, ...] | None = None  # FROM NAMED; None: all named graphs
         self.serial = 0
 
     # ------------------------------------------------------------ entry
@@ -78,8 +80,9 @@ class Compiler:
         """Rows of a SELECT; the triples of CONSTRUCT and DESCRIBE; one boolean for ASK."""
         q = parse(text)
         pattern = self._bind(q.pattern, bindings) if bindings else q.pattern
-        if q.graphs:
-            pattern = A.Graph(A.Iri(q.graphs[0]), pattern)
+        if q.graphs or q.named:
+            # A dataset of its own: without FROM the default graph is empty, without FROM NAMED there are no named ones.
+            self.active, self.named = q.graphs[0] if len(q.graphs) == 1 else tuple(q.graphs), tuple(q.named)
         if q.form == "select":
             return self.rows(self.compile(pattern))
         if q.form == "ask":
@@ -173,13 +176,13 @@ class Compiler:
         return A.Var(f".p{self.serial}")
 
     def _maps(self) -> list[TriplesMap]:
-        return [m for m in self.graph.maps if m.graph == self.active]
+        return [m for m in self.graph.maps if within(m.graph, self.active)]
 
     def _stars(self, triples: list) -> list[Solution]:
         """One solution a subject, by the tables whose predicates can be there."""
         if not triples:
             return []
-        if not self.options.typed or self.graph.quads is not None:
+        if not self.options.typed or self.graph.quads is not None or isinstance(self.active, tuple | Named):
             return [self._scan(t) for t in triples]
         groups: dict[Any, list] = {}
         for k, (s, p, o) in enumerate(triples):
@@ -299,9 +302,10 @@ class Compiler:
         native = prefixes is not None and len(prefixes) == 1 and self.options.typed and self.graph.quads is None and isinstance(s, A.Var)
         df = self.graph.triples([predicate] if predicate else None, self.active, prefixes if self.graph.quads is None else None, native)
         if df is None:
-            return self._nothing([t])
+            return self._nothing([t, (A.Var(self.active.var),)] if isinstance(self.active, Named) else [t])
+        here = [(A.Var(self.active.var), F.col("g"), Lane("iri"))] if isinstance(self.active, Named) else []
         cols: dict[str, tuple[Column, Lane]] = {}
-        for term, c, lane in ((s, F.col("s"), Lane("iri", prefix=next(iter(prefixes))) if native else DYN), (p, F.col("p"), Lane("iri")), (o, F.col("o"), DYN)):
+        for term, c, lane in (*here, (s, F.col("s"), Lane("iri", prefix=next(iter(prefixes))) if native else DYN), (p, F.col("p"), Lane("iri")), (o, F.col("o"), DYN)):
             if isinstance(term, A.Var):
                 if term.name in cols:
                     df = df.where(self._same(Val(*cols[term.name]), Val(c, lane)))
@@ -320,45 +324,74 @@ class Compiler:
             return self._scan(t, prefixes)
         from ..operators.paths import path_solution
 
-        return path_solution(self, s, p, o)
+        return path_solution(self, s, p, o, prefixes)
 
     # ------------------------------------------------------------ joins
 
-    def _same(self, a: Val, b: Val) -> Column:
-        """Whether two columns hold the same term."""
+    def _keys(self, a: Val, b: Val) -> tuple[Column, Column] | None:
+        """Two columns that are equal where both hold the same term; None if they never do."""
         if a.lane.kind == "iri" and b.lane.kind == "iri":
             if a.lane.prefix == b.lane.prefix:
-                return a.col == b.col
+                return a.col, b.col
             if a.lane.prefix and b.lane.prefix and not a.lane.prefix.startswith(b.lane.prefix) and not b.lane.prefix.startswith(a.lane.prefix):
-                return F.lit(False)
-            return B.string(a) == B.string(b)
+                return None
+            return B.string(a), B.string(b)
         if a.lane.kind == b.lane.kind == "bnode":
-            return a.col == b.col
+            return a.col, b.col
         if a.lane.kind == b.lane.kind == "lit":
             if a.family == b.family == "num":
                 if a.lane.dt == b.lane.dt or a.lane.dt in L.INTEGERS and b.lane.dt in L.INTEGERS:
-                    return a.col == b.col
-                return a.col.cast("double") == b.col.cast("double")
-            return a.col == b.col if a.lane.dt == b.lane.dt else F.lit(False)
+                    return a.col, b.col
+                return a.col.cast("double"), b.col.cast("double")
+            return (a.col, b.col) if a.lane.dt == b.lane.dt else None
         x, y = L.to_dyn(a.col, a.lane), L.to_dyn(b.col, b.lane)
         key = lambda c: F.concat_ws("\x00", c["kind"].cast("string"), c["lex"], F.coalesce(c["dt"], F.lit("")), F.coalesce(c["lang"], F.lit("")))
-        return F.when(x.isNotNull(), key(x)) == F.when(y.isNotNull(), key(y))
+        return F.when(x.isNotNull(), key(x)), F.when(y.isNotNull(), key(y))
 
-    def _condition(self, left: Solution, right: Solution, shared: list[str], mark: str = "r_") -> list[Column]:
-        """Equality on shared variables; a variable that may be unbound is compatible with anything."""
-        out = []
-        for v in shared:
-            a, b = Val(F.col(col_of(v)), left.lanes[v]), Val(F.col(mark + col_of(v)), right.lanes[v])
-            c = self._same(a, b)
-            if left.lanes[v].nullable or right.lanes[v].nullable:
-                c = c | a.col.isNull() | b.col.isNull()
-            out.append(c)
-        return out
+    def _same(self, a: Val, b: Val) -> Column:
+        """Whether two columns hold the same term."""
+        keys = self._keys(a, b)
+        return F.lit(False) if keys is None else keys[0] == keys[1]
+
+    def _loose(self, left: Solution, right: Solution, shared: list[str]) -> list[str]:
+        """Shared variables that may be unbound, and so go with anything."""
+        return [v for v in shared if left.lanes[v].nullable or right.lanes[v].nullable]
+
+    def _spread(self, left: Solution, right: Solution, loose: list[str]) -> tuple[DataFrame, DataFrame, list[Column]]:
+        """Both sides with rows for the keys by which they can meet, so that compatible rows meet once, by equality.
+
+        For each variable a bound row on the left looks for its own term and for
+        rows without one, an unbound row for any; a row on the right can be found
+        as its own term (or as one without) and, if the left has unbound rows, as any.
+        """
+        l, r, on = left.df, right.df, []
+        for i, v in enumerate(loose):
+            a, b = Val(F.col(col_of(v)), left.lanes[v]), Val(F.col("r_" + col_of(v)), right.lanes[v])
+            keys = self._keys(a, b) or (F.lit("left"), F.lit("right"))
+            own, none, every = 0, 1, 2
+            spot = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+            nothing = [F.when(F.lit(False), k) for k in keys]
+            mine = F.array(spot(own, keys[0]), spot(none, nothing[0])) if right.lanes[v].nullable else F.array(spot(own, keys[0]))
+            l = l.withColumn(f"l__{i}", F.explode(F.when(a.col.isNull(), F.array(spot(every, nothing[0]))).otherwise(mine)))
+            theirs = F.when(b.col.isNull(), spot(none, nothing[1])).otherwise(spot(own, keys[1]))
+            r = r.withColumn(f"r__{i}", F.explode(F.array(theirs, spot(every, nothing[1]))) if left.lanes[v].nullable else theirs)
+            on += [F.col(f"l__{i}.kind") == F.col(f"r__{i}.kind"), F.col(f"l__{i}.key").eqNullSafe(F.col(f"r__{i}.key"))]
+        return l, r, on
+
+    def _equal(self, left: Solution, right: Solution, shared: list[str]) -> list[Column]:
+        return [self._same(Val(F.col(col_of(v)), left.lanes[v]), Val(F.col("r_" + col_of(v)), right.lanes[v])) for v in shared]
 
     def join(self, left: Solution, right: Solution, how: str = "inner", extra: Any = None) -> Solution:
         shared = [v for v in left.lanes if v in right.lanes]
         renamed = right.df.select(*[F.col(col_of(v)).alias(("r_" if v in left.lanes else "") + col_of(v)) for v in right.lanes]) if right.lanes else right.df
-        conds = self._condition(left, right, shared)
+        loose = self._loose(left, right, shared)
+        conds = self._equal(left, right, [v for v in shared if v not in loose])
+        start = left.df
+        if loose:
+            if how == "left":
+                start = start.withColumn("l__row", F.monotonically_increasing_id())
+            start, renamed, more = self._spread(Solution(start, left.lanes), Solution(renamed, right.lanes), loose)
+            conds += more
         lanes = dict(left.lanes)
         for v, lane in right.lanes.items():
             if v not in lanes:
@@ -368,13 +401,21 @@ class Compiler:
             conds.append(F.coalesce(B.boolean(self.expr(extra, both)), F.lit(False)))
         if not left.lanes and how == "inner":
             return Solution(right.df if not right.lanes else left.df.crossJoin(renamed), lanes) if right.lanes else left
+        if loose and how == "left":
+            renamed = renamed.withColumn("r__met", F.lit(True))
         if conds:
             on = conds[0]
             for c in conds[1:]:
                 on = on & c
-            df = left.df.join(renamed, on, how)
+            df = start.join(renamed, on, how)
         else:
             df = left.df.crossJoin(renamed) if how == "inner" else left.df.join(renamed, F.lit(True), how)
+        if loose and how == "left":
+            # Of a row that met nothing one of its keys is left, of others only what met.
+            by = Window.partitionBy("l__row")
+            met = F.max(F.col("r__met").isNotNull()).over(by)
+            df = df.withColumn("l__met", met).withColumn("l__first", F.row_number().over(by.orderBy(F.col("r__met").asc_nulls_last())))
+            df = df.where(F.col("r__met").isNotNull() | (~F.col("l__met") & (F.col("l__first") == 1)))
         out = []
         for v, lane in lanes.items():
             c = F.col(col_of(v))
@@ -390,23 +431,39 @@ class Compiler:
 
     def half(self, left: Solution, right: Solution, anti: bool, extra: list | None = None, need_shared: bool = False) -> Solution:
         shared = [v for v in left.lanes if v in right.lanes]
-        conds = self._condition(left, right, shared)
-        if need_shared:  # MINUS removes only where some variable is bound on both sides
-            if not shared:
-                return left
-            if all(left.lanes[v].nullable or right.lanes[v].nullable for v in shared):
-                both = F.lit(False)
-                for v in shared:
-                    both = both | (F.col(col_of(v)).isNotNull() & F.col("r_" + col_of(v)).isNotNull())
-                conds.append(both)
+        if need_shared and not shared:  # MINUS removes only where some variable is bound on both sides
+            return left
+        loose = self._loose(left, right, shared)
         keep = {v: lane for v, lane in right.lanes.items() if v in shared or extra}
         renamed = right.df.select(*[F.col(col_of(v)).alias(("r_" if v in left.lanes else "") + col_of(v)) for v in keep]) if keep else right.df
+        conds = self._equal(left, right, [v for v in shared if v not in loose])
         for e in extra or []:
             conds.append(F.coalesce(B.boolean(self.expr(e, Solution(None, {**right.lanes, **left.lanes}))), F.lit(False)))  # type: ignore[arg-type]
-        on = F.lit(True)
-        for i, c in enumerate(conds):
-            on = c if not i else on & c
-        return Solution(left.df.join(renamed, on, "left_anti" if anti else "left_semi"), left.lanes)
+        how = "left_anti" if anti else "left_semi"
+
+        def joined(df: DataFrame, other: DataFrame, conds: list[Column], how: str) -> DataFrame:
+            on = F.lit(True)
+            for i, c in enumerate(conds):
+                on = on & c if i else c
+            return df.join(other, on, how)
+
+        if not loose:
+            return Solution(joined(left.df, renamed, conds, how), left.lanes)
+        bound = need_shared and len(loose) == len(shared)
+        if anti:
+            # No row that is compatible in any of the ways: all equal, or some unbound on a side.
+            df = left.df
+            for ways in itertools.product(*[["equal", *(["right"] if right.lanes[v].nullable else []), *(["left"] if left.lanes[v].nullable else [])] for v in loose]):
+                if bound and "equal" not in ways:
+                    continue
+                now = list(conds)
+                for v, way in zip(loose, ways):
+                    mine, theirs = F.col(col_of(v)), F.col("r_" + col_of(v))
+                    now.append(self._equal(left, right, [v])[0] if way == "equal" else theirs.isNull() if way == "right" else mine.isNull())
+                df = joined(df, renamed, now, how)
+            return Solution(df, left.lanes)
+        start, other, more = self._spread(Solution(left.df.withColumn("l__row", F.monotonically_increasing_id()), left.lanes), Solution(renamed, right.lanes), loose)
+        return Solution(joined(start, other, conds + more, how).dropDuplicates(["l__row"]).select(*[col_of(v) for v in left.lanes]), left.lanes)
 
     def union(self, a: Solution, b: Solution) -> Solution:
         lanes: dict[str, Lane] = {}
@@ -493,35 +550,43 @@ class Compiler:
 
     def _exists(self, s: Solution, pattern: Any, anti: bool) -> Solution:
         """Decorrelated: filters inside that read outer variables move to the join's condition."""
+        p, outer = self._decorrelated(pattern)
+        return self.half(s, self.compile(p), anti, outer)
+
+    def _decorrelated(self, p: Any) -> tuple[Any, list]:
+        """The pattern without the filters that read variables from outside, and these."""
         outer: list = []
-        p = pattern
         while isinstance(p, A.Filter):
             inside = set(A.variables(p.inner))
-            here, kept = [], None
+            kept = None
             for e in _conjuncts(p.expr):
                 if _free(e) - inside:
                     outer.append(e)
                 else:
                     kept = e if kept is None else A.Call("&&", (kept, e))
-            here = A.Filter(p.inner, kept) if kept is not None else p.inner
-            if isinstance(here, A.Filter):
-                p = here
+            if kept is not None:
+                p = A.Filter(p.inner, kept)
                 break
-            p = here
-        return self.half(s, self.compile(p), anti, outer)
+            p = p.inner
+        return p, outer
 
     def _lift(self, s: Solution, e: Any) -> tuple[Solution, Any]:
-        """EXISTS inside an expression becomes a marker column of a left join on distinct keys."""
+        """EXISTS inside an expression becomes a marker: which of the distinct outer values that it reads have a match."""
         if isinstance(e, A.Exists):
             self.serial += 1
             mark = f".ex{self.serial}"
-            right = self.compile(e.pattern)
-            shared = [v for v in s.lanes if v in right.lanes]
-            keys = Solution(right.df.select(*[col_of(v) for v in shared]).distinct().withColumn(col_of(mark), F.lit(True)), {**{v: right.lanes[v] for v in shared}, mark: BOOLEAN})
-            out = self.join(s, keys, "left")
-            df = out.df.withColumn(col_of(mark), F.coalesce(F.col(col_of(mark)), F.lit(False)))
+            p, outer = self._decorrelated(e.pattern)
+            right = self.compile(p)
+            read = [v for v in s.lanes if v in right.lanes or any(v in _free(x) for x in outer)]
+            keys = Solution(s.df.select(*[col_of(v) for v in read]).distinct() if read else self.spark.range(1).select(), {v: s.lanes[v] for v in read})
+            found = self.half(keys, right, False, outer).df.select(*[F.col(col_of(v)).alias("x_" + col_of(v)) for v in read], F.lit(True).alias(col_of(mark)))
+            on = F.lit(True)
+            for i, v in enumerate(read):
+                c = F.col(col_of(v)).eqNullSafe(F.col("x_" + col_of(v)))
+                on = on & c if i else c
+            df = s.df.join(found, on, "left").withColumn(col_of(mark), F.coalesce(F.col(col_of(mark)), F.lit(False)))
             var = A.Var(mark)
-            return Solution(df, {**out.lanes, mark: BOOLEAN}), A.Call("!", (var,)) if e.negated else var
+            return Solution(df.select(*[col_of(v) for v in s.lanes], col_of(mark)), {**s.lanes, mark: BOOLEAN}), A.Call("!", (var,)) if e.negated else var
         if isinstance(e, A.Call):
             args = []
             for a in e.args:
@@ -535,7 +600,7 @@ class Compiler:
     def _extend(self, n: A.Extend) -> Solution:
         s = self.compile(n.inner)
         s, e = self._lift(s, n.expr)
-        v = self.expr(e, s)
+        v = B.zoned(self.expr(e, s))
         if n.assign and n.var in s.lanes:
             return Solution(s.df.where(F.coalesce(self._same(s.val(n.var), v), F.lit(False))), s.lanes)
         lanes = {k: x for k, x in s.lanes.items() if not k.startswith(".ex")}
@@ -563,7 +628,7 @@ class Compiler:
         lanes: dict[str, Lane] = {}
         cells: list[list[Column]] = [[] for _ in n.rows]
         for i, v in enumerate(n.vars):
-            vals = [None if r[i] is None else self._term(r[i]) for r in n.rows]
+            vals = [None if r[i] is None else B.zoned(self._term(r[i])) for r in n.rows]
             known = [x for x in vals if x is not None]
             kinds = {(x.lane.kind, x.lane.dt if x.lane.kind == "lit" else "") for x in known}
             if len(kinds) == 1:
@@ -595,21 +660,43 @@ class Compiler:
 
     def _graph(self, n: A.Graph) -> Solution:
         before = self.active
-        if isinstance(n.name, A.Iri):
-            self.active = n.name.value
-            try:
+        try:
+            if isinstance(n.name, A.Iri):
+                if self.named is not None and n.name.value not in self.named:
+                    return self._nothing([[A.Var(v) for v in A.variables(n.inner)]])
+                self.active = n.name.value
                 return self.compile(n.inner)
-            finally:
-                self.active = before
-        names = sorted({m.graph for m in self.graph.maps if m.graph}) + ([r[0] for r in self.graph.quads.select("g").where("g is not null").distinct().limit(1000).collect()] if self.graph.quads is not None else [])
-        out = None
-        for g in dict.fromkeys(names):
-            self.active = g
-            s = self.compile(n.inner)
-            s = self.join(s, Solution(self.spark.range(1).select(F.lit(g).alias(col_of(n.name.name))), {n.name.name: Lane("iri")}))
-            out = s if out is None else self.union(out, s)
-        self.active = before
-        return out if out is not None else self._nothing([(n.name, n.name, n.name)])
+            v = n.name.name
+            if self._columnar(n.inner):
+                self.active = Named(v, self.named)
+                return self.compile(n.inner)
+            names = self.graph.graph_names()
+            if self.named is not None:
+                names = names.where(F.col("g").isin(*self.named))
+            every = Solution(names.select(F.col("g").alias(col_of(v))), {v: Lane("iri")})
+            if isinstance(n.inner, A.Bgp) and not n.inner.triples:
+                return every
+            # What a graph gives as a whole (groups, limits, paths) is worked out graph by graph.
+            out = None
+            for (g,) in sorted(names.collect()):
+                self.active = g
+                one = Solution(self.spark.range(1).select(F.lit(g).alias(col_of(v))), {v: Lane("iri")})
+                s = self.join(self.compile(n.inner), one)
+                out = s if out is None else self.union(out, s)
+            return out if out is not None else self._nothing([[n.name, *[A.Var(x) for x in A.variables(n.inner)]]])
+        finally:
+            self.active = before
+
+    def _columnar(self, n: Any) -> bool:
+        """Whether each solution's patterns can be joined on their graph, as one more column of every scan."""
+        from ..operators import properties
+
+        if isinstance(n, A.Bgp):
+            plain = lambda p: not isinstance(p, A.Path) or p.op == "inv" and isinstance(p.args[0], A.Iri) or p.op == "seq" and all(plain(x) for x in p.args)
+            return bool(n.triples) and all(plain(t[1]) for t in n.triples) and not properties.split(n.triples)[1]
+        if isinstance(n, A.Join | A.LeftJoin | A.Union | A.HalfJoin):
+            return self._columnar(n.left) and self._columnar(n.right)
+        return isinstance(n, A.Filter | A.Extend) and self._columnar(n.inner)
 
     def _service(self, n: A.Service) -> Solution:
         """Magic services by IRI; others through registered callables."""
@@ -725,9 +812,9 @@ class Compiler:
         if a.name == "GROUP_CONCAT":
             text = B.string(v)
             items = F.collect_set(text) if a.distinct else F.collect_list(text)
-            keys = [k for e, up in a.order for k in [self.expr(e, s).col]]
-            if keys:
-                items = F.transform(F.sort_array(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], text.alias("x")))), lambda x: x["x"])
+            if a.order:
+                items = F.filter(self._in_order(a.order, text, s), lambda x: x.isNotNull())
+                items = F.array_distinct(items) if a.distinct else items
             else:
                 items = F.sort_array(items)
             return self._guard(F.array_join(items, a.separator), v), STRING.null()
@@ -778,20 +865,41 @@ class Compiler:
         return F.when(F.count(F.lit(1)) == F.count(v.col), c)
 
     def _fold(self, a: A.Agg, v: Val, s: Solution) -> tuple[Column, Lane]:
-        keys = [self.expr(e, s).col for e, _ in a.order]
         if a.value is not None:
             w = self.expr(a.value, s)
-            pairs = F.sort_array(F.collect_list(F.struct(v.col.alias("k"), w.col.alias("v"))))
+            pair = F.struct(v.col.alias("k"), w.col.alias("v"))
+            pairs = self._in_order(a.order, pair, s) if a.order else F.sort_array(F.collect_list(pair))
+            pairs = F.filter(pairs, lambda x: x["k"].isNotNull())
             # The last value of a key stays.
-            merged = F.map_from_entries(F.filter(pairs, lambda x, i: F.get(pairs, i + 1)["k"].eqNullSafe(x["k"]) == F.lit(False)))
+            merged = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
             return merged, Lane("lit", dt=L.MAP, elem=(v.lane, w.lane))
-        if keys:
-            up = a.order[0][1]
-            items = F.transform(F.sort_array(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], v.col.alias("x"))), up), lambda x: x["x"])
-        else:
-            items = F.sort_array(F.collect_list(v.col))
+        # Unbound elements stay as nulls.
+        items = self._in_order(a.order, v.col, s) if a.order else F.transform(F.sort_array(F.collect_list(F.struct(v.col.alias("x")))), lambda x: x["x"])
         return (F.array_distinct(items) if a.distinct else items), Lane("lit", dt=L.LIST, elem=v.lane)
 
+    def _in_order(self, order: list, value: Column, s: Solution) -> Column:
+        """A group's values as a list in the order of the keys, each in its own direction; ties by value."""
+        keys, ups = [], []
+        for e, up in order:
+            k = self.expr(e, s)
+            found = L.sort_values(k.col, k.lane)
+            keys += found
+            ups += [up] * len(found)
+        rows = F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], value.alias("x")))
+        if len(set(ups)) == 1:
+            return F.transform(F.sort_array(rows, ups[0]), lambda x: x["x"])
+
+        def before(x: Column, y: Column) -> Column:
+            out = F
+            for i, up in enumerate([*ups, True]):
+                a, b = (x["x"], y["x"]) if i == len(ups) else (x[f"k{i}"], y[f"k{i}"])
+                less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+                more = F.coalesce(a > b, a.isNotNull() & b.isNull())
+                out = out.when(less, -1 if up else 1).when(more, 1 if up else -1)
+            return out.otherwise(0)
+
+        return F.transform(F.array_sort(rows, before), lambda x: x["x"])
+
     # ------------------------------------------------------------ expressions
 
     def _term(self, t: Any) -> Val:

@@ -87,6 +87,8 @@ def lexical(col: Column, lane: Lane) -> Column:
         return col["lex"]
     if f == "dateTime":
         return F.concat(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(col, "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.date_format(col, "SSSSSS"), "0+$", ""))), F.lit("Z"))
+    if f == "list" and isinstance(lane.elem, Lane) and lane.elem.kind == "dyn":
+        return F.concat(F.lit("["), F.array_join(F.transform(col, _element_text), ","), F.lit("]"))
     if f in ("list", "map", "vector"):
         return F.to_json(col)
     if lane.dt in (XSD + "double", XSD + "float"):
@@ -94,6 +96,18 @@ def lexical(col: Column, lane: Lane) -> Column:
     return col.cast("string")
 
 
+def _element_text(x: Column) -> Column:
+    """A term inside a list's lexical form."""
+    bare = x["dt"].isin(*NUMERIC, XSD + "boolean", LIST, MAP)
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(x["lex"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(x.isNull(), "null").when(x["kind"] == 0, F.concat(F.lit("<"), x["lex"], F.lit(">"))).when(bare, x["lex"]).otherwise(quoted)
+
+
+def term(lex: Column, dt: str) -> Column:
+    """The struct of a literal."""
+    return F.struct(F.lit(2).cast("tinyint").alias("kind"), lex.alias("lex"), F.lit(dt).alias("dt"), F.lit(None).cast("string").alias("lang")).cast(TERM)
+
+
 def double_lexical(col: Column) -> Column:
     """Canonical xsd:double: one digit before the point, upper-case E."""
     text = F.format_string("%.16e", col.cast("double"))
@@ -125,18 +139,26 @@ def dyn_number(col: Column) -> Column:
     return F.when((col["kind"] == 2) & col["dt"].isin(*NUMERIC), col["lex"].try_cast("double"))
 
 
-def order_keys(col: Column, lane: Lane, up: bool) -> list[Column]:
-    """Sort keys: unbound, blank nodes, IRIs, then literals by value."""
+def dyn_time(col: Column) -> Column:
+    """The instant of a date or dateTime term, null if it is none."""
+    return F.when((col["kind"] == 2) & col["dt"].isin(XSD + "dateTime", XSD + "date"), col["lex"].try_cast("timestamp"))
+
+
+def sort_values(col: Column, lane: Lane) -> list[Column]:
+    """What is compared to sort: unbound, blank nodes, IRIs, then literals by value."""
     f = family(lane)
     if f == "dyn":
         rank = F.when(col.isNull(), 0).when(col["kind"] == 1, 1).when(col["kind"] == 0, 2).otherwise(3)
-        keys = [rank, dyn_number(col), col["lex"]]
-    elif f == "lang":
-        keys = [col["lex"], col["lang"]]
-    elif f == "iri":
-        keys = [lexical(col, lane)]
-    elif f == "list":
-        keys = [F.to_json(col)]
-    else:
-        keys = [col]
-    return [k.asc_nulls_first() if up else k.desc_nulls_last() for k in keys]
+        return [rank, dyn_number(col), dyn_time(col), col["lex"]]
+    if f == "lang":
+        return [col["lex"], col["lang"]]
+    if f == "iri":
+        return [lexical(col, lane)]
+    if f in ("list", "map"):
+        return [lexical(col, lane)]
+    return [col]
+
+
+def order_keys(col: Column, lane: Lane, up: bool) -> list[Column]:
+    """Sort keys in one direction."""
+    return [k.asc_nulls_first() if up else k.desc_nulls_last() for k in sort_values(col, lane)]

@@ -61,6 +61,27 @@ class TriplesMap:
         return {o.predicate for o in self.objects} | ({TYPE} if self.classes else set())
 
 
+@dataclass(frozen=True)
+class Named:
+    """The named graphs that a variable ranges over: all, or those of a query's dataset."""
+
+    var: str
+    allowed: tuple[str, ...] | None = None
+
+
+#: A query's graph: the default one, one by name, several as one, or a variable's.
+Scope = str | tuple[str, ...] | Named | None
+
+
+def within(graph: str | None, scope: Scope) -> bool:
+    """Whether a mapping's graph belongs to the scope."""
+    if scope is None or isinstance(scope, str):
+        return graph == scope
+    if isinstance(scope, tuple):
+        return graph in scope
+    return graph is not None and (scope.allowed is None or graph in scope.allowed)
+
+
 class VirtualGraph:
     """A set of triples maps, and optionally quads as term structs (g, s, p, o)."""
 
@@ -72,11 +93,15 @@ class VirtualGraph:
     def with_quads(self, quads: DataFrame) -> VirtualGraph:
         return VirtualGraph(self.spark, self.maps, quads)
 
-    def triples(self, predicates: list[str] | None = None, graph: str | None = None, prefixes: set | None = None, native: bool = False) -> DataFrame | None:
-        """All triples (s, p, o) as term structs; only sources of a wanted predicate and subject prefix are read; ``native`` subjects stay key columns."""
+    def triples(self, predicates: list[str] | None = None, graph: Scope = None, prefixes: set | None = None, native: bool = False) -> DataFrame | None:
+        """All triples (s, p, o) as term structs; only sources of a wanted predicate and subject prefix are read; ``native`` subjects stay key columns.
+
+        Of several graphs a triple comes once; of named graphs it comes with its graph (g).
+        """
         parts = []
+        named = isinstance(graph, Named)
         for m in self.maps:
-            if m.graph != graph or prefixes is not None and m.prefix not in prefixes:
+            if not within(m.graph, graph) or prefixes is not None and m.prefix not in prefixes:
                 continue
             s, lane = m.subject()
             subject = s if native else to_dyn(s, lane)
@@ -90,17 +115,26 @@ class VirtualGraph:
             if items:
                 # One scan a table: its cells are exploded, not unioned.
                 rows = m.df().select(subject.alias("s"), F.explode(F.array(*items)).alias("_x")).where(F.col("_x.o").isNotNull() & F.col("s").isNotNull())
-                parts.append(rows.select("s", F.col("_x.p").alias("p"), F.col("_x.o").alias("o")))
+                parts.append(rows.select("s", F.col("_x.p").alias("p"), F.col("_x.o").alias("o"), *([F.lit(m.graph).alias("g")] if named else [])))
         if self.quads is not None:
-            q = self.quads.where(F.col("g").isNull() if graph is None else F.col("g") == graph)
+            g = F.col("g")
+            held = g.isNull() if graph is None else g == graph if isinstance(graph, str) else g.isin(*graph) if isinstance(graph, tuple) else g.isNotNull() if graph.allowed is None else g.isin(*graph.allowed)
+            q = self.quads.where(held)
             if predicates is not None:
                 q = q.where(F.col("p").isin(*predicates))
-            parts.append(q.select("s", "p", "o"))
+            parts.append(q.select("s", "p", "o", *(["g"] if named else [])))
         out = None
         for part in parts:
             out = part if out is None else out.unionByName(part)
+        if out is not None and isinstance(graph, tuple) and len(graph) > 1:
+            out = out.distinct()
         return out
 
+    def graph_names(self) -> DataFrame:
+        """(g): every named graph that has a triple."""
+        names = self.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in sorted({m.graph for m in self.maps if m.graph})]).cast("array<string>")).alias("g"))
+        return names if self.quads is None else names.union(self.quads.select("g").where("g is not null")).distinct()
+
     def predicate_counts(self) -> DataFrame:
         """Triples by predicate without building a term: one count of cells a table."""
         parts = []

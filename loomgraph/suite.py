@@ -313,14 +313,6 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT DISTINCT ?p WHERE { ?s a ex:Region . ?s ?p ?o }",
         "SELECT * FROM (VALUES ('http://example.org/name'), ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type')) v(p)",
     ),
-    "describe_iri": (
-        "DESCRIBE <http://example.org/nation/3>",
-        None,
-    ),
-    "construct_triples": (
-        "CONSTRUCT { ?r ex:hasNation ?n } WHERE { ?n a ex:Nation ; ex:region ?r }",
-        None,
-    ),
     # ------------------------------------------------------------ paths
     "path_seq_inv": (
         "SELECT ?n (COUNT(*) AS ?k) WHERE { ?n ^ex:nation/^ex:customer ?o } GROUP BY ?n",
@@ -350,6 +342,63 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT (COUNT(*) AS ?k) WHERE { ?x a ex:Nation . ?x !(ex:name|rdf:type) ?y }",
         "SELECT count(*) AS k FROM nation",
     ),
+    "path_zero_constant": (
+        "SELECT ?x WHERE { <http://example.org/nation/3> ex:knows* ?x }",
+        "SELECT 'http://example.org/nation/3' AS x",
+    ),
+    "path_zero_nodes": (
+        "SELECT (COUNT(*) AS ?k) WHERE { ?c a ex:Customer . ?c ex:knows? ?x }",
+        "WITH n AS (SELECT count(*) AS n FROM customer), e AS (SELECT DISTINCT o_custkey AS s, (o_orderkey * 7 + 1) % n AS d FROM orders, n WHERE o_custkey <> (o_orderkey * 7 + 1) % n) SELECT (SELECT count(*) FROM e JOIN customer ON s = c_custkey) + (SELECT count(*) FROM customer) AS k",
+    ),
+    "path_zero_graph": (
+        "SELECT ?x WHERE { ?x ex:region? <http://example.org/region/1> }",
+        "SELECT 'http://example.org/nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'http://example.org/region/1'",
+    ),
+    # ------------------------------------------------------------ what differs by row
+    "exists_in_or": (
+        "SELECT ?k WHERE { ?c a ex:Customer ; ex:custkey ?k ; ex:acctbal ?b FILTER(?k < 0 || EXISTS { ?p a ex:Part ; ex:retailprice ?r FILTER(?r > ?b) }) }",
+        "SELECT c_custkey AS k FROM customer WHERE c_acctbal < (SELECT max(p_retailprice) FROM part)",
+    ),
+    "exists_in_bind": (
+        "SELECT ?k ?e WHERE { ?n a ex:Nation ; ex:name ?k ; ex:region ?r BIND(IF(EXISTS { ?m ex:region ?r ; ex:name ?l FILTER(?l > ?k) }, 1, 0) AS ?e) }",
+        "SELECT n_name AS k, CASE WHEN EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_name > n.n_name) THEN 1 ELSE 0 END::BIGINT AS e FROM nation n",
+    ),
+    "optional_join": (
+        "SELECT ?k ?q (COUNT(*) AS ?c) WHERE { ?d a ex:Document ; ex:docId ?k OPTIONAL { ?d ex:quality ?q } ?e ex:toxic ?q } GROUP BY ?k ?q",
+        "SELECT k, t AS q, sum(n)::BIGINT AS c FROM (SELECT d.doc_id AS k, x.toxic AS t, x.n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id, (SELECT toxic, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1) x WHERE l.quality IS NULL OR l.quality = x.toxic) GROUP BY 1, 2",
+    ),
+    "optional_optional": (
+        "SELECT ?k ?q ?l WHERE { ?d a ex:Document ; ex:docId ?k OPTIONAL { ?d ex:quality ?q } OPTIONAL { VALUES (?q ?l) { (0 \"low\") (1 \"high\") } } }",
+        "SELECT d.doc_id AS k, x.q::BIGINT AS q, x.l FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id, (VALUES (0, 'low'), (1, 'high')) x(q, l) WHERE l.quality IS NULL OR l.quality = x.q",
+    ),
+    "minus_optional": (
+        "SELECT ?k WHERE { ?d a ex:Document ; ex:docId ?k OPTIONAL { ?d ex:quality ?q } MINUS { VALUES ?q { 1 } } }",
+        "SELECT d.doc_id AS k FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.quality <> 1",
+    ),
+    "group_concat_order": (
+        "SELECT ?r (GROUP_CONCAT(?n; SEPARATOR=\",\" ORDER BY DESC(?n)) AS ?x) WHERE { ?c a ex:Nation ; ex:region ?r ; ex:name ?n } GROUP BY ?r",
+        "SELECT 'http://example.org/region/' || n_regionkey AS r, string_agg(n_name, ',' ORDER BY n_name DESC) AS x FROM nation GROUP BY n_regionkey",
+    ),
+    "fold_order": (
+        "SELECT (STR(FOLD(?k ORDER BY ?r DESC(?k))) AS ?x) WHERE { ?n a ex:Nation ; ex:region ?r ; ex:name ?k }",
+        "SELECT '[\"' || string_agg(n_name, '\",\"' ORDER BY n_regionkey, n_name DESC) || '\"]' AS x FROM nation",
+    ),
+    "fold_unbound": (
+        "SELECT (cdt:size(FOLD(?q)) AS ?x) WHERE { ?d a ex:Document OPTIONAL { ?d ex:quality ?q } }",
+        "SELECT count(*) AS x FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    ),
+    "list_mixed": (
+        "SELECT ?n (cdt:get(?l, 1) + 1 AS ?a) (DATATYPE(cdt:get(?l, 2)) AS ?b) (cdt:contains(?l, \"x\") AS ?c) (STR(?l) AS ?t) WHERE { ?r a ex:Region ; ex:name ?n BIND(\"[1, 'x', true, null, 2.5]\"^^cdt:List AS ?l) }",
+        "SELECT r_name AS n, 2.0::DOUBLE AS a, 'http://www.w3.org/2001/XMLSchema#string' AS b, true AS c, '[1,\"x\",true,null,2.5E0]' AS t FROM region",
+    ),
+    "times_with_zones": (
+        'SELECT ?k (HOURS(?d) AS ?h) (DAY(?d) AS ?y) (TZ(?d) AS ?z) (TIMEZONE(?d) AS ?t) WHERE { VALUES (?k ?d) { (1 "2011-01-10T14:45:13.815-05:00"^^xsd:dateTime) (2 "2011-01-10T23:45:13Z"^^xsd:dateTime) (3 "2011-01-10T01:45:13"^^xsd:dateTime) (4 "2011-01-10T01:45:13+05:30"^^xsd:dateTime) } }',
+        "SELECT k::BIGINT AS k, h::BIGINT AS h, y::BIGINT AS y, z, t FROM (VALUES (1, 14, 10, '-05:00', '-PT5H'), (2, 23, 10, 'Z', 'PT0S'), (3, 1, 10, '', NULL), (4, 1, 10, '+05:30', 'PT5H30M')) x(k, h, y, z, t)",
+    ),
+    "times_compared": (
+        'SELECT ?a ?b WHERE { VALUES (?a ?d) { (1 "2011-01-10T14:45:13-05:00"^^xsd:dateTime) (2 "2011-01-10T19:45:13Z"^^xsd:dateTime) (3 "2011-01-10T19:45:14+01:00"^^xsd:dateTime) } VALUES (?b ?e) { (1 "2011-01-10T14:45:13-05:00"^^xsd:dateTime) (2 "2011-01-10T19:45:13Z"^^xsd:dateTime) (3 "2011-01-10T19:45:14+01:00"^^xsd:dateTime) } FILTER(?d <= ?e) }',
+        "SELECT a::BIGINT AS a, b::BIGINT AS b FROM (VALUES (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)) x(a, b)",
+    ),
     # ------------------------------------------------------------ property functions
     "property_text": (
         'SELECT ?k WHERE { (?d ?score) text:query (ex:text "+of +the") . ?d ex:docId ?k }',

@@ -10,7 +10,7 @@ from tools.compare import normal
 
 SQL = suite.oracle_sql()
 #: Slow ones that other tests cover on small graphs.
-SLOW = {"algo_betweenness", "algo_kcore", "algo_louvain", "algo_scc"}
+SLOW = {"algo_kcore", "algo_scc", "algo_wcc"}
 
 
 @pytest.fixture(scope="module")
