@@ -18,14 +18,15 @@ counted in the same task before one row a document is shuffled; two counts share
 one long, so 48 sums make 96 lanes and cannot overflow.
 
 The query's *next* document is found without a global sort: quantiles of the ids
-(a bounded list) cut the rows into ordered buckets, the first rows of a bucket
-are also dealt to the end of the bucket before, and a window inside each bucket
-sees the next row; texts are shuffled once.
+(a bounded list), and even steps between them that follow the number of rows,
+cut the rows into ordered buckets, the first rows of a bucket are also dealt to
+the end of the bucket before, and a window inside each bucket sees the next row;
+texts are shuffled once.
 
 Defined results: null and empty texts have the fingerprint of one empty
 paragraph; rows that repeat an id are rows of their own, ordered by text; null
 ids come first; a single row is its own next document; an empty table gives no
-rows; other columns do not matter.
+rows; a text of any length is hashed whole; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ EXACT = 4
 LONGEST = 24
 #: What is followed by a cut inside a word: Thai to Khmer letters, CJK, kana, Hangul, or too many letters.
 CUT = rf"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7AF]|\S{{{LONGEST}}}(?=\S)"
+#: Quantiles of the ids, rows for each bucket between them, and buckets between two quantiles.
+COARSE, ROWS_A_BUCKET, FINE = 384, 20_000, 512
 _LOW31 = (1 << 31) - 1
 _HALVES = ((1 << 30) - 1) << 32 | (1 << 30) - 1
 _TWO = (1 << 31) | 1
@@ -116,22 +119,34 @@ def likeness(exact_a: Column, lanes_a: Column, exact_b: Column, lanes_b: Column)
     return F.when((exact_a == exact_b) & (lanes_a == lanes_b), F.lit(1.0)).otherwise(F.least(near, F.lit(0.999999)))
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, coarse: int = COARSE, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """doc_id, text, key, next_key, next_text; keys follow the order of (doc_id, text)."""
-    buckets = buckets or max(384, 4 * shared.shuffle_width(docs.sparkSession))
-    figures = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20_000).alias("c"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()[0]
-    # Cuts are ids of rows, so each bucket begins with its cut; the first with nulls or the least id.
-    cuts = sorted(set(figures["c"] or []) - {figures["least"]})
-    k = len(cuts) + 1
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0), F.lit(0)).cast("long")
-    opens = F.coalesce(F.col("doc_id").isin(cuts), F.lit(False)) if cuts else F.lit(False)
-    opens = opens | (F.col("doc_id").isNull() if figures["nulls"] else F.coalesce(F.col("doc_id") == figures["least"], F.lit(False)) if figures["least"] is not None else F.lit(False))
-    places = F.when(opens, F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("m")), F.struct(F.pmod(F.col("_b") - 1, F.lit(k)).alias("b"), F.lit(1).alias("m")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("m"))))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_b", bucket).withColumn("_x", F.explode(places)).select("doc_id", "text", F.col("_x.b").alias("_b"), F.col("_x.m").alias("_m"))
+    figures = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)], 20_000).alias("c"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).collect()[0]
+    least = figures["least"] if figures["least"] is not None else 0
+    cuts = sorted({least, *(figures["c"] or [])})
+    ends = [*cuts[1:], (figures["most"] or 0) + 1]
+    # Between two quantiles the ids are cut evenly, so that buckets follow the number of rows.
+    fine = min(FINE, max(1, -(-figures["n"] // (coarse * rows_a_bucket))))
+    among = lambda values, i: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), i)
+    part = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if fine == 1:
+        rows = rows.withColumn("_b", F.coalesce(part, F.lit(1)).cast("long"))
+    else:
+        inside = F.floor((F.col("doc_id") - among(cuts, F.col("_c"))).cast("double") / (among(ends, F.col("_c")) - among(cuts, F.col("_c"))) * fine)
+        rows = rows.withColumn("_c", F.coalesce(part, F.lit(1))).withColumn("_b", F.col("_c") * fine + F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(inside, F.lit(fine - 1)))).drop("_c")
+    # One row a bucket, coarse * FINE at most: its first id, and the buckets beside it.
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first")
+    buckets = rows.groupBy("_b").agg(first)
+    line, every = Window.orderBy("_b"), Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    buckets = buckets.select("_b", F.col("first.id").alias("_first"), F.coalesce(F.lag("_b").over(line), F.last("_b").over(every)).alias("_before"), F.coalesce(F.lead("_b").over(line), F.first("_b").over(every)).alias("_next"))
+    own, behind = F.struct(F.col("_b").alias("b"), F.lit(0).alias("m"), F.col("_next").alias("n")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("m"), F.lit(None).cast("long").alias("n"))
+    rows = rows.join(F.broadcast(buckets), "_b").withColumn("_x", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.array(own, behind)).otherwise(F.array(own))))
+    rows = rows.select("doc_id", "text", F.col("_x.b").alias("_b"), F.col("_x.m").alias("_m"), F.col("_x.n").alias("_next"))
     order = Window.partitionBy("_b").orderBy("_m", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("_after", F.lead("_m").over(order)).where("_m = 0")
     here = F.col("_b") * _ORDER
-    return rows.select("doc_id", "text", (here + F.col("_i")).alias("key"), F.when(F.col("_after") == 1, F.pmod(F.col("_b") + 1, F.lit(k)) * _ORDER + 1).otherwise(here + F.col("_i") + 1).alias("next_key"), "next_text")
+    return rows.select("doc_id", "text", (here + F.col("_i")).alias("key"), F.when(F.col("_after") == 1, F.col("_next") * _ORDER + 1).otherwise(here + F.col("_i") + 1).alias("next_key"), "next_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,42 @@ def test_every_edited_text_is_near(spark, folder, documents):
     got = M.query(spark, folder(documents(rows))).collect()
     assert len(got) == len(rows) and all(r.near_edited > 0.4 for r in got), sorted((r.near_edited, r.doc_id) for r in got)[:3]
     assert all(r.near_next < 0.4 for r in got if r.doc_id < 9)
+
+
+def test_next_row_over_many_buckets(spark, documents):
+    """The next row is found whatever the buckets are: few, many, empty ones between, repeated and null ids."""
+    rng = random.Random(7)
+    rows = [(i, f"t{k}") for k, i in enumerate(rng.sample(range(1000), 150))] + [(10**12 + i, f"far{i}") for i in range(40)] + [(5, "a"), (5, "b"), (5, "b"), (None, "x"), (None, None)]
+    want = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for coarse, most in ((384, 20_000), (4, 5), (1, 3), (7, 1)):
+        got = sorted(M.with_next(documents(rows).select("doc_id", "text"), coarse, most).collect(), key=lambda r: r.key)
+        assert [(r.doc_id, r.text) for r in got] == want
+        assert [r.next_text for r in got] == [t for _, t in want[1:]] + [want[0][1]]
+        assert [r.next_key for r in got] == [r.key for r in got[1:]] + [got[0].key]
+
+
+def test_lanes_against_plain_sums(spark):
+    """Exact lanes and signed lanes of whole texts, one paragraph, pair and bit at a time."""
+    texts = ["one two\nthree four five", "", "a", "tab\tand  blanks \n\nend", "x" * 60, "same same same\nsame same"]
+    hashes = lambda rows, *seeds: {r.p: list(r.h) for r in spark.createDataFrame([(p,) for p in rows], "p string").select("p", F.array(*[F.xxhash64(F.lit(s), "p") for s in seeds]).alias("h")).collect()}
+    got = {r.text: r for r in M.fingerprints(spark.createDataFrame([(t, t) for t in texts], "k string, text string")).select(F.col("k").alias("text"), "exact", M.lanes(F.col("counts")).alias("lanes")).collect()}
+    exact = hashes({p for t in texts for p in t.split("\n")}, *range(M.EXACT))
+    pairs = set()
+    words = {}
+    for t in texts:
+        cut = []
+        for w in ("\n " + t.replace("\t", " ").replace("\n", " \n ") + " \n").split(" "):
+            cut += [w[i : i + M.LONGEST] for i in range(0, len(w), M.LONGEST)] or [""]
+        words[t] = cut
+        pairs.update(zip(cut[:-1], cut[1:]))
+    found = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", F.xxhash64(F.lit(101), "a", "b").alias("x"), F.xxhash64(F.lit(202), "a", "b").alias("y")).collect()
+    bits = {(r.a, r.b): (r.x, r.y) for r in found}
+    for t in texts:
+        low = [sum(exact[p][i] & (1 << 30) - 1 for p in t.split("\n")) % (1 << 30) for i in range(M.EXACT)]
+        high = [sum(exact[p][i] >> 32 & (1 << 30) - 1 for p in t.split("\n")) % (1 << 30) for i in range(M.EXACT)]
+        assert list(got[t].exact) == [x for pair in zip(low, high) for x in pair]
+        lanes = []
+        for up in (0, 31):
+            for j in range(M.SUMS):
+                lanes.append(sum(1 if bits[p][j % M.HASHES] >> (j // M.HASHES + up) & 1 else -1 for p in zip(words[t][:-1], words[t][1:])) % (1 << 24))
+        assert list(got[t].lanes) == lanes
