@@ -219,8 +219,8 @@ def _aligned(found: pd.Series) -> pd.DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", key: str = "doc_id", filter_size: int = FILTER) -> DataFrame:
     """(doc_id, item_id, matched_tokens, item_tokens, coverage, reparameterised) of each leaked item in each document."""
     tables = shared.SharedTables(docs.sparkSession, "templates")
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")).where("_text is not null")
+    rows = shared.exact(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    items = shared.exact(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")).where("_text is not null")
     index = tables.keep(items.mapInPandas(shared.lean(_items), "h long, item_id long, plain boolean, item_at int, item_tokens int, k int, item_slots binary"))
     lengths = sorted(r[0] for r in index.select("k").distinct().collect()) or [WINDOW]
     known = None

@@ -122,7 +122,7 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text: st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
+    docs = shared.exact(shared.documents(spark, sf_dir), "doc_id", "text", "lang")
     langs, prototypes = learn(docs)
     return identify(docs.select("doc_id", "text"), langs, prototypes).select(
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "_lang.lang_pred", "_lang.score"

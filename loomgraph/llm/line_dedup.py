@@ -12,7 +12,8 @@ Defined results: null or empty texts are one empty line; every input row is a
 document of its own for the counts only through its ``doc_id`` (rows that repeat
 an id count once); rows with a null id take part in no count and lose nothing;
 ties (several lines of one document with a key) all stay in the largest id.
-Other columns pass through untouched; one named ``_lines`` is replaced.
+A text of any length is split whole.  Other columns pass through untouched,
+whatever their names; one named ``_lines`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,19 +31,21 @@ def _key(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the struct column ``_lines`` (n_lines, n_dropped, kept)."""
     tables = shared.SharedTables(docs.sparkSession, "lines")
-    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    placed, at = shared.numbered(docs)
+    own = placed.select(F.struct(*placed.columns).alias("_row"))
+    text, key, names = at[text], at[key], {c for c in at if c != "_lines"}
     lines = F.split(F.coalesce(F.col(f"_row.{text}"), F.lit("")), "\n", -1)
     keys = F.array_distinct(F.filter(F.transform(lines, _key), lambda k: F.char_length(k) >= min_chars))
     rows = own.where(F.col(f"_row.{key}").isNotNull() & F.col(f"_row.{text}").isNotNull())
     held = tables.keep(rows.select(F.col(f"_row.{key}").alias("_d"), F.explode(keys).alias("_k")).select("_d", F.xxhash64(F.lit(11), "_k").alias("h1"), F.xxhash64(F.lit(29), "_k").alias("h2")))
-    once = held if _unique(docs, key) else held.distinct()
+    once = held if _unique(placed, key) else held.distinct()
     frequent = tables.keep(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_d").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last"))
     lost = held.join(frequent, ["h1", "h2"]).where(F.col("_d") < F.col("last")).groupBy("_d").agg(F.collect_set("h1").alias("_lost"))
     # Inside one document 64 bits tell lines apart.
     kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(F.lit(11), _key(x)))))
     out = own.join(lost, F.col(f"_row.{key}") == lost["_d"], "left").withColumn("_kept", kept)
     return out.select(
-        *[F.col("_row")[c].alias(c) for c in docs.columns if c != "_lines"],
+        *[F.col("_row")[at[c]].alias(c) for c in docs.columns if c in names],
         F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept")).alias("_lines"),
     )
 
@@ -53,7 +56,7 @@ def _unique(docs: DataFrame, key: str) -> bool:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    out = dedup_lines(shared.exact(shared.documents(spark, sf_dir), "doc_id", "text"))
     return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("_lines.kept"), 256).alias("kept_sha256"))
 
 

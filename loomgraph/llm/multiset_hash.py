@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, coarse: int = COARSE, rows_a_bucket: int = ROWS_A
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = shared.SharedTables(spark, "fingerprints")
-    rows = with_next(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    rows = with_next(shared.exact(shared.documents(spark, sf_dir), "doc_id", "text"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

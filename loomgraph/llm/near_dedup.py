@@ -189,7 +189,7 @@ class NearDedup:
     def __init__(self, docs: DataFrame, k: int, percent: int, text: str = "text", key: str = "doc_id"):
         self.spark = docs.sparkSession
         self.tables = shared.SharedTables(self.spark, "near")
-        self.docs = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+        self.docs = shared.exact(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
         self.k, self.percent = k, percent
 
     def run(self) -> DataFrame:

@@ -286,7 +286,7 @@ def _packer(path: str, end_id: int, capacity: int) -> Callable[[tuple, pd.DataFr
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, docs_per_group: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of the documents' ids, dealt to windows of ``capacity``."""
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = shared.exact(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     groups = max(1, math.ceil(rows.count() / docs_per_group))
     rows = rows.withColumn("_h", F.xxhash64("_id", "_text"))
     often = rows.groupBy("_h").count().where(F.col("count") > docs_per_group).select("_h")

@@ -90,6 +90,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by their places, and the place of each exact name: names may hold dots or differ in case only."""
+    places = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*places), dict(zip(reversed(docs.columns), reversed(places)))
+
+
+def exact(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of these exact names."""
+    own, at = numbered(docs)
+    return own.select(*[F.col(at[n]).alias(n) for n in dict.fromkeys(names)])
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone``'s only column; null keys stay."""
+    own, at = numbered(docs)
+    return own.join(gone.toDF("_gone").distinct(), F.col(at[key]) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

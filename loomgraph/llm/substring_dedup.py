@@ -216,7 +216,7 @@ def _factors(window: int):
 
 def _parsed(docs: DataFrame, window: int, gram: int, text: str, key: str) -> DataFrame:
     """(_id, _text, pieces) of every row."""
-    rows, by = _keyed(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")))
+    rows, by = _keyed(shared.exact(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")))
     return rows.join(references(rows, by, window, gram), by, "left").select("_id", "_text", "pieces")
 
 

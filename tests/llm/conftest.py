@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,6 +13,9 @@ def documents(spark):
         if extra:
             for name in ("_id", "_text", "_row", "_lines", "_x", "_d", "key", "h1", "n", "label", "score"):
                 df = df.selectExpr("*", f"'x' AS `{name}`")
+            if extra == "odd":  # names with dots and names that differ in case only
+                df = df.selectExpr("*", "'x' AS `a.b`", "'x' AS `text.c`").toDF(*df.columns, "a.b", "text.c")
+                df = df.withColumn("_p", F.lit("x")).withColumn("_q", F.lit(3)).toDF(*df.columns, "TEXT", "Doc_Id")
         return df
 
     return make
