@@ -153,7 +153,7 @@ def test_all_training_texts_teach(spark, documents, monkeypatch):
     monkeypatch.setattr(lm_score, "PART_TOKENS", 50_000, raising=False)
     monkeypatch.setattr(lm_score, "FAN", 1 << 20, raising=False)
     _, vocabulary, network = lm_score.learn(train, lm_score.shared.SharedTables(spark, "t"))
-    ids = lambda t: next(lm_score._ids_of(lm_score.Words([t.encode()], lower=True), vocabulary))[2]
+    ids = lambda t: lm_score.model_ids(lm_score.Words([t.encode()], lower=True), vocabulary)[0]
     ordered, shuffled = network.score([ids(cycle(3)), ids(" ".join(sorted(turn * 10)))])
     assert ordered > 0.75 * shuffled
     assert lm_score.teach(train, vocabulary, lm_score.Network()) == vocabulary.total == 1200 * 81
@@ -221,15 +221,15 @@ def test_scores_step_by_step(spark, documents, monkeypatch):
         v = lm_score.vocabulary_of(table)
         net = lm_score.Network()
         net.start_from(v)
-        net.train([ids for _, _, ids in lm_score._ids_of(lm_score.Words([t.encode() for _, t in rows[:120]], lower=True), v)])
+        net.train(lm_score.model_ids(lm_score.Words([t.encode() for _, t in rows[:120]], lower=True), v))
         made = list(lm_score._score(v, net)(iter([batch])))
         assert len(made) == 1
         for (_, t), r in zip([*rows, (900, "never seen words zq zx"), (901, "")], made[0].itertuples(), strict=True):
             rare = 0.0
-            for h, k in zip(r.rare, r.times):
+            for h in r.rare:
                 h = int(np.int64(h).view(np.uint64))
                 g = v.group[h & 0xFF]
-                rare += k * math.log10((counts[h] - v.discount) / v.rest[g] if h in counts else v.unseen[g])
+                rare += math.log10((counts[h] - v.discount) / v.rest[g] if h in counts else v.unseen[g])
             assert abs(r.score + rare - plain_score(net, v, counts, t)) < 1e-4 * (1 + r.n)
 
 
