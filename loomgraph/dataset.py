@@ -1,9 +1,12 @@
 """A dataset: mapped tables and stored quads, with queries, updates, versions, views and saved queries.
 
 Stored quads are a table of changes ``(seq, op, g, s, p, o)``, one folder a
-commit; the state at a commit is the signed sum of the changes up to it, from
-the nearest base that ``compact`` wrote.  A commit writes only what changes the
-state, so sums are 0 or 1.
+commit, and bases, whole states that ``compact`` (or every ``COMPACT_EVERY``th
+commit) writes, partitioned by a hash of the predicate.  The state at a commit is
+the nearest base before it, less what the changes since then delete, with what
+they insert: only that tail of the log is summed, and a pattern of known
+predicates reads their partitions alone.  A commit writes only what changes the
+state, so sums are -1, 0 or 1.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import algebra as A
@@ -26,6 +29,8 @@ from .sources.catalog import VirtualGraph
 QUAD = ["g", "s", "p", "o"]
 CHANGES = f"seq long, op int, g string, s {TERM}, p string, o {TERM}"
 INFERRED = "urn:x-loomgraph:inferred"
+#: Commits after which a new base is written, and its partitions.
+COMPACT_EVERY, PARTS = 16, 64
 
 
 class Dataset:
@@ -74,20 +79,30 @@ class Dataset:
         out = self.spark.read.schema(CHANGES).parquet(f"{self.folder}/changes").where(F.col("seq") > after)
         return out if upto is None else out.where(F.col("seq") <= upto)
 
-    def quads(self, at: int | None = None) -> DataFrame:
-        """The state at a commit (the last by default)."""
+    def _base(self, at: int) -> int:
+        """The last base that is not after a commit; 0 without one."""
+        return max([b for b in (int(x[4:]) for x in self._names("base") if x.startswith("seq=")) if b <= at], default=0)
+
+    def quads(self, at: int | None = None, predicates: list[str] | None = None) -> DataFrame:
+        """The state at a commit (the last by default), of some predicates if given."""
         at = self.head if at is None else at
-        base = max([b for b in (int(x[4:]) for x in self._names("base") if x.startswith("seq=")) if b <= at], default=0)
-        signed = self.changes(base, at).select("op", *QUAD)
-        if base:
-            signed = signed.unionByName(self.spark.read.parquet(f"{self.folder}/base/seq={base}").select(F.lit(1).alias("op"), *QUAD))
-        return signed.groupBy(*QUAD).agg(F.sum("op").alias("n")).where("n > 0").select(*QUAD)
+        base = self._base(at)
+        known = F.lit(True) if predicates is None else F.col("p").isin(*predicates)
+        net = self.changes(base, at).where(known).groupBy(*QUAD).agg(F.sum("op").alias("n"))
+        if not base:
+            return net.where("n > 0").select(*QUAD)
+        stored = self.spark.read.schema(f"g string, s {TERM}, p string, o {TERM}, part int").parquet(f"{self.folder}/base/seq={base}").where(known)
+        if predicates is not None:
+            stored = stored.where(F.col("part").isin(*[_part(F.lit(x)) for x in predicates]))
+        if at == base:
+            return stored.select(*QUAD)
+        return _minus(stored.select(*QUAD), net.where("n < 0").select(*QUAD)).unionByName(net.where("n > 0").select(*QUAD))
 
     def compact(self) -> None:
         """Write the state as a base, which later reads begin with."""
         at = self.head
-        if at:
-            self.quads(at).write.mode("overwrite").parquet(f"{self.folder}/base/seq={at}")
+        if at and self._base(at) != at:
+            self.quads(at).withColumn("part", _part(F.col("p"))).repartition("part", F.pmod(F.xxhash64("s"), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/base/seq={at}")
 
     def commit(self, insert: DataFrame | None = None, delete: DataFrame | None = None, note: str = "") -> int:
         """One commit of the effective changes; returns its number (the old head if nothing changes)."""
@@ -121,6 +136,8 @@ class Dataset:
         fs.rename(p, target)
         if note:
             self._write_json("notes", self._read_json("notes") | {str(seq): note})
+        if seq - self._base(seq) >= COMPACT_EVERY:
+            self.compact()
         return seq
 
     def preview(self, text: str) -> DataFrame:
@@ -173,7 +190,8 @@ class Dataset:
         quads = self.quads(at) if self._names("changes") else None
         if inferred is not None:
             quads = inferred if quads is None else quads.unionByName(inferred).distinct()
-        return VirtualGraph(self.spark, self.maps, quads)
+        of = (lambda predicates: self.quads(at, predicates)) if quads is not None and inferred is None else None
+        return VirtualGraph(self.spark, self.maps, quads, of)
 
     def compiler(self, at: int | str | None = None, inferred: DataFrame | None = None) -> Compiler:
         return Compiler(self.graph(at, inferred), self.options, self.services)
@@ -324,6 +342,10 @@ def _same(a: str, b: str):
     return on
 
 
+def _part(p: Column) -> Column:
+    return F.pmod(F.xxhash64(p), F.lit(PARTS)).cast("int")
+
+
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.alias("a").join(b.alias("b"), _same("a", "b"), "left_anti")
 

@@ -344,9 +344,7 @@ class Compiler:
                     return a.col, b.col
                 return a.col.cast("double"), b.col.cast("double")
             return (a.col, b.col) if a.lane.dt == b.lane.dt else None
-        x, y = L.to_dyn(a.col, a.lane), L.to_dyn(b.col, b.lane)
-        key = lambda c: F.concat_ws("\x00", c["kind"].cast("string"), c["lex"], F.coalesce(c["dt"], F.lit("")), F.coalesce(c["lang"], F.lit("")))
-        return F.when(x.isNotNull(), key(x)), F.when(y.isNotNull(), key(y))
+        return L.to_dyn(a.col, a.lane), L.to_dyn(b.col, b.lane)
 
     def _same(self, a: Val, b: Val) -> Column:
         """Whether two columns hold the same term."""

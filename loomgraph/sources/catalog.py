@@ -85,10 +85,11 @@ def within(graph: str | None, scope: Scope) -> bool:
 class VirtualGraph:
     """A set of triples maps, and optionally quads as term structs (g, s, p, o)."""
 
-    def __init__(self, spark: SparkSession, maps: list[TriplesMap], quads: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, maps: list[TriplesMap], quads: DataFrame | None = None, quads_of: Callable[[list[str] | None], DataFrame] | None = None):
         self.spark = spark
         self.maps = maps
         self.quads = quads
+        self.quads_of = quads_of  # the quads of some predicates, where a store can read these alone
 
     def with_quads(self, quads: DataFrame) -> VirtualGraph:
         return VirtualGraph(self.spark, self.maps, quads)
@@ -119,7 +120,7 @@ class VirtualGraph:
         if self.quads is not None:
             g = F.col("g")
             held = g.isNull() if graph is None else g == graph if isinstance(graph, str) else g.isin(*graph) if isinstance(graph, tuple) else g.isNotNull() if graph.allowed is None else g.isin(*graph.allowed)
-            q = self.quads.where(held)
+            q = (self.quads if self.quads_of is None else self.quads_of(predicates)).where(held)
             if predicates is not None:
                 q = q.where(F.col("p").isin(*predicates))
             parts.append(q.select("s", "p", "o", *(["g"] if named else [])))
