@@ -425,12 +425,12 @@ QUERIES: dict[str, tuple[str, str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .operators import registry
+    from .operators import registry, registry_stored  # noqa: F401
 
     return {name: sparql(text) for name, (text, _) in QUERIES.items()} | registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from .operators import registry
+    from .operators import registry, registry_stored  # noqa: F401
 
     return {name: sql for name, (_, sql) in QUERIES.items() if sql} | registry.oracle_sql()
