@@ -12,9 +12,10 @@ No group is expanded into its pairs.  First every member of a band group is
 compared with the group's smallest id (one pair a row), and the confirmed links
 are contracted to components.  Groups that hold several components yet are
 looked at again.  Groups over ``HOT`` rows come from shingles that many documents
-share; their documents take an exact way instead, a prefix filter: shingles
-ordered by their document count, of which a linked pair must share one among the
-rarest fifth, so that common lines bring nobody together.  In a few rounds those
+share; their documents take an exact way instead, a prefix filter: a linked pair
+must share one among the first fifth of its shingles in any order that all sets
+follow, and theirs puts the rarest first (by the counts of 2**20 classes of
+hashes, a table of fixed size), so that common lines bring nobody together.  In a few rounds those
 of a group that share a MinHash (another one each round) are compared with the
 first of them, which gathers copies; what is still apart after that is joined by
 classes of sizes, a group's largest component with what lies outside it only, and
@@ -57,6 +58,8 @@ HOT = 48
 LEADS = 1
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
+#: Bits of a shingle's class: how often each class occurs orders the prefix filter.
+SKETCH = 20
 #: Longs of a set's parity map.
 LONGS = 16
 #: No remainder fell into the bucket.
@@ -183,6 +186,22 @@ def _sets(k: int):
     return shared.lean(run)
 
 
+def _rarest(counts: np.ndarray, percent: int):
+    """The prefix of each set: one shingle more than may be missing in a linked one, those of rare classes first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = []
+            for x in b["set"]:
+                h = np.asarray(x, dtype=np.int64)
+                size = len(h) - -(-len(h) * percent // 100) + 1
+                own = counts[(h.view(np.uint64) >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                keys.append(h[np.lexsort((h, own))[:size]])
+            yield pd.DataFrame({"_id": b["_id"], "keys": keys})
+
+    return shared.lean(run)
+
+
 class NearDedup:
     """One run over a table of documents."""
 
@@ -275,13 +294,11 @@ class NearDedup:
 
     def prefixes(self, hot: DataFrame) -> DataFrame:
         """(key, _id): the shingles of which a linked pair must share one, rarest first."""
-        rows = self.tables.keep(self.sets.join(hot, "_id").select("_id", "n", F.explode("set").alias("h")))
-        common = self.tables.keep(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-        shared_rows = rows.join(common, "h").groupBy("_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
-        least = F.ceil(F.col("n") * F.lit(self.percent) / F.lit(100.0) - F.lit(1e-9))
-        alone = F.col("n") - F.size("order")
-        size = F.greatest(F.lit(0), F.col("n") - least + 1 - alone).cast("int")
-        return shared_rows.select("_id", F.explode(F.slice("order", F.lit(1), size)).alias("o")).select(F.col("o.h").alias("key"), "_id")
+        sets = self.tables.keep(self.sets.join(hot, "_id").select("_id", "set"))
+        classes = sets.select(F.explode("set").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - SKETCH).alias("b")).count().toPandas()
+        counts = np.zeros(1 << SKETCH, dtype=np.int32)
+        counts[classes["b"].to_numpy(dtype=np.int64)] = np.minimum(classes["count"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
+        return sets.mapInPandas(_rarest(counts, self.percent), "_id long, keys array<long>").select(F.explode("keys").alias("key"), "_id")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links, as a table: by sizes, parity maps and estimates first, then by full sets."""
