@@ -81,7 +81,7 @@ class WordTokens:
     that splits at spaces only.  The memory of units starts anew when it is full.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -164,6 +164,7 @@ class WordTokens:
 
 
 _TOKENS: dict[str, WordTokens] = {}
+_PACKED = [0]
 
 
 def tokens(path: str) -> WordTokens:
@@ -278,7 +279,9 @@ def _packer(path: str, end_id: int, capacity: int) -> Callable[[tuple, pd.DataFr
             for i, start, n, w, offset in plan([len(x) // 4 for x in ids], capacity)
         ]
         del ids, docs
-        shared.release()
+        _PACKED[0] += 1
+        if _PACKED[0] % 8 == 0:
+            shared.release()
         return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return pack
