@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import overlay
+
 EARTH = 6_371_008.8
 EPS = 1e-9
 Point = tuple[float, float]
@@ -481,54 +483,64 @@ def is_simple(g: Geometry) -> bool:
     return True
 
 
-def _clip(subject: list[Point], clip: list[Point]) -> list[Point]:
-    """The part of a ring inside a convex ring."""
-    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(clip, clip[1:])) < 0:
-        clip = clip[::-1]
-    out = subject[:-1] if subject and subject[0] == subject[-1] else list(subject)
-    for (x1, y1), (x2, y2) in zip(clip, clip[1:]):
-        side = lambda p, x1=x1, y1=y1, x2=x2, y2=y2: (x2 - x1) * (p[1] - y1) - (y2 - y1) * (p[0] - x1)
-        ring, out = out, []
-        for p, q in zip(ring, ring[1:] + ring[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                out.append(p)
-            if (sp > 0 > sq) or (sp < 0 < sq):
-                t = sp / (sp - sq)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-    return [*out, out[0]] if len(out) > 2 else []
+def _made(points: list[Point], lines: list[list[Point]], polygons: list) -> Geometry:
+    """A geometry of the simplest kind that holds these parts."""
+    kinds = [(points, "POINT"), (lines, "LINESTRING"), (polygons, "POLYGON")]
+    full = [(x, k) for x, k in kinds if x]
+    kind = "GEOMETRYCOLLECTION" if len(full) != 1 else full[0][1] if len(full[0][0]) == 1 else "MULTI" + full[0][1]
+    return Geometry(list(points), list(lines), list(polygons), kind)
 
 
 def intersection(a: Geometry, b: Geometry) -> Geometry:
-    """Common points, line parts, and areas where one polygon of each pair is convex."""
-    g = Geometry(kind="GEOMETRYCOLLECTION")
-    g.points = [p for p in a.points if locate(p, b) != "E"] + [p for p in b.points if locate(p, a) != "E" and p not in a.points]
+    """What both have: areas, line parts and points that lie in no larger part."""
+    polygons = overlay.areas(a.polygons, b.polygons, "intersection") if a.polygons and b.polygons else []
+    lines, points = [], []
     for x, y in ((a, b), (b, a)):
-        for s, t in _segments(x):
-            cuts = _cuts(s, t, _segments(y) + _rings(y), [])
-            at = lambda k, s=s, t=t: (s[0] + k * (t[0] - s[0]), s[1] + k * (t[1] - s[1]))
-            g.lines += [[at(u), at(v)] for u, v in zip(cuts, cuts[1:]) if locate(at((u + v) / 2), y) != "E" and [at(u), at(v)] not in g.lines and [at(v), at(u)] not in g.lines]
-    for p in a.polygons:
-        for q in b.polygons:
-            one, two = (p[0], q[0]) if _convex(q[0]) else (q[0], p[0])
-            if ring := _clip(one, two):
-                g.polygons.append([ring])
-    return g
+        if x.lines and y.polygons:
+            lines += overlay.lines_in_area(x.lines, y.polygons, True)
+        points += [p for p in x.points if locate(p, y) != "E" and p not in points]
+    if a.lines and b.lines:
+        shared, crossed = overlay.lines_on_lines(a.lines, b.lines, True)
+        lines += shared
+        points += [p for p in crossed if p not in points]
+    return _made(points, lines, polygons)
 
 
-def _convex(ring: list[Point]) -> bool:
-    turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(ring, ring[1:], [*ring[2:], ring[1]])]
-    return all(t >= -EPS for t in turns) or all(t <= EPS for t in turns)
+def difference(a: Geometry, b: Geometry) -> Geometry:
+    """What the first has and the second has not."""
+    polygons = overlay.areas(a.polygons, b.polygons, "difference") if a.polygons and b.polygons else a.polygons
+    lines = overlay.lines_in_area(a.lines, b.polygons, False) if a.lines and b.polygons else a.lines
+    if lines and b.lines:
+        lines = overlay.lines_on_lines(lines, b.lines, False)[0]
+    return _made([p for p in a.points if locate(p, b) == "E"], lines, polygons)
 
 
 def union(a: Geometry, b: Geometry) -> Geometry:
-    """All parts of both, one that lies in the other left out."""
-    if not a.empty() and not b.empty():
-        if relation("sfWithin", a, b):
-            return b
-        if relation("sfWithin", b, a):
-            return a
-    return Geometry(list(dict.fromkeys(a.points + b.points)), a.lines + b.lines, a.polygons + b.polygons, "GEOMETRYCOLLECTION")
+    """What either has; parts that lie in a larger one are left out."""
+    polygons = overlay.areas(a.polygons, b.polygons, "union") if a.polygons and b.polygons else a.polygons or b.polygons
+    area = Geometry(polygons=polygons)
+    extra = overlay.lines_on_lines(b.lines, a.lines, False)[0] if a.lines and b.lines else b.lines
+    lines = [*a.lines, *extra]
+    lines = overlay.lines_in_area(lines, polygons, False) if lines and polygons else lines
+    rest = Geometry(lines=lines, polygons=polygons)
+    return _made([p for p in dict.fromkeys(a.points + b.points) if locate(p, rest if not area.empty() or lines else area) == "E"], lines, polygons)
+
+
+def sym_difference(a: Geometry, b: Geometry) -> Geometry:
+    """What exactly one of them has."""
+    x, y = difference(a, b), difference(b, a)
+    # The two may share edges, where the areas lay beside each other.
+    polygons = overlay.areas(x.polygons, y.polygons, "union") if x.polygons and y.polygons else x.polygons or y.polygons
+    return _made(x.points + [p for p in y.points if p not in x.points], x.lines + y.lines, polygons)
+
+
+def bounding_circle(g: Geometry, steps: int = 64) -> Geometry:
+    """The smallest circle around all coordinates, as a polygon with so many corners around it."""
+    (x, y), r = overlay.smallest_circle(g.coordinates())
+    if r == 0:
+        return Geometry([(x, y)])
+    ring = [(x + r * math.cos(2 * math.pi * i / steps), y + r * math.sin(2 * math.pi * i / steps)) for i in range(steps)]
+    return Geometry(polygons=[[[*ring, ring[0]]]], kind="POLYGON")
 
 
 # ---------------------------------------------------------------- columns
@@ -571,7 +583,7 @@ UNARY: dict[str, tuple[Callable[[Geometry], object], str]] = {
     "minX": (lambda g: min(p[0] for p in g.coordinates()), "double"), "maxX": (lambda g: max(p[0] for p in g.coordinates()), "double"), "minY": (lambda g: min(p[1] for p in g.coordinates()), "double"), "maxY": (lambda g: max(p[1] for p in g.coordinates()), "double"),
 }
 BINARY: dict[str, tuple[Callable[..., object], str]] = {
-    "distance": (distance, "double"), "metricDistance": (lambda a, b: distance(a, b, False), "double"), "intersection": (lambda a, b: wkt(intersection(a, b)), "string"), "union": (lambda a, b: wkt(union(a, b)), "string"), "relate": (relate, "string"), "buffer": (lambda a, r: wkt(buffer(a, float(r))), "string"),
+    "distance": (distance, "double"), "metricDistance": (lambda a, b: distance(a, b, False), "double"), "intersection": (lambda a, b: wkt(intersection(a, b)), "string"), "union": (lambda a, b: wkt(union(a, b)), "string"), "difference": (lambda a, b: wkt(difference(a, b)), "string"), "symDifference": (lambda a, b: wkt(sym_difference(a, b)), "string"), "relate": (relate, "string"), "buffer": (lambda a, r: wkt(buffer(a, float(r))), "string"),
     **{r: (lambda a, b, r=r: relation(r, a, b), "boolean") for r in RELATIONS},
 }
 
@@ -627,7 +639,7 @@ def spatial_join(a: DataFrame, b: DataFrame, name: str = "sfIntersects", left: s
 
 
 def aggregate(df: DataFrame, keys: list[str], geom: str, name: str) -> DataFrame:
-    """boundingBox, centroid (of points), convexHull or union of the geometries of a group.
+    """boundingBox, boundingCircle, centroid (of points), convexHull or union of the geometries of a group.
 
     The box and the centroid are sums that are merged on both sides of the
     shuffle; hulls are made by partition first, so a group reaches its reducer as
@@ -640,7 +652,7 @@ def aggregate(df: DataFrame, keys: list[str], geom: str, name: str) -> DataFrame
     if name == "centroid":
         c = df.select(*keys, *[function(n, function("centroid", F.col(geom))).alias(n) for n in ("minX", "minY")])
         return c.groupBy(*keys).agg(F.format_string("POINT(%s %s)", F.avg("minX").cast("string"), F.avg("minY").cast("string")).alias("value"))
-    step = {"convexHull": lambda gs: convex_hull(Geometry(points=[p for g in gs for p in g.coordinates()])), "union": lambda gs: _merge(gs)}[name]
+    step = {"convexHull": lambda gs: convex_hull(Geometry(points=[p for g in gs for p in g.coordinates()])), "union": lambda gs: _merge(gs)}["convexHull" if name == "boundingCircle" else name]
 
     def gather(rows: DataFrame, by: list[str]) -> DataFrame:
         kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
@@ -652,7 +664,9 @@ def aggregate(df: DataFrame, keys: list[str], geom: str, name: str) -> DataFrame
         return rows.groupBy(*by).applyInPandas(run, f"{kinds}, _g string")
 
     salted = df.select(*keys, F.col(geom).alias("_g"), F.pmod(F.xxhash64(geom), F.lit(64)).cast("int").alias("_s"))
-    return gather(gather(salted, [*keys, "_s"]).drop("_s"), keys).withColumnRenamed("_g", "value")
+    out = gather(gather(salted, [*keys, "_s"]).drop("_s"), keys).withColumnRenamed("_g", "value")
+    # The circle around a group is the circle around its hull.
+    return out if name != "boundingCircle" else out.withColumn("value", _column(_of(lambda g: wkt(bounding_circle(g))), "string")(F.col("value")))
 
 
 def _merge(gs: list[Geometry]) -> Geometry:

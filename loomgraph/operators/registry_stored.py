@@ -374,3 +374,26 @@ _add("geo_accessors", "SELECT p_partkey AS k, p_size + 1.0::DOUBLE AS area, 2.0:
         F.col("p_partkey").alias("k"), geo.function("area", F.col("g")).alias("area"), geo.function("perimeter", F.col("g")).alias("length"), geo.function("dimension", F.col("g")).cast("long").alias("dimension"), geo.function("geometryType", F.col("g")).alias("kind"), geo.function("isSimple", F.col("g")).alias("simple")
     )
 )
+
+
+_COMMON = "greatest(0, least(4, k % 7 + 1) - greatest(0, k % 7 - 1)) * 2.0::DOUBLE"
+_add("geo_overlay", f"SELECT k, {_COMMON} AS common, 20 - {_COMMON} AS whole, 16 - {_COMMON} AS first, 20 - 2 * {_COMMON} AS one FROM (SELECT p_partkey AS k FROM part)")(lambda spark, sf: _overlays(spark, sf, "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"))
+# The hole takes what lies between 1 and 3; the second area is as high as it.
+_IN_HOLE = "greatest(0, least(3, k % 7 + 1) - greatest(1, k % 7 - 1)) * 2.0::DOUBLE"
+_add("geo_overlay_hole", f"SELECT k, {_COMMON} - {_IN_HOLE} AS common, 16 - {_COMMON} + {_IN_HOLE} AS whole, 12 - {_COMMON} + {_IN_HOLE} AS first, 16 - 2 * ({_COMMON} - {_IN_HOLE}) AS one FROM (SELECT p_partkey AS k FROM part)")(lambda spark, sf: _overlays(spark, sf, "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))"))
+
+
+def _overlays(spark: SparkSession, sf: str, fixed: str) -> DataFrame:
+    """Areas of the four overlays of a fixed area with squares of two that move across it."""
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("cast(p_partkey % 7 - 1 as int)").alias("a"), F.expr("cast(p_partkey % 7 + 1 as int)").alias("b"))
+    g, f = F.format_string("POLYGON((%1$d 1, %2$d 1, %2$d 3, %1$d 3, %1$d 1))", "a", "b"), F.lit(fixed)
+    area = lambda how: F.coalesce(geo.function("area", geo.function(how, f, g)), F.lit(0.0))
+    return p.select("k", area("intersection").alias("common"), area("union").alias("whole"), area("difference").alias("first"), area("symDifference").alias("one"))
+
+
+_add("geo_aggregate_union", "SELECT p_partkey % 7 AS k, count(DISTINCT p_size)::DOUBLE AS area FROM part GROUP BY 1")(
+    lambda spark, sf: geo.aggregate(_t(spark, sf, "part").select((F.col("p_partkey") % 7).alias("k"), F.format_string("POLYGON((%1$d 0, %2$d 0, %2$d 1, %1$d 1, %1$d 0))", F.col("p_size"), F.col("p_size") + 1).alias("g")), ["k"], "g", "union").select("k", geo.function("area", F.col("value")).alias("area"))
+)
+_add("geo_aggregate_box", "SELECT p_partkey % 7 AS k, max(p_size) - min(p_size) + 1.0::DOUBLE AS area FROM part GROUP BY 1")(
+    lambda spark, sf: geo.aggregate(_t(spark, sf, "part").select((F.col("p_partkey") % 7).alias("k"), F.format_string("POLYGON((%1$d 0, %2$d 0, %2$d 1, %1$d 1, %1$d 0))", F.col("p_size"), F.col("p_size") + 1).alias("g")), ["k"], "g", "boundingBox").select("k", geo.function("area", F.col("value")).alias("area"))
+)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import geo, reason, search, validate
+from loomgraph.operators import geo, overlay, reason, search, validate
 from loomgraph.operators import graph as G
 from loomgraph.operators import paths as P
 from loomgraph.plans import graphql
@@ -190,6 +190,27 @@ def test_measures():
     assert geo.parse("<http://x/4326> POINT(1 2)").srid == "http://x/4326"
 
 
+def test_overlay_of_areas():
+    """Chains of overlays of rectangles on a grid, with holes and corners that touch, against sets of cells."""
+    rng = random.Random(1)
+    rect = lambda: (lambda x, y: (x, y, x + rng.randrange(1, 5), y + rng.randrange(1, 5)))(rng.randrange(6), rng.randrange(6))
+    shape = lambda x, y, u, v: geo.parse(f"POLYGON(({x} {y}, {u} {y}, {u} {v}, {x} {v}, {x} {y}))")
+    cells = lambda x, y, u, v: {(i, j) for i in range(x, u) for j in range(y, v)}
+    how = [(geo.union, set.union), (geo.difference, set.difference), (geo.intersection, set.intersection), (geo.sym_difference, set.symmetric_difference)]
+    for _ in range(150):
+        r = rect()
+        g, c = shape(*r), cells(*r)
+        for _ in range(3):
+            (f, h), r = rng.choice(how), rect()
+            g, c = f(g, shape(*r)), h(c, cells(*r))
+            assert abs(geo.area(g) - len(c)) < 1e-9
+    line = geo.parse("LINESTRING(-1 2, 5 2)")
+    hole = geo.parse("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))")
+    assert geo.length(geo.intersection(line, hole)) == 2.0 and geo.length(geo.difference(line, hole)) == 4.0
+    (x, y), r = overlay.smallest_circle([(0, 0), (4, 0), (2, 0.5), (2, -1)])
+    assert (round(x, 9), round(y, 9), round(r, 9)) == (2, 0, 2)
+
+
 def test_geometry_aggregates(spark):
     df = spark.createDataFrame([(1, "POINT(0 0)"), (1, "POINT(4 0)"), (1, "POINT(2 6)"), (1, None)], "k long, g string")
     assert geo.aggregate(df, ["k"], "g", "boundingBox").collect()[0].value.startswith("POLYGON((0.0 0.0, 4.0 0.0")
