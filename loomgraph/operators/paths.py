@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import algebra as A
@@ -234,16 +234,68 @@ def _constant(t: Any, lane: Lane, kind: Any) -> Any:
     return L.to_dyn(v.col, v.lane)
 
 
-def search(spark: Any, df: DataFrame, source: Any, target: Any | None = None, algorithm: str = "shortest", direction: str = "forward", low: int = 1, high: int = 10, k: int = 1, weighted: bool = False) -> DataFrame:
+def _cheapest(rounds: Rounds, df: DataFrame, source: Column) -> DataFrame:
+    """(id, cost, hops, pred): the cheapest way to each node, with fewest edges among equals, by relaxing what improved."""
+    if not df.where("_w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    best = rounds.save(df.sparkSession.range(1).select(source.alias("id"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(df.schema["src"].dataType).alias("pred")))
+    changed = best
+    while not changed.isEmpty():
+        offer = changed.join(df, changed["id"] == df["src"]).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("_w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred"))).alias("o"))
+        better = F.col("cost").isNull() | (F.struct(F.col("o.cost"), F.col("o.hops")) < F.struct("cost", "hops"))
+        both = best.join(offer, best["id"] == offer["dst"], "full").withColumn("_new", F.col("o").isNotNull() & better)
+        pick = lambda c: F.when(F.col("_new"), F.col(f"o.{c}")).otherwise(F.col(c)).alias(c)
+        now = rounds.save(both.select(F.coalesce("id", "dst").alias("id"), pick("cost"), pick("hops"), pick("pred"), "_new"), temporary=True)
+        best, changed = now.drop("_new"), now.where("_new").drop("_new")
+    return best
+
+
+def _walked_back(rounds: Rounds, best: DataFrame, ends: DataFrame) -> DataFrame:
+    """(nodes, edges, at, cost): the paths that the predecessors give, from their ends to the source."""
+    back = rounds.save(best.select(F.col("id").alias("to"), "pred"))
+    open_ = ends.where("pred is not null").select(F.array("id").alias("nodes"), F.col("id").alias("at"), "cost", F.col("pred").alias("to"))
+    done = None
+    while True:
+        open_ = rounds.save(open_.select(F.concat(F.array("to"), "nodes").alias("nodes"), "at", "cost", "to").join(back, "to").select("nodes", "at", "cost", "pred").withColumnRenamed("pred", "to"))
+        whole = open_.where("to is null").drop("to")
+        done = whole if done is None else done.unionByName(whole)
+        open_ = open_.where("to is not null")
+        if open_.isEmpty():
+            break
+    edge = lambda i: F.struct(F.element_at("nodes", i).alias("a"), F.element_at("nodes", i + 1).alias("b"))
+    return done.select("nodes", F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), edge).alias("edges"), "at", "cost")
+
+
+def search(spark: Any, df: DataFrame, source: Any, target: Any | None = None, algorithm: str = "shortest", direction: str = "forward", low: int = 1, high: int | None = None, k: int = 1, weighted: bool = False) -> DataFrame:
     """Paths from ``source`` as (path_index, edge_index, edge_src, edge_dst, length, cost).
 
     ``df`` has src, dst and, if weighted, weight.  ``algorithm``: ``shortest`` (one
     a target), ``allShortest``, ``kShortest`` (simple paths by cost) or ``all``
-    (simple paths of ``low`` to ``high`` edges).
+    (simple paths of ``low`` to ``high`` edges).  Without ``high`` the shortest ones
+    may have any length; simple paths by number have ten edges at most.
+
+    One shortest path a target follows predecessors; all shortest ones walk the
+    edges that lie on some shortest path only, so neither enumerates others.
     """
     if direction != "forward":
         back = df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if weighted else []))
         df = back if direction == "backward" else df.unionByName(back).distinct()
+    if high is None and algorithm in ("shortest", "allShortest"):
+        rounds = Rounds(spark, "paths", keep=3)
+        kind = df.schema["src"].dataType
+        edges = rounds.save(df.where("src != dst").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("_w")))
+        rounds = Rounds(spark, "paths", keep=3)
+        best = _cheapest(rounds, edges, F.lit(source).cast(kind))
+        best = Rounds(spark, "paths").save(best)
+        ends = best if target is None else best.where(F.col("id") == F.lit(target).cast(kind))
+        if algorithm == "shortest":
+            return _numbered(_walked_back(Rounds(spark, "paths", keep=1000), best, ends).where(F.size("edges") >= low))
+        cost = lambda end, name: best.select(F.col("id").alias(end), F.col("cost").alias(name))
+        on = edges.join(cost("src", "_a"), "src").join(cost("dst", "_b"), "dst").where(F.abs(F.col("_a") + F.col("_w") - F.col("_b")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("_b")))
+        df = on.select("src", "dst", F.col("_w").alias("weight"))
+        weighted, algorithm, high = True, "all", 1 << 30
+        return search(spark, df, source, target, algorithm, "forward", low, high, k, weighted)
+    high = 10 if high is None else high
     rounds = Rounds(spark, "paths", keep=1000)
     df = df.withColumn("_w", F.col("weight").cast("double") if weighted else F.lit(1.0))
     e = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -283,7 +335,11 @@ def search(spark: Any, df: DataFrame, source: Any, target: Any | None = None, al
         out = out.withColumn("_r", F.rank().over(Window.partitionBy("at").orderBy("cost"))).where("_r = 1")
     elif algorithm == "kShortest":
         out = out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    # The index orders the paths of one result; a limit or target bounds them.
+    return _numbered(out)
+
+
+def _numbered(out: DataFrame) -> DataFrame:
+    """One row an edge; the index tells a result's paths apart."""
     out = out.withColumn("path_index", F.sha2(F.to_json("nodes"), 256))
     rows = out.select("path_index", F.posexplode("edges").alias("edge_index", "e"), F.size("edges").cast("long").alias("length"), "cost")
     return rows.select("path_index", F.col("edge_index").cast("long").alias("edge_index"), F.col("e.a").alias("edge_src"), F.col("e.b").alias("edge_dst"), "length", "cost")

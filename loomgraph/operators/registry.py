@@ -114,6 +114,16 @@ _add(
     f"WITH RECURSIVE {_E}, r AS (SELECT [s, d] AS p FROM e WHERE s = 1 UNION ALL SELECT list_append(r.p, e.d) FROM r JOIN e ON e.s = r.p[-1] WHERE NOT list_contains(r.p, e.d) AND len(r.p) < 4) SELECT (len(p) - 1)::BIGINT AS length, count(*) AS k FROM r GROUP BY 1",
 )(lambda spark, sf: P.search(spark, knows(spark, sf), 1, algorithm="all", high=3).where("edge_index = 0").groupBy(F.col("length").cast("long").alias("length")).agg(F.count("*").alias("k")))
 
+_WAYS = f"WITH RECURSIVE {_E}, r AS (SELECT 1::BIGINT AS id, 0::BIGINT AS c UNION SELECT e.d, r.c + e.d % 5 + 1 FROM r JOIN e ON e.s = r.id WHERE r.c < 40), b AS (SELECT id, min(c) AS c FROM r GROUP BY id), o AS (SELECT e.s, e.d FROM e JOIN b x ON x.id = e.s JOIN b y ON y.id = e.d WHERE x.c + e.d % 5 + 1 = y.c)"
+_cost = lambda spark, sf: knows(spark, sf).withColumn("weight", F.col("dst") % 5 + 1)
+_add("path_cheapest", f"{_WAYS} SELECT id AS target, c::DOUBLE AS cost FROM b WHERE id <> 1")(lambda spark, sf: P.search(spark, _cost(spark, sf), 1, weighted=True).where("edge_index = length - 1").select(F.col("edge_dst").alias("target"), "cost"))
+_add("path_all_cheapest", f"{_WAYS}, w AS (SELECT 1::BIGINT AS id, '1' AS p UNION SELECT o.d, w.p || '-' || o.d FROM w JOIN o ON o.s = w.id) SELECT id AS target, count(*) AS k FROM w WHERE id <> 1 GROUP BY id")(
+    lambda spark, sf: P.search(spark, _cost(spark, sf), 1, algorithm="allShortest", weighted=True).where("edge_index = length - 1").groupBy(F.col("edge_dst").alias("target")).agg(F.count("*").alias("k"))
+)
+_add("path_chain", "SELECT max(n_nationkey)::BIGINT AS length, max(n_nationkey)::DOUBLE AS cost FROM nation")(
+    lambda spark, sf: P.search(spark, _t(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_nationkey") + 1).alias("dst")), 0, _t(spark, sf, "nation").agg(F.max("n_nationkey")).collect()[0][0]).where("edge_index = 0").select("length", "cost")
+)
+
 # ---------------------------------------------------------------- search
 
 _TOK = r"toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL)"

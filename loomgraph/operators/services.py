@@ -74,7 +74,7 @@ def _path_search(c: Any, s: dict[str, list]) -> tuple[DataFrame, dict[str, Lane]
     k = _value(s, "k", 1)
     found = P.search(
         c.spark, df, _native(_value(s, "source"), lane), None if target is None or isinstance(target, A.Var) else _native(target, lane), _value(s, "algorithm", "shortest"), _value(s, "direction", "forward"),
-        _value(s, "minLength", 1), _value(s, "maxLength", 10), k, "weight" in s,
+        _value(s, "minLength", 1), _value(s, "maxLength"), k, "weight" in s,
     )
     limit = _value(s, "limit")
     if limit is not None:

@@ -757,14 +757,20 @@ class Compiler:
         return Solution(df, lanes)
 
     def _counted(self, n: A.Group) -> Solution | None:
-        """COUNT(*) of the pattern ``?s ?p ?o``, whole or by ?p: cells are counted by column, no triple is built."""
+        """COUNT(*) of the pattern ``?s ?p ?o``, whole or by ?p: cells are counted by column, no triple is built; of ``?s a ?t`` by ?t: rows of tables."""
         if not isinstance(n.inner, A.Bgp) or len(n.inner.triples) != 1 or len(n.aggs) != 1 or self.active is not None:
             return None
         t, (var, agg) = n.inner.triples[0], n.aggs[0]
-        if agg.name != "COUNT" or agg.arg is not None or agg.distinct or not all(isinstance(x, A.Var) for x in t) or len(set(t)) < 3:
+        by_class = isinstance(t[1], A.Iri) and t[1].value == TYPE and isinstance(t[0], A.Var) and isinstance(t[2], A.Var) and t[0] != t[2]
+        if agg.name != "COUNT" or agg.arg is not None or agg.distinct or not by_class and (not all(isinstance(x, A.Var) for x in t) or len(set(t)) < 3):
             return None
         if any(m.graph for m in self.graph.maps) or self.graph.quads is not None:
             return None
+        if by_class:
+            if len(n.keys) != 1 or n.keys[0][1] != t[2] or not n.keys[0][0]:
+                return None
+            key = n.keys[0][0]
+            return Solution(self.graph.class_counts().select(F.col("c").alias(col_of(key)), F.col("n").cast("bigint").alias(col_of(var))), {key: Lane("iri"), var: INTEGER})
         counts = self.graph.predicate_counts()
         if not n.keys:
             return Solution(counts.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias(col_of(var))), {var: INTEGER})

@@ -154,6 +154,18 @@ class VirtualGraph:
             out = out.union(self.quads.groupBy("p").agg(F.count("*").alias("c")).select("p", "c"))
         return out.groupBy("p").agg(F.sum("c").alias("c")).where("c > 0")
 
+    def class_counts(self) -> DataFrame:
+        """(c, n): subjects by class, a count of keys for each table."""
+        out = None
+        for m in self.maps:
+            if m.classes:
+                n = F.count("*" if m.key is None else m.key)
+                part = m.df().agg(n.alias("n")).select(F.explode(F.array(*[F.lit(c) for c in m.classes])).alias("c"), "n")
+                out = part if out is None else out.union(part)
+        if out is None:
+            return self.spark.createDataFrame([], "c string, n long")
+        return out.groupBy("c").agg(F.sum("n").alias("n")).where("n > 0")
+
 
 def term_columns() -> list[str]:
     return ["s", "p", "o"]
