@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .plans import algebra as A
 from .plans.compile import Compiler, Options, Solution
 from .plans.lanes import TERM
+from .operators.tables import Rounds
 from .plans.parser import parse, parse_update
 from .sources import rdf, sinks
 from .sources.catalog import VirtualGraph
@@ -39,7 +40,7 @@ class Dataset:
     def __init__(self, spark: SparkSession, folder: str, maps: list | None = None, options: Options | None = None):
         self.spark, self.folder, self.maps, self.options = spark, folder.rstrip("/"), maps or [], options or Options()
         self.services: dict[str, Any] = {"urn:loomgraph:view#": self.read_view}
-        self.load_paths: list[str] | None = None  # allowed beginnings of LOAD's sources
+        self.load_paths: list[str] | None = None  # folders and files that LOAD may read
         self.guard: Callable[[DataFrame], DataFrame] | None = None  # a report of what a commit would break
 
     # ------------------------------------------------------------ files
@@ -287,7 +288,7 @@ class Dataset:
             return make(u.insert), make(u.delete)
         if u.kind == "load":
             path = u.source.removeprefix("file://")
-            if self.load_paths is not None and not any(os.path.normpath(path).startswith(x) for x in self.load_paths):
+            if self.load_paths is not None and not any(os.path.normpath(path) == os.path.normpath(x) or os.path.normpath(path).startswith(os.path.normpath(x).rstrip("/") + "/") for x in self.load_paths):
                 raise ValueError(f"loading {path!r} is not allowed")
             rows = rdf.read(self.spark, path)
             return (rows if u.target is None else rows.withColumn("g", F.lit(u.target))), None
@@ -391,29 +392,57 @@ def footprint(pattern: Any) -> list[str] | None:
     return None if any_ else sorted(found)
 
 
-def compare(a: DataFrame, b: DataFrame, rounds: int = 4) -> bool:
+def _colours(q: DataFrame, seeds: list[tuple[int, str, str]]) -> DataFrame:
+    """(side, n, c): blank nodes' colours, hashes of the statements about them with their neighbours' colours, until no class is split any more."""
+    spark, rounds = q.sparkSession, Rounds(q.sparkSession, "colours")
+    given = spark.createDataFrame(seeds, "side int, n string, seed string")
+    nodes = q.select("side", F.explode(F.array("s", "o")).alias("t")).where("t.kind = 1").select("side", F.col("t.lex").alias("n")).distinct()
+    now = rounds.save(nodes.join(given, ["side", "n"], "left").select("side", "n", F.coalesce("seed", F.lit("_")).alias("c")))
+    classes = 0
+    while True:
+        count = now.agg(F.count_distinct("side", "c")).collect()[0][0]
+        if count == classes:
+            return now
+        classes, j = count, _named(q, now)
+        out = j.where("s.kind = 1").select("side", F.col("s.lex").alias("n"), F.concat_ws("\x01", F.lit(">"), "p", "_o", F.coalesce("g", F.lit(""))).alias("e"))
+        into = j.where("o.kind = 1").select("side", F.col("o.lex").alias("n"), F.concat_ws("\x01", F.lit("<"), "p", "_s", F.coalesce("g", F.lit(""))).alias("e"))
+        about = out.union(into).groupBy("side", "n").agg(F.array_join(F.sort_array(F.collect_list("e")), "\x02").alias("e"))
+        # The colour before goes in, so classes are only ever split.
+        now = rounds.save(now.join(about, ["side", "n"]).select("side", "n", F.sha2(F.concat_ws("\x03", "c", "e"), 256).alias("c")), temporary=True)
+
+
+def _named(q: DataFrame, colours: DataFrame) -> DataFrame:
+    """The statements with _s and _o: colours of blank nodes, else the terms."""
+    name = lambda t, c: F.when(t["kind"] == 1, c).otherwise(F.concat_ws("|", t["kind"].cast("string"), t["lex"], F.coalesce(t["dt"], F.lit("")), F.coalesce(t["lang"], F.lit(""))))
+    side = lambda end: colours.select(F.col("side").alias(f"_{end}d"), F.col("n").alias(f"_{end}n"), F.col("c").alias(f"_{end}c"))
+    for end in "so":
+        q = q.join(side(end), (F.col("side") == F.col(f"_{end}d")) & (F.col(f"{end}.kind") == 1) & (F.col(f"{end}.lex") == F.col(f"_{end}n")), "left")
+    return q.withColumn("_s", name(F.col("s"), F.col("_sc"))).withColumn("_o", name(F.col("o"), F.col("_oc")))
+
+
+def compare(a: DataFrame, b: DataFrame) -> bool:
     """Whether two sets of quads are equal up to the names of blank nodes.
 
-    Blank nodes are named by colour refinement: a node's colour is a hash of the
-    statements about it with its neighbours' colours.  Graphs whose nodes
-    refinement cannot tell apart (regular structures) compare by their colours.
+    Colours are refined to the end.  Where they leave blank nodes alike, one of the
+    smallest such class is told apart and each of the other graph's is tried as its
+    partner, so regular structures are compared by their statements, too.
     """
-
-    def coloured(q: DataFrame) -> DataFrame:
-        q = q.select(*QUAD).distinct()
-        name = lambda t, c: F.when(t["kind"] == 1, F.coalesce(c, F.lit("_"))).otherwise(F.concat_ws("|", t["kind"].cast("string"), t["lex"], F.coalesce(t["dt"], F.lit("")), F.coalesce(t["lang"], F.lit(""))))
-        colours = q.select(F.explode(F.array("s", "o")).alias("t")).where("t.kind = 1").select(F.col("t.lex").alias("n")).distinct().withColumn("c", F.lit("_"))
-        for _ in range(rounds):
-            j = q.join(colours.select(F.col("n").alias("_sn"), F.col("c").alias("_sc")), (F.col("s.kind") == 1) & (F.col("s.lex") == F.col("_sn")), "left").join(colours.select(F.col("n").alias("_on"), F.col("c").alias("_oc")), (F.col("o.kind") == 1) & (F.col("o.lex") == F.col("_on")), "left")
-            s, o = name(F.col("s"), F.col("_sc")), name(F.col("o"), F.col("_oc"))
-            out = j.where("s.kind = 1").select(F.col("s.lex").alias("n"), F.concat_ws("\x01", F.lit(">"), "p", o, F.coalesce("g", F.lit(""))).alias("e"))
-            into = j.where("o.kind = 1").select(F.col("o.lex").alias("n"), F.concat_ws("\x01", F.lit("<"), "p", s, F.coalesce("g", F.lit(""))).alias("e"))
-            colours = out.union(into).groupBy("n").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("e")), "\x02"), 256).alias("c"))
-        j = q.join(colours.select(F.col("n").alias("_sn"), F.col("c").alias("_sc")), (F.col("s.kind") == 1) & (F.col("s.lex") == F.col("_sn")), "left").join(colours.select(F.col("n").alias("_on"), F.col("c").alias("_oc")), (F.col("o.kind") == 1) & (F.col("o.lex") == F.col("_on")), "left")
-        return j.select(F.coalesce("g", F.lit("")).alias("g"), name(F.col("s"), F.col("_sc")).alias("s"), "p", name(F.col("o"), F.col("_oc")).alias("o"))
-
-    x, y = coloured(a), coloured(b)
-    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+    rows = a.select(*QUAD).distinct().withColumn("side", F.lit(0)).unionByName(b.select(*QUAD).distinct().withColumn("side", F.lit(1)))
+    q = Rounds(a.sparkSession, "compared").save(rows)
+
+    def same(seeds: list[tuple[int, str, str]]) -> bool:
+        colours = _colours(q, seeds)
+        differ = _named(q, colours).groupBy(F.coalesce("g", F.lit("")), "_s", "p", "_o").agg(F.sum(1 - 2 * F.col("side")).alias("n")).where("n != 0")
+        if not differ.isEmpty():
+            return False
+        alike = colours.groupBy("c").agg(F.count("*").alias("k"), F.min(F.when(F.col("side") == 0, F.col("n"))).alias("one")).where("k > 2").orderBy("k", "c").limit(1).collect()
+        if not alike:
+            return True
+        mark = f"#{len(seeds)}"
+        partners = colours.where((F.col("side") == 1) & (F.col("c") == alike[0]["c"])).select("n").toLocalIterator()
+        return any(same([*seeds, (0, alike[0]["one"], mark), (1, r["n"], mark)]) for r in partners)
+
+    return same([])
 
 
 __all__ = ["Dataset", "compare", "footprint"]

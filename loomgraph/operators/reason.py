@@ -153,6 +153,8 @@ def materialize(triples: DataFrame, rules: list[Rule] | None = None, explain: bo
             for k in known[2:]:
                 merged = merged.union(k)
             known = [base, rounds.save(merged)]
+    else:
+        raise RuntimeError(f"rules still derive triples after {most} rounds")
     out = known[1] if len(known) > 1 else new
     for k in known[2:]:
         out = out.union(k)

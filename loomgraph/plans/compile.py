@@ -998,7 +998,7 @@ class Compiler:
         return out.where("s is not null and p is not null and o is not null and s.kind < 2").distinct()
 
     def describe(self, what: list, pattern: Any) -> DataFrame:
-        """Triples whose subject is described; blank-node objects are followed to a depth of four."""
+        """Triples whose subject is described; blank-node objects are followed as far as they lead."""
         iris = [t.value for t in what if isinstance(t, A.Iri)]
         prefixes = {m.prefix for m in self._maps() for i in iris if m.prefix and i.startswith(m.prefix)} if len(iris) == len(what) and self.graph.quads is None else None
         found = self.graph.triples(None, self.active, prefixes)
@@ -1009,14 +1009,18 @@ class Compiler:
         for t in what:
             if isinstance(t, A.Var) and t.name in s.lanes:
                 wanted = wanted.union(s.df.select(L.lexical(F.col(col_of(t.name)), s.lanes[t.name])))
-        out = None
-        wanted = wanted.distinct()
-        for _ in range(4):
-            part = found.join(wanted.withColumnRenamed("lex", "_w"), F.col("s.lex") == F.col("_w"), "left_semi")
-            out = part if out is None else out.union(part)
-            if self.graph.quads is None:
-                break
-            wanted = part.where("o.kind = 1").select(F.col("o.lex").alias("lex")).distinct()
+        out = found.join(wanted.distinct().withColumnRenamed("lex", "_w"), F.col("s.lex") == F.col("_w"), "left_semi")
+        if self.graph.quads is not None:
+            from ..operators.tables import Rounds
+
+            rounds = Rounds(self.spark, "described", keep=1000)
+            seen = part = out = rounds.save(out)
+            while True:
+                nodes = part.where("o.kind = 1").select(F.col("o.lex").alias("_w")).distinct().join(seen.where("s.kind = 1").select(F.col("s.lex").alias("_x")).distinct(), F.col("_w") == F.col("_x"), "left_anti")
+                part = rounds.save(found.join(nodes, (F.col("s.kind") == 1) & (F.col("s.lex") == F.col("_w")), "left_semi"))
+                if part.isEmpty():
+                    break
+                seen = out = out.union(part)
         return out.distinct()
 
 

@@ -127,6 +127,31 @@ def test_isomorphism(spark):
     assert not compare(f("_:a <http://p> _:b . _:b <http://p> <http://x> ."), f("_:q <http://p> _:q . _:q <http://p> <http://x> ."))
 
 
+def test_isomorphism_of_regular_graphs(spark):
+    """Two triangles are no hexagon, though every node looks alike; the same hexagon under other names is one."""
+    ring = lambda names: "".join(f"_:{a} <http://p> _:{b} . _:{b} <http://p> _:{a} . " for a, b in zip(names, names[1:] + names[:1]))
+    f = lambda t: rdf.frame(spark, rdf.parse_turtle(t))
+    assert not compare(f(ring("abc") + ring("def")), f(ring("abcdef")))
+    assert compare(f(ring("abcdef")), f(ring("qzmkxy")))
+
+
+def test_described_chain_of_blank_nodes(spark, tmp_path):
+    d = Dataset(spark, f"{tmp_path}/chain")
+    d.commit(insert=rdf.frame(spark, rdf.parse_turtle("<http://e/a> <http://e/p> _:b0 . " + " ".join(f"_:b{i} <http://e/p> _:b{i + 1} ." for i in range(7)) + " <http://e/z> <http://e/p> 1 .")))
+    assert d.query("DESCRIBE <http://e/a>").count() == 8
+
+
+def test_load_policy(spark, tmp_path):
+    d = Dataset(spark, f"{tmp_path}/d")
+    for name in ("data", "data-private"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.nt").write_text("<http://e/a> <http://e/p> <http://e/b> .\n")
+    d.load_paths = [f"{tmp_path}/data"]
+    assert d.update(f"LOAD <file://{tmp_path}/data/x.nt>") == 1
+    with pytest.raises(ValueError, match="not allowed"):
+        d.update(f"LOAD <file://{tmp_path}/data-private/x.nt>")
+
+
 def test_results(spark, tmp_path):
     d = Dataset(spark, f"{tmp_path}/d")
     d.update('INSERT DATA { ex:a ex:p "x, \\"y\\""@en ; ex:q 5 . ex:b ex:p "z" }')
