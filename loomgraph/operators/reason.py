@@ -58,6 +58,7 @@ def rule(name: str, text: str, prefixes: dict[str, str] | None = None) -> Rule:
 
 
 # The entailment rules of the standards, by their names there.
+_IN, _ALL, _BAD = "urn:loomgraph:in", "urn:loomgraph:all", "urn:loomgraph:inconsistent"
 RDFS_RULES = [
     rule("rdfs2", "(?p rdfs:domain ?c) (?x ?p ?y) -> (?x rdf:type ?c)"),
     rule("rdfs3", "(?p rdfs:range ?c) (?x ?p ?y) -> (?y rdf:type ?c)"),
@@ -84,7 +85,50 @@ OWL_RULES = [
     rule("eq-trans", "(?x owl:sameAs ?y) (?y owl:sameAs ?z) -> (?x owl:sameAs ?z)"),
     rule("eq-rep-s", "(?x owl:sameAs ?y) (?x ?p ?o) -> (?y ?p ?o)"),
     rule("eq-rep-o", "(?x owl:sameAs ?y) (?s ?p ?x) -> (?s ?p ?y)"),
+    rule("eq-rep-p", "(?p owl:sameAs ?q) (?x ?p ?y) -> (?x ?q ?y)"),
+    rule("prp-spo2", f"(?p owl:propertyChainAxiom ?l) (?l rdf:first ?a) (?l rdf:rest ?m) (?m rdf:first ?b) (?m rdf:rest <{RDF}nil>) (?x ?a ?y) (?y ?b ?z) -> (?x ?p ?z)"),
+    rule("cls-svf2", f"(?r owl:someValuesFrom <{OWL}Thing>) (?r owl:onProperty ?p) (?x ?p ?y) -> (?x rdf:type ?r)"),
+    # Lists: what is in one, and what has all the types in one (from its end).
+    rule("list-first", f"(?l rdf:first ?x) -> (?l <{_IN}> ?x)"),
+    rule("list-rest", f"(?l rdf:rest ?m) (?m <{_IN}> ?x) -> (?l <{_IN}> ?x)"),
+    rule("list-all-end", f"(?l rdf:rest <{RDF}nil>) (?l rdf:first ?c) (?x rdf:type ?c) -> (?x <{_ALL}> ?l)"),
+    rule("list-all", f"(?l rdf:rest ?m) (?x <{_ALL}> ?m) (?l rdf:first ?c) (?x rdf:type ?c) -> (?x <{_ALL}> ?l)"),
+    rule("cls-int1", f"(?c owl:intersectionOf ?l) (?x <{_ALL}> ?l) -> (?x rdf:type ?c)"),
+    rule("cls-int2", f"(?c owl:intersectionOf ?l) (?l <{_IN}> ?d) (?x rdf:type ?c) -> (?x rdf:type ?d)"),
+    rule("cls-uni", f"(?c owl:unionOf ?l) (?l <{_IN}> ?d) (?x rdf:type ?d) -> (?x rdf:type ?c)"),
+    rule("cls-oo", f"(?c owl:oneOf ?l) (?l <{_IN}> ?x) -> (?x rdf:type ?c)"),
+    rule("scm-int", f"(?c owl:intersectionOf ?l) (?l <{_IN}> ?d) -> (?c rdfs:subClassOf ?d)"),
+    rule("scm-uni", f"(?c owl:unionOf ?l) (?l <{_IN}> ?d) -> (?d rdfs:subClassOf ?c)"),
+    rule("scm-dom1", "(?p rdfs:domain ?c) (?c rdfs:subClassOf ?d) -> (?p rdfs:domain ?d)"),
+    rule("scm-dom2", "(?p rdfs:domain ?c) (?q rdfs:subPropertyOf ?p) -> (?q rdfs:domain ?c)"),
+    rule("scm-rng1", "(?p rdfs:range ?c) (?c rdfs:subClassOf ?d) -> (?p rdfs:range ?d)"),
+    rule("scm-rng2", "(?p rdfs:range ?c) (?q rdfs:subPropertyOf ?p) -> (?q rdfs:range ?c)"),
+    rule("scm-hv", "(?c owl:hasValue ?v) (?c owl:onProperty ?p) (?d owl:hasValue ?v) (?d owl:onProperty ?q) (?p rdfs:subPropertyOf ?q) -> (?c rdfs:subClassOf ?d)"),
+    rule("scm-svf1", "(?c owl:someValuesFrom ?x) (?c owl:onProperty ?p) (?d owl:someValuesFrom ?y) (?d owl:onProperty ?p) (?x rdfs:subClassOf ?y) -> (?c rdfs:subClassOf ?d)"),
+    rule("scm-avf1", "(?c owl:allValuesFrom ?x) (?c owl:onProperty ?p) (?d owl:allValuesFrom ?y) (?d owl:onProperty ?p) (?x rdfs:subClassOf ?y) -> (?c rdfs:subClassOf ?d)"),
 ]
+#: What no consistent graph has.
+INCONSISTENT = [
+    rule("cax-dw", f"(?c owl:disjointWith ?d) (?x rdf:type ?c) (?x rdf:type ?d) -> (?x <{_BAD}> ?c)"),
+    rule("cls-com", f"(?c owl:complementOf ?d) (?x rdf:type ?c) (?x rdf:type ?d) -> (?x <{_BAD}> ?c)"),
+    rule("cls-nothing2", f"(?x rdf:type <{OWL}Nothing>) -> (?x <{_BAD}> <{OWL}Nothing>)"),
+    rule("eq-diff1", f"(?x owl:sameAs ?y) (?x owl:differentFrom ?y) -> (?x <{_BAD}> ?y)"),
+    rule("prp-irp", f"(?p rdf:type owl:IrreflexiveProperty) (?x ?p ?x) -> (?x <{_BAD}> ?p)"),
+    rule("prp-asyp", f"(?p rdf:type owl:AsymmetricProperty) (?x ?p ?y) (?y ?p ?x) -> (?x <{_BAD}> ?p)"),
+    rule("prp-pdw", f"(?p owl:propertyDisjointWith ?q) (?x ?p ?y) (?x ?q ?y) -> (?x <{_BAD}> ?p)"),
+]
+
+
+def inconsistencies(triples: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(rule, s, o): the subjects, and the classes, properties or partners, that break a graph with what follows from it."""
+    derived = materialize(triples, OWL_RULES if rules is None else rules)
+    whole = Rounds(triples.sparkSession, "consistent").save(triples.select("s", "p", "o").union(derived.select("s", "p", "o")).distinct())
+    out = None
+    for r in INCONSISTENT:
+        part = _heads(r, _body(r, [whole] * len(r.body))).select(F.lit(r.name).alias("rule"), "s", "o")
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
 
 def _pattern(triples: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
     names: dict[str, str] = {}
@@ -158,6 +202,7 @@ def materialize(triples: DataFrame, rules: list[Rule] | None = None, explain: bo
     out = known[1] if len(known) > 1 else new
     for k in known[2:]:
         out = out.union(k)
+    out = out.where(~F.col("p").isin(_IN, _ALL))
     return out if explain else out.drop("rule")
 
 

@@ -344,6 +344,64 @@ def _changed(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate(rows, [shape], nation).select("focus")
 
 
+@_add("shacl_qualified", "SELECT 'http://example.org/region/' || r_regionkey AS focus, 'qualifiedMaxCount' AS component FROM region WHERE (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_name LIKE 'NATION_1%') > 2 UNION ALL SELECT 'http://example.org/region/' || r_regionkey, 'qualifiedMinCount' FROM region WHERE (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_name LIKE 'NATION_1%') < 2")
+def _qualified(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of a region's nations have a name of a pattern."""
+    graph = standard_graph(spark, sf)
+    rows = graph.triples(None, None, {EX + "region/"}).unionByName(graph.triples([EX + "name", EX + "region"], None, {EX + "nation/"}))
+    shapes = [{"targetClass": [EX + "Region"], "property": [{"path": ("inverse", EX + "region"), "qualifiedValueShape": {"property": [{"path": EX + "name", "pattern": "^NATION_1"}]}, "qualifiedMinCount": 2, "qualifiedMaxCount": 2}]}]
+    return validate.validate(rows, shapes).select("focus", "component")
+
+
+@_add("shacl_sparql", "SELECT 'http://example.org/nation/' || n_nationkey AS focus, n_name AS value FROM nation WHERE n_regionkey = 2")
+def _shacl_sparql(spark: SparkSession, sf: str) -> DataFrame:
+    rows = standard_graph(spark, sf).triples(None, None, {EX + "nation/"})
+    shape = {"targetClass": [EX + "Nation"], "sparql": ["SELECT $this ?value WHERE { $this ex:region <http://example.org/region/2> ; ex:name ?value }"]}
+    return validate.validate(rows, [shape]).select("focus", "value")
+
+
+def _triples(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """What segment and nation each customer is of, as types."""
+    c = _t(spark, sf, "customer")
+    me = F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"))
+    kinds = F.array(F.concat(F.lit("segment/"), "c_mktsegment"), F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")))
+    return c.select(me.alias("s"), F.lit(reason.TYPE).alias("p"), F.explode(kinds).alias("o"))
+
+
+_REST, _FIRST, _NIL = reason.RDF + "rest", reason.RDF + "first", reason.RDF + "nil"
+
+
+@_add("owl_classes", "SELECT 'customer/' || c_custkey AS s, unnest(list_filter(['both', 'either'], lambda x: CASE x WHEN 'both' THEN c_mktsegment = 'BUILDING' AND c_nationkey = 3 ELSE c_mktsegment = 'BUILDING' OR c_nationkey = 3 END)) AS o FROM customer")
+def _owl_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Intersections and unions of classes in lists."""
+    lists = [(f"{k}{i}", p, o) for k in ("i", "u") for i, (x, nxt) in enumerate((("segment/BUILDING", f"{k}1"), ("nation/3", _NIL))) for p, o in ((_FIRST, x), (_REST, nxt))]
+    schema = _triples(spark, [("both", reason.OWL + "intersectionOf", "i0"), ("either", reason.OWL + "unionOf", "u0"), *lists])
+    rules = [r for r in reason.OWL_RULES if r.name.startswith(("list", "cls-int", "cls-uni"))]
+    out = reason.materialize(_segments(spark, sf).where("o in ('segment/BUILDING', 'nation/3')").union(schema), rules)
+    return out.where(F.col("o").isin("both", "either")).select("s", "o")
+
+
+@_add("owl_chain", "SELECT 'customer/' || c_custkey AS s, 'region/' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _owl_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A property chain of two steps."""
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    name = lambda kind, col: F.concat(F.lit(kind + "/"), F.col(col).cast("string"))
+    rows = c.select(name("customer", "c_custkey").alias("s"), F.lit("of").alias("p"), name("nation", "c_nationkey").alias("o")).union(n.select(name("nation", "n_nationkey"), F.lit("within"), name("region", "n_regionkey")))
+    schema = _triples(spark, [("lies", reason.OWL + "propertyChainAxiom", "l0"), ("l0", _FIRST, "of"), ("l0", _REST, "l1"), ("l1", _FIRST, "within"), ("l1", _REST, _NIL)])
+    return reason.materialize(rows.union(schema), [r for r in reason.OWL_RULES if r.name == "prp-spo2"]).where("p = 'lies'").select("s", "o")
+
+
+@_add("owl_inconsistent", "SELECT 'cax-dw' AS rule, 'customer/' || c_custkey AS s, 'segment/BUILDING' AS o FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (3, 4)")
+def _owl_inconsistent(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of a class and of a subclass of a disjoint one."""
+    schema = _triples(spark, [("segment/BUILDING", reason.OWL + "disjointWith", "north"), ("nation/3", reason.SUBCLASS, "north"), ("nation/4", reason.SUBCLASS, "north")])
+    return reason.inconsistencies(_segments(spark, sf).union(schema), [r for r in reason.OWL_RULES if r.name == "rdfs9"])
+
+
 # ---------------------------------------------------------------- relations
 
 

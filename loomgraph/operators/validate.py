@@ -7,6 +7,7 @@ the focus nodes and values that break it; the report is their union.
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -162,6 +163,23 @@ def violations(triples: DataFrame, shape: dict[str, Any], focus: DataFrame | Non
         if "node" in s:
             inner = violations(triples, {**s["node"], "name": s["node"].get("name", name)}, found.select(F.col("value").alias("focus")).distinct()).select(F.col("focus").alias("_bad")).distinct()
             report(found.join(inner, F.col("value.lex") == F.col("_bad"), "left_semi"), "node", s, F.col("value.lex"))
+        if "qualifiedValueShape" in s:
+            inner = violations(triples, {**s["qualifiedValueShape"]}, found.select(F.col("value").alias("focus")).distinct()).select(F.col("focus").alias("_bad")).distinct()
+            good = found.join(inner, F.col("value.lex") == F.col("_bad"), "left_anti").groupBy("focus").agg(F.count_distinct("value").alias("n"))
+            counted = nodes.join(good, "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            if s.get("qualifiedMinCount"):
+                report(counted.where(F.col("n") < s["qualifiedMinCount"]), "qualifiedMinCount", s)
+            if "qualifiedMaxCount" in s:
+                report(counted.where(F.col("n") > s["qualifiedMaxCount"]), "qualifiedMaxCount", s)
+        for query in s.get("sparql", []):
+            # A row of the query is a violation of its ?this; $PATH stands for the shape's predicate.
+            from ..plans.compile import Compiler, Options
+            from ..sources.catalog import VirtualGraph
+
+            text = re.sub(r"\$this\b", "?this", query).replace("$PATH", f"<{s['path']}>" if isinstance(s.get("path"), str) else "$PATH")
+            rows = Compiler(VirtualGraph(spark, [], triples.withColumn("g", F.lit(None).cast("string")).select("g", "s", "p", "o")), Options(typed=False)).query(text)
+            found_by = rows.select(F.col("this").alias("_this"), (F.col("value") if "value" in rows.columns else F.lit(None)).cast("string").alias("_value"))
+            report(nodes.join(found_by, F.col("focus.lex") == F.col("_this")), "sparql", s, F.col("_value"))
         for key in ("not", "and", "or", "xone"):
             if key in s:
                 bad_of = [violations(triples, {**x}, found.select(F.col("value").alias("focus")).distinct()).select(F.col("focus").alias("_bad")).distinct().withColumn("_k", F.lit(i)) for i, x in enumerate(s[key] if isinstance(s[key], list) else [s[key]])]
@@ -241,7 +259,7 @@ def from_triples(rows: list[tuple]) -> list[dict[str, Any]]:
                 out[key] = path(os[0])
             elif key == "property":
                 out[key] = [shape(o["lex"]) for o in os]
-            elif key in ("node", "not"):
+            elif key in ("node", "not", "qualifiedValueShape"):
                 out[key] = shape(first)
             elif key in ("and", "or", "xone"):
                 out[key] = [shape(o["lex"]) for o in items(first)]
@@ -249,8 +267,10 @@ def from_triples(rows: list[tuple]) -> list[dict[str, Any]]:
                 out[key] = [o["lex"] for o in items(first)]
             elif key.startswith("target"):
                 out[key] = [o["lex"] for o in os]
-            elif key in ("minCount", "maxCount", "minLength", "maxLength"):
+            elif key in ("minCount", "maxCount", "minLength", "maxLength", "qualifiedMinCount", "qualifiedMaxCount"):
                 out[key] = int(first)
+            elif key == "sparql":
+                out[key] = [c["lex"] for o in os for c in graph.get(o["lex"], {}).get(SH + "select", [])]
             elif key in ("deactivated", "closed", "uniqueLang"):
                 out[key] = first == "true"
             elif key == "severity":
