@@ -14,7 +14,7 @@ are contracted to components.  Groups that hold several components yet are
 looked at again.  Groups over ``HOT`` rows come from shingles that many documents
 share; their documents take an exact way instead, a prefix filter: a linked pair
 must share one among the first fifth of its shingles in any order that all sets
-follow, and theirs puts the rarest first (by the counts of 2**20 classes of
+follow, and theirs puts the rarest first (by the counts of 2**18 classes of
 hashes, a table of fixed size), so that common lines bring nobody together.  In a few rounds those
 of a group that share a MinHash (another one each round) are compared with the
 first of them, which gathers copies; what is still apart after that is joined by
@@ -59,7 +59,9 @@ LEADS = 1
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 #: Bits of a shingle's class: how often each class occurs orders the prefix filter.
-SKETCH = 20
+SKETCH = 18
+#: Tables of classes that are added up at once.
+FAN = 16
 #: Longs of a set's parity map.
 LONGS = 16
 #: No remainder fell into the bucket.
@@ -186,6 +188,32 @@ def _sets(k: int):
     return shared.lean(run)
 
 
+_CLASSES = "classes binary, counts binary"
+
+
+def _classes_of(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - SKETCH)).astype(np.int32)
+
+
+def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each class of hashes occurs in a task's sets: one row."""
+    counts = np.zeros(1 << SKETCH, dtype=np.int64)
+    for b in batches:
+        for x in b["set"]:
+            np.add.at(counts, _classes_of(np.asarray(x, dtype=np.int64)), 1)
+    some = np.flatnonzero(counts)
+    yield pd.DataFrame({"classes": [some.astype(np.int32).tobytes()], "counts": [counts[some].tobytes()]})
+    shared.release()
+
+
+def _class_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    counts = np.zeros(1 << SKETCH, dtype=np.int64)
+    for c, n in zip(rows["classes"], rows["counts"]):
+        counts[np.frombuffer(c, dtype=np.int32)] += np.frombuffer(n, dtype=np.int64)
+    some = np.flatnonzero(counts)
+    return pd.DataFrame({"classes": [some.astype(np.int32).tobytes()], "counts": [counts[some].tobytes()], "part": [key[0]]})
+
+
 def _rarest(counts: np.ndarray, percent: int):
     """The prefix of each set: one shingle more than may be missing in a linked one, those of rare classes first."""
 
@@ -195,8 +223,7 @@ def _rarest(counts: np.ndarray, percent: int):
             for x in b["set"]:
                 h = np.asarray(x, dtype=np.int64)
                 size = len(h) - -(-len(h) * percent // 100) + 1
-                own = counts[(h.view(np.uint64) >> np.uint64(64 - SKETCH)).astype(np.int64)]
-                keys.append(h[np.lexsort((h, own))[:size]])
+                keys.append(h[np.lexsort((h, counts[_classes_of(h)]))[:size]])
             yield pd.DataFrame({"_id": b["_id"], "keys": keys})
 
     return shared.lean(run)
@@ -295,9 +322,14 @@ class NearDedup:
     def prefixes(self, hot: DataFrame) -> DataFrame:
         """(key, _id): the shingles of which a linked pair must share one, rarest first."""
         sets = self.tables.keep(self.sets.join(hot, "_id").select("_id", "set"))
-        classes = sets.select(F.explode("set").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - SKETCH).alias("b")).count().toPandas()
-        counts = np.zeros(1 << SKETCH, dtype=np.int32)
-        counts[classes["b"].to_numpy(dtype=np.int64)] = np.minimum(classes["count"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
+        parts = sets.rdd.getNumPartitions()
+        sums = self.tables.keep(sets.mapInPandas(_class_counts, _CLASSES).withColumn("part", F.spark_partition_id()))
+        while parts > FAN:
+            sums = self.tables.keep(sums.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInPandas(_class_sums, f"{_CLASSES}, part int"))
+            parts = -(-parts // FAN)
+        counts = np.zeros(1 << SKETCH, dtype=np.int64)
+        for r in sums.toLocalIterator():
+            counts[np.frombuffer(r["classes"], dtype=np.int32)] += np.frombuffer(r["counts"], dtype=np.int64)
         return sets.mapInPandas(_rarest(counts, self.percent), "_id long, keys array<long>").select(F.explode("keys").alias("key"), "_id")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
