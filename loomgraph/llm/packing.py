@@ -2,7 +2,7 @@
 
 Documents are tokenised and dealt by a hash into groups of about
 ``docs_per_group``; a group is packed by itself, so no task holds more than a
-group.  Rows that are equal in id and text more often than that are counted and
+group.  Rows of an id that more rows have than that are counted by their texts and
 numbered first, and the number is hashed too, so no key can gather rows.  A document's whole windows are cut off first.
 What remains is spread by Karmarkar-Karp multiway differencing: partial
 partitions, largest imbalance first, are merged with opposing order until one
@@ -291,14 +291,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """Pieces of the documents' ids, dealt to windows of ``capacity``."""
     rows = shared.exact(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     groups = max(1, math.ceil(rows.count() / docs_per_group))
-    rows = rows.withColumn("_h", F.xxhash64("_id", "_text"))
-    often = rows.groupBy("_h").count().where(F.col("count") > docs_per_group).select("_h")
+    # Only ids are read to see whether some are that frequent.
+    often = rows.groupBy("_id").count().where(F.col("count") > docs_per_group).select(F.col("_id").alias("_o"))
     rows = rows.withColumn("_n", F.lit(0).cast("long"))
     if not often.isEmpty():
-        equal = rows.join(often, "_h", "left_semi").groupBy("_h", "_id", "_text").count()
-        equal = equal.select("_h", "_id", "_text", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_n"))
-        rows = rows.join(often, "_h", "left_anti").select("_h", "_id", "_text", "_n").unionByName(equal)
-    dealt = rows.select("_id", "_text", F.pmod(F.xxhash64("_h", "_n"), F.lit(groups)).alias("_g"))
+        same = F.col("_id").eqNullSafe(F.col("_o"))
+        equal = rows.join(often, same, "left_semi").groupBy("_id", "_text").count()
+        equal = equal.select("_id", "_text", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_n"))
+        rows = rows.join(often, same, "left_anti").unionByName(equal)
+    dealt = rows.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text", "_n"), F.lit(groups)).alias("_g"))
     return dealt.groupBy("_g").applyInPandas(_packer(tokenizer, end_id, capacity), SCHEMA)
 
 
