@@ -236,6 +236,20 @@ def test_rules(spark):
     assert reason.explain(("q", "q", "q"), given, out, reason.OWL_RULES)["kind"] == "unexplained"
 
 
+def test_rules_over_restrictions(spark):
+    """Patterns that only a later one connects: all pairs of restrictions, and the premises that belong together."""
+    owl = reason.OWL
+    given = [("C", owl + "someValuesFrom", "X"), ("C", owl + "onProperty", "p"), ("D", owl + "someValuesFrom", "A"), ("D", owl + "someValuesFrom", "Y"), ("D", owl + "onProperty", "p"), ("X", reason.SUBCLASS, "Y")]
+    given += [("E", owl + "allValuesFrom", "X"), ("E", owl + "onProperty", "q"), ("F", owl + "allValuesFrom", "Y"), ("F", owl + "onProperty", "q"), ("G", owl + "allValuesFrom", "Y"), ("G", owl + "onProperty", "r")]
+    given += [("H", owl + "hasValue", "v"), ("H", owl + "onProperty", "q"), ("I", owl + "hasValue", "v"), ("I", owl + "onProperty", "r"), ("q", reason.SUBPROPERTY, "r")]
+    rules = [r for r in reason.OWL_RULES if r.name in ("scm-svf1", "scm-avf1", "scm-hv")]
+    out = reason.materialize(frame(spark, given), rules, explain=True)
+    got = {(r["rule"], r.s, r.o) for r in out.collect()}
+    assert got == {("scm-svf1", "C", "D"), ("scm-avf1", "E", "F"), ("scm-hv", "H", "I")}
+    tree = reason.explain(("C", reason.SUBCLASS, "D"), frame(spark, given), out, rules)
+    assert tree["kind"] == "derived" and {x["triple"] for x in tree["premises"]} == {given[0], given[1], given[3], given[4], given[5]}
+
+
 def test_on_read(spark):
     schema = frame(spark, [("p", reason.SUBPROPERTY, "q"), ("q", reason.DOMAIN, "Q"), ("is", reason.SUBPROPERTY, reason.TYPE), ("A", reason.SUBCLASS, "B")])
     data = frame(spark, [("x", "p", "y"), ("z", "q", "y"), ("w", "is", "A"), ("C", reason.SUBCLASS, "D"), ("v", reason.TYPE, "C")])
