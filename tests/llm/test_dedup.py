@@ -74,6 +74,30 @@ def test_near_dedup_hot_groups(spark, documents, monkeypatch):
     assert got == components(rows)
 
 
+def test_rows_without_partners_go(spark, documents):
+    """A key's rows stay while it holds a set of a like size in another component; far sizes are not carried on."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(12), i, max(1, int(1.3 ** rng.uniform(0, 30)))) for i in range(150)]
+    comps = {i: min(i, i - i % 3) for _, i, _ in rows if i % 5}
+    run = near_dedup.NearDedup(documents([]), k=4, percent=80)
+    frame = spark.createDataFrame(rows, "key long, _id long, n long")
+    got = {(r.key, r._id): r.comp for r in run.mixed(frame, spark.createDataFrame(list(comps.items()), "_id long, comp long")).collect()}
+    partners = lambda row, ratio: any(k == row[0] and comps.get(j, j) != comps.get(row[1], row[1]) and min(m, row[2]) >= ratio * max(m, row[2]) for k, j, m in rows)
+    assert {r[:2] for r in rows if partners(r, 0.8)} <= set(got) <= {r[:2] for r in rows if partners(r, 0.8**1.4)} != {r[:2] for r in rows}
+    assert all(c == comps.get(i, i) for (_, i), c in got.items())
+
+
+def test_near_dedup_at_the_threshold(spark, documents, monkeypatch):
+    """Sets within each other, with sizes at, just over and just under the least ratio."""
+    rows = []
+    for b, sizes in enumerate([(4, 5), (8, 10), (64, 80, 100, 125), (79, 100), (41, 52, 65), (400, 500, 624), (1, 2), (1199, 1500, 1876)]):
+        rows += [(b * 10 + i, " ".join(f"b{b}x{w}" for w in range(n + 3))) for i, n in enumerate(sizes)]
+    for hot in (near_dedup.HOT, 1):
+        monkeypatch.setattr(near_dedup, "HOT", hot)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows), k=4).collect()}
+        assert got == components(rows)
+
+
 def test_near_dedup_odd(spark, folder, documents):
     got = near_dedup.query(spark, folder(documents(ODD, extra=True))).collect()
     assert len(got) == len(ODD)
