@@ -3,11 +3,12 @@ r"""Language-model scoring: a gated recurrent network in numpy.
 Tokens are lower-cased words and one end per text.  Exact counts of all training
 tokens are gathered over the whole corpus.  The network (one GRU layer, class-
 factored softmax, truncated back-propagation, Adam) learns from all training
-texts: they are dealt by hash to parts of about ``PART_TOKENS`` tokens, every
-part takes one pass over its whole texts from a common start, and the parts'
-weights are averaged by their tokens.  The common start is fitted by one task on
-whole texts that a hash chooses, about ``TRAIN_TOKENS`` tokens; the driver gets
-weights and never texts.
+texts, each as often as any other: they are dealt by hash to parts of about
+``PART_TOKENS`` tokens, and the parts to ``ROUNDS`` rounds.  In a round every
+part takes a pass over its whole texts from the weights of the round before, and
+the parts' weights are averaged by their tokens.  The first round starts from the
+words' shares.  A corpus under ``4 * TRAIN_TOKENS`` tokens is passed over up to
+four times.  The driver gets weights and never texts.
 
 The output is factored as P(class | state) P(word | class, state).  The ``TOP``
 most frequent words share ``TOP_CLASSES`` classes and have a softmax inside
@@ -45,8 +46,11 @@ TOP = 1024
 TOP_CLASSES = 16
 GROUPS = 24
 HEAVY = 1 << 18
+#: A fourth of the tokens that a network learns from at least; smaller corpora are read up to four times.
 TRAIN_TOKENS = 250_000
 PART_TOKENS = 1_000_000
+#: Rounds that all texts are dealt to.
+ROUNDS = 2
 #: Models that are added up together, and how many sums may reach the driver.
 FAN = 32
 HIDDEN = 16
@@ -385,30 +389,16 @@ def _read(rows: pd.DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
     return texts
 
 
-def _begin(vocabulary: Vocabulary):
-    """The common start: some passes over a few texts."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        network = Network()
-        network.start_from(vocabulary)
-        texts = _read(rows, vocabulary)
-        network.train(texts)
-        shared.release()
-        return pd.DataFrame({"part": [0], "tokens": [sum(len(t) for t in texts)], "model": [network.flat().tobytes()]})
-
-    return run
-
-
-def _teach(vocabulary: Vocabulary, network: Network):
-    """One pass over a part's texts: the weights times the tokens."""
+def _teach(vocabulary: Vocabulary, network: Network, passes: int, rate: float):
+    """Passes over a part's texts: the weights times the tokens."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = Network()
         own.p = {k: v.copy() for k, v in network.p.items()}
         texts = _read(rows, vocabulary)
         n = sum(len(t) for t in texts)
-        # About 300 updates, whatever the part's size.
-        own.train(texts, slots=int(np.clip(n // (24 * 300), 4, 128)), steps=24, epochs=1, rate=0.005)
+        # About 300 updates a pass, whatever the part's size.
+        own.train(texts, slots=int(np.clip(n // (24 * 300), 4, 128)), steps=24, epochs=passes, rate=rate)
         shared.release()
         return pd.DataFrame({"part": [int(rows["_part"].iloc[0])], "tokens": [n], "model": [(own.flat() * n).tobytes()]})
 
@@ -428,17 +418,25 @@ def _dealt(train: DataFrame, seed: int) -> DataFrame:
 
 
 def teach(train: DataFrame, vocabulary: Vocabulary, network: Network) -> int:
-    """Teach the network all texts of ``train`` (_id, _text); the number of tokens learned from."""
-    parts = -(-vocabulary.total // PART_TOKENS)
-    rows = _dealt(train, 11)
-    models = rows.withColumn("_part", F.pmod("_h", F.lit(max(1, parts)))).groupBy("_part").applyInPandas(_teach(vocabulary, network), _MODEL)
-    while parts > FAN:
-        models = models.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(_added, _MODEL)
-        parts = -(-parts // FAN)
-    got = sorted(models.collect())
-    tokens = sum(r.tokens for r in got)
-    if tokens:
-        network.set_flat(sum(np.frombuffer(r.model) for r in got) / tokens)
+    """Teach the network all texts of ``train`` (_id, _text), each in one round; the number of tokens learned from."""
+    parts = max(1, -(-vocabulary.total // PART_TOKENS))
+    passes = int(min(4, max(1, -(-4 * TRAIN_TOKENS // max(1, vocabulary.total)))))
+    rounds = min(ROUNDS, parts)
+    rows = _dealt(train, 11).withColumn("_part", F.pmod("_h", F.lit(parts)))
+    tokens = 0
+    for turn in range(rounds):
+        # Large steps first; the last round's are small, so that the average settles.
+        rate = 0.01 if rounds == 1 else 0.02 * 0.25 ** (turn / (rounds - 1))
+        mine = rows.where(F.col("_part") % rounds == turn).withColumn("_part", F.floor(F.col("_part") / rounds))
+        models, left = mine.groupBy("_part").applyInPandas(_teach(vocabulary, network, passes, rate), _MODEL), -(-(parts - turn) // rounds)
+        while left > FAN:
+            models = models.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(_added, _MODEL)
+            left = -(-left // FAN)
+        got = sorted(models.collect())
+        learned = sum(r.tokens for r in got)
+        if learned:
+            network.set_flat(sum(np.frombuffer(r.model) for r in got) / learned)
+        tokens += learned
     return tokens
 
 
@@ -475,10 +473,6 @@ def learn(train: DataFrame, tables: shared.SharedTables) -> tuple[DataFrame, Voc
     vocabulary = vocabulary_of(counts)
     network = Network()
     network.start_from(vocabulary)
-    share = min(1.0, TRAIN_TOKENS / max(1, vocabulary.total))
-    chosen = _dealt(train, 9).where(F.pmod("_h", F.lit(1 << 40)) < int((1 << 40) * share))
-    for r in chosen.withColumn("_part", F.pmod("_h", F.lit(1))).groupBy("_part").applyInPandas(_begin(vocabulary), _MODEL).collect():  # one row, or none without texts
-        network.set_flat(np.frombuffer(r.model))
     teach(train, vocabulary, network)
     return counts, vocabulary, network
 

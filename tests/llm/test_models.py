@@ -159,6 +159,28 @@ def test_all_training_texts_teach(spark, documents, monkeypatch):
     assert lm_score.teach(train, vocabulary, lm_score.Network()) == vocabulary.total == 1200 * 81
 
 
+def test_no_sample_teaches(spark, documents, monkeypatch):
+    """The network doesn't hang on a number of chosen texts, and each text of every round counts."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(200)]
+    train = documents(rows).selectExpr("doc_id AS _id", "text AS _text")
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 5_000)
+
+    def weights(tokens):
+        monkeypatch.setattr(lm_score, "TRAIN_TOKENS", tokens)
+        _, vocabulary, network = lm_score.learn(train, lm_score.shared.SharedTables(spark, "t"))
+        return vocabulary, network.flat()
+
+    (vocabulary, few), (_, more) = weights(100), weights(2_000)
+    assert np.array_equal(few, more)
+    for i in (3, 77, 160):
+        network = lm_score.Network()
+        network.start_from(vocabulary)
+        assert lm_score.teach(train.where(f"_id != {i}"), vocabulary, network) == vocabulary.total - 61
+        assert not np.array_equal(network.flat(), few)
+
+
 def ids_of(text):
     return [int(x) for x in lm_score.word_ids(lm_score.Words([text.encode()], lower=True))]
 
