@@ -1,7 +1,7 @@
 """Work that must grow no faster than the input."""
 
 from loomgraph import suite
-from loomgraph.operators import geo
+from loomgraph.operators import geo, search
 from loomgraph.plans.compile import Compiler, Options
 from loomgraph.sources.catalog import standard_graph
 
@@ -65,3 +65,17 @@ def test_counts_over_joins_form_no_pairs(spark, sf):
 def test_negated_path_reads_tables_of_its_subject(spark, sf):
     text = plan(spark, sf, "path_negated")
     assert "nation.parquet" in text and "orders.parquet" not in text and "lineitem.parquet" not in text
+
+
+def test_only_words_like_the_query_are_stemmed(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The Resting capability of notes"), (2, "rested notes relational"), (3, "nothing here"), (4, None)], "doc_id long, text string")
+    found = lambda q: sorted(r.doc_id for r in search.bm25(docs, q, language="en", stem=True).collect())
+    assert found("rest") == [1, 2] and found("notes -relate") == [1] and found("+capable +rests") == [1] and found('"resting capability"') == [1]
+    monkeypatch.setattr(search, "_porter_all", None)  # stems of all words are for phrases only
+    assert found("rest note") == [1, 2]
+
+
+def test_a_word_begins_like_its_stem():
+    for w in "ability capability relational flies agreed hopping hoping sensibility vietnamization sky happy possibly conflated sized feudalism radically".split():
+        s = search.porter(w)
+        assert w.startswith(s[: len(s) - (2 if s.endswith(("bl", "ble")) else 1)])
